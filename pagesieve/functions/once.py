@@ -1,0 +1,18 @@
+"""Keep a costly expression from being copied by the optimizer."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Like ``withColumns``, but each expression is evaluated once per row.
+
+    A projected expression is copied into the filters that are pushed below it and into
+    every element access on an array it builds, which would scan the page text again each
+    time. What a generator puts out is never copied; the outer form gives exactly one row
+    and, unlike the inner form, no extra filter on its input is derived.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline_outer(F.array(row)))
