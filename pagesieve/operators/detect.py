@@ -7,7 +7,7 @@ few qualifying pages are rolled up per document.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -314,7 +314,12 @@ def match_positions(pages: DataFrame, rules: Sequence[TableRule]) -> DataFrame:
 
 
 def paged_groups(
-    rows: DataFrame, group: Sequence[str], item: Column, totals: dict[str, Column], size: int = PAGE_BLOCK
+    rows: DataFrame,
+    group: Sequence[str],
+    item: Column,
+    totals: dict[str, Column],
+    size: int = PAGE_BLOCK,
+    collect: Callable[[Column], Column] = F.collect_list,
 ) -> DataFrame:
     """Collect ``item`` (a struct starting with the page) per group, in parts of at most ``size`` pages.
 
@@ -326,7 +331,7 @@ def paged_groups(
     parts = (
         rows.withColumn("block", page_block(F.col("page"), size))
         .groupBy(*group, "block")
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
+        .agg(F.array_sort(collect(item)).alias("items"))
     )
     spans = (
         parts.groupBy(*group)
