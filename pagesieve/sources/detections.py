@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagesieve.schemas import DETECTION
 
 
-def as_exported(detections: DataFrame) -> DataFrame:
+def as_exported(detections: DataFrame, *more: str) -> DataFrame:
     """The exported fields. ``part`` numbers the rows of one very large detection, see detect."""
     return detections.select(
         "table_name",
@@ -19,6 +19,7 @@ def as_exported(detections: DataFrame) -> DataFrame:
         "confidence_score",
         "match_details",
         "part",
+        *more,
     )
 
 
