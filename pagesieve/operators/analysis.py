@@ -110,9 +110,8 @@ def table_file_paths(consolidated: DataFrame) -> DataFrame:
     return consolidated.filter("file_path <> ''").select("table_name", "file_path").distinct()
 
 
-def analysis_frames(detections: DataFrame) -> dict[str, DataFrame]:
-    """All analysis results by name, as exported together."""
-    consolidated = consolidate(detections)
+def analysis_frames(detections: DataFrame, consolidated: DataFrame) -> dict[str, DataFrame]:
+    """All analysis results by name."""
     return {
         "summary": analysis_totals(detections),
         "tables_by_document": tables_by_document(consolidated),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.operators import analysis, detect
+from pagesieve.plans import analysis as plan
 from pagesieve.plans import fixtures as fx
 from pagesieve.plans.detection_queries import DETECTIONS_SQL
 from pagesieve.session import work_folder
@@ -29,8 +30,17 @@ def detections(spark, sf_dir) -> DataFrame:
     return first.unionByName(search(1, 0.6))
 
 
+_exports: dict[tuple[str, str], str] = {}
+
+
 def exported(spark, sf_dir) -> DataFrame:
-    return io.as_exported(detections(spark, sf_dir), "seq")
+    """The detections as exported: searched once per session and folder, written, and read back."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _exports:
+        path = work_folder(spark, "exported")
+        io.as_exported(detections(spark, sf_dir), "seq").write.parquet(path)
+        _exports[key] = path
+    return spark.read.parquet(_exports[key])
 
 
 def joined(pages: str) -> Column:
@@ -62,19 +72,20 @@ def load_detections(spark, sf_dir):
     return _flat(io.load_detections(spark, path, min_confidence=0.8).drop("seq"))
 
 
-def _written(spark, frames: dict[str, DataFrame], name: str, file_format: str) -> DataFrame:
-    """Write the frames and count what each file set holds."""
-    paths = io.write_frames(frames, work_folder(spark, name), file_format)
+def row_counts(spark, paths: dict[str, str], file_format: str) -> DataFrame:
+    """Number of rows in each written set."""
     counts = [
-        spark.read.schema(frame.schema).format(file_format).option("header", True).load(path)
-        .agg(F.count("*").alias("n_rows")).select(F.lit(key).alias("frame"), "n_rows")
-        for (key, frame), path in zip(frames.items(), paths)
+        spark.read.schema("table_name string").format(file_format).option("header", True).load(path)
+        .agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("frame"), "n_rows")
+        for name, path in paths.items()
     ]
     return reduce(DataFrame.unionByName, counts)
 
 
 def export_analysis(spark, sf_dir):
-    return _written(spark, analysis.analysis_frames(exported(spark, sf_dir)), "analysis", "json")
+    paths = plan.export_analysis(exported(spark, sf_dir), work_folder(spark, "analysis"))
+    del paths["consolidated"]
+    return row_counts(spark, paths, "json")
 
 
 def consolidate(spark, sf_dir):

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pagesieve.functions.text import sanitize
 from pagesieve.operators import inventory
 from pagesieve.plans import fixtures as fx
-from pagesieve.plans.analysis_queries import _written
+from pagesieve.plans.analysis_queries import row_counts
+from pagesieve.session import work_folder
+from pagesieve.sources.detections import write_frames
 
 
 def _store(spark, sf_dir):
@@ -74,7 +76,8 @@ def page_lengths_fallback(spark, sf_dir):
 
 
 def write_reports(spark, sf_dir):
-    return _written(spark, inventory.report_frames(*_store(spark, sf_dir)), "reports", "parquet")
+    paths = write_frames(inventory.report_frames(*_store(spark, sf_dir)), work_folder(spark, "reports"))
+    return row_counts(spark, paths, "parquet")
 
 
 def run_comparison(spark, sf_dir):

@@ -52,14 +52,14 @@ def at_least(detections: DataFrame, min_confidence: float) -> DataFrame:
     return detections.filter(F.col("confidence_score") >= min_confidence)
 
 
-def write_frames(frames: dict[str, DataFrame], root: str, file_format: str = "parquet") -> list[str]:
-    """Write each frame below ``root``; returns the paths."""
-    paths = []
+def write_frames(frames: dict[str, DataFrame], root: str, file_format: str = "parquet") -> dict[str, str]:
+    """Write each frame below ``root``; returns the paths by name."""
+    paths = {}
     for name, frame in frames.items():
         path = f"{root.rstrip('/')}/{name}"
         writer = frame.write.mode("overwrite").format(file_format)
         if file_format == "csv":
             writer = writer.option("header", True)
         writer.save(path)
-        paths.append(path)
+        paths[name] = path
     return paths
