@@ -49,10 +49,12 @@ def is_special_phrase(phrase: str) -> bool:
 def count_literal(text: Column, needle: Column) -> Column:
     """Non-overlapping occurrences of ``needle``, left to right.
 
-    Byte lengths are stored with the value, so only the search itself reads the text.
+    ``contains`` is several times faster than ``replace`` on a text without the needle, which
+    most are. Byte lengths are stored with the value, so only the search reads the text.
     """
     removed = F.octet_length(text) - F.octet_length(F.replace(text, needle, F.lit("")))
-    return F.call_function("div", removed, F.octet_length(needle)).cast("int")
+    count = F.call_function("div", removed, F.octet_length(needle)).cast("int")
+    return F.when(F.contains(text, needle), count).otherwise(0)
 
 
 def fixed(value: Column, decimals: int) -> Column:

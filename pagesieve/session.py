@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# Inputs up to this size are dealt out to all cores, see spread_small.
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "pagesieve") -> SparkSession:
@@ -45,3 +48,14 @@ def shared_folder(spark: SparkSession) -> str:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh path for one run below the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a small scan out to all cores; a larger scan is left as it is.
+
+    A small input often is one file with one row group, that is one task, however much work
+    each row needs. A large one has splits enough, and moving it would cost a shuffle.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if size <= SMALL_INPUT_BYTES else df
