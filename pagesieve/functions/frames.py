@@ -1,7 +1,9 @@
-"""Keep a costly expression from being copied by the optimizer."""
+"""Small helpers on whole DataFrames."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +18,10 @@ def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     row = F.struct(*[c.alias(n) for n, c in columns.items()])
     return df.select("*", F.inline_outer(F.array(row)))
+
+
+def one_row(*totals: DataFrame) -> DataFrame:
+    """Single-row totals side by side in one row, without a join."""
+    columns = [c for t in totals for c in t.columns]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), totals)
+    return rows.agg(*[F.max(c).alias(c) for c in columns])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagesieve.definitions import TableRule
 from pagesieve.functions.blocks import PAGE_BLOCK, document_blocks, page_block
-from pagesieve.functions.once import with_once
+from pagesieve.functions.frames import one_row, with_once
 from pagesieve.functions.text import (
     count_literal,
     fixed,
@@ -410,8 +410,7 @@ def summary_totals(detections: DataFrame, searched: DataFrame | None = None) ->
     if searched is None:
         return totals
     asked = searched.agg(F.count_distinct("doc_id").alias("documents_searched"))
-    # two single-row totals side by side
-    return totals.withColumn("one", F.lit(1)).join(asked.withColumn("one", F.lit(1)), "one").drop("one")
+    return one_row(totals, asked)
 
 
 def summary_by_document(detections: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.functions.blocks import join_documents, page_spine
+from pagesieve.functions.frames import one_row
 from pagesieve.functions.text import fixed, round_even, sanitize
 
 MISSING = "N/A"
@@ -103,15 +104,13 @@ def _totals(meta: DataFrame, channels: DataFrame, decimals: int) -> DataFrame:
         F.coalesce(F.sum("d"), F.lit(0)).alias("digital_characters"),
         F.coalesce(F.sum("o"), F.lit(0)).alias("ocr_characters"),
     )
-    # two single-row totals side by side
-    both = documents.withColumn("one", F.lit(1)).join(characters.withColumn("one", F.lit(1)), "one")
     average = F.when(
         F.col("documents") > 0, round_even(F.col("pages") / F.col("documents"), decimals)
     ).otherwise(0.0)
-    return both.withColumns({
+    return one_row(documents, characters).withColumns({
         "total_characters": F.col("digital_characters") + F.col("ocr_characters"),
         "average_pages": average,
-    }).drop("one")
+    })
 
 
 def corpus_statistics(meta: DataFrame, channels: DataFrame) -> DataFrame:

@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 # Inputs up to this size are dealt out to all cores, see spread_small.
 SMALL_INPUT_BYTES = 256 * 1024 * 1024
 
+_local_folders: dict[str, str] = {}
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "pagesieve") -> SparkSession:
+
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, app: str = "pagesieve", **settings: str
+) -> SparkSession:
     """A single-machine session for tests and benchmarks; a cluster brings its own session."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -24,8 +28,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    return builder.config(map={k.replace("__", "."): v for k, v in settings.items()}).getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,9 +44,10 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="pagesieve-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="pagesieve-")
+    return _local_folders[app]
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def read_files(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
-    """The files of one folder (not its subfolders) as path, modificationTime, length, content."""
+    """The files of one folder (not its subfolders) as path, modificationTime, length, content.
+
+    Spark lists no files of zero length; such a file could not be opened as a document either.
+    """
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
 
 
