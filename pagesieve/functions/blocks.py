@@ -35,17 +35,35 @@ def join_documents(pages: DataFrame, meta: DataFrame, size: int = PAGE_BLOCK) ->
     )
 
 
+def only_documents(pages: DataFrame, documents: DataFrame, size: int = PAGE_BLOCK) -> DataFrame:
+    """Pages of the given documents.
+
+    With ``page_count`` among the columns of ``documents`` the join is by page block, which
+    splits very large documents; without it, it is by document.
+    """
+    if "page_count" not in documents.columns:
+        return pages.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+    blocks = document_blocks(documents.select("doc_id", "page_count"), size).select("doc_id", "block")
+    return (
+        pages.withColumn("block", page_block(F.col("page"), size))
+        .join(blocks, ["doc_id", "block"], "left_semi")
+        .drop("block")
+    )
+
+
 def page_spine(meta: DataFrame, size: int = PAGE_BLOCK) -> DataFrame:
     """Every page 1..page_count of every document.
 
     Blocks are dealt out before they are unrolled, so a document with billions of pages
-    is neither one array nor one task.
+    is neither one array nor one task. The number of partitions is given, because by their few
+    bytes the blocks would be merged into one partition before they grow.
     """
     first = F.col("block") * size + 1
     last = F.least(F.col("page_count"), first + (size - 1))
+    partitions = int(meta.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         document_blocks(meta, size)
-        .repartition("doc_id", "block")
+        .repartition(partitions, "doc_id", "block")
         .withColumn("page", F.explode(F.sequence(first, last)))
         .drop("block")
     )

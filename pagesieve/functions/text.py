@@ -37,9 +37,14 @@ def literal_pattern(phrase: str, match_case: bool) -> str:
 def has_special_letters(text: Column) -> Column:
     """True for the few texts on which lower-case comparison is not exact.
 
-    The byte test settles all-ASCII texts without looking at single letters.
+    The byte test settles all-ASCII texts without looking at single letters, and one plain
+    range most of the others: the letters are the micro sign and some from U+0130 on.
     """
-    return (F.octet_length(text) != F.length(text)) & text.rlike(f"[{SPECIAL_LETTERS}]")
+    return (
+        (F.octet_length(text) != F.length(text))
+        & text.rlike("[^\\x00-\u00b4\u00b6-\u012f]")
+        & text.rlike(f"[{SPECIAL_LETTERS}]")
+    )
 
 
 def is_special_phrase(phrase: str) -> bool:

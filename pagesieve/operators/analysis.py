@@ -102,7 +102,8 @@ def multiple_occurrences(detections: DataFrame) -> DataFrame:
         .filter("occurrences > 1")
     )
     totals = pairs.groupBy("table_name").agg(F.sum("occurrences").alias("total_multiple"))
-    return pairs.join(totals, "table_name")
+    # one row per table definition
+    return pairs.join(F.broadcast(totals), "table_name")
 
 
 def table_file_paths(consolidated: DataFrame) -> DataFrame:

@@ -153,7 +153,6 @@ def table_verdict(r: Column) -> Column:
     weighted = F.when(
         r["total_weight"] > 0, _sum(F.transform(elements, lambda e: e["score"])) / r["total_weight"]
     ).otherwise(0.0)
-    base = F.concat(F.lit("Found "), c.cast("string"), F.lit("/"), total.cast("string"), F.lit(" elements"))
     found = (
         F.when(total == 0, F.lit(False))
         .when(strategy == "all_elements", c == total)
@@ -162,36 +161,37 @@ def table_verdict(r: Column) -> Column:
         .otherwise(weighted >= r["min_score"])
     )
     score = F.when(total == 0, 0.0).when(strategy == "weighted_score", weighted).otherwise(share)
-    details = (
-        F.when((total == 0) | (strategy == "all_elements"), base)
-        .when(
-            strategy == "min_count",
-            F.concat(base, F.lit(" (min: "), r["min_elements"].cast("string"), F.lit(")")),
-        )
+    return F.struct(
+        *[r[f].alias(f) for f in ("table_name", "match_strategy", "min_elements", "min_percentage", "min_score")],
+        c.alias("found_count"),
+        total.alias("total_elements"),
+        found.alias("found"),
+        score.alias("score"),
+        elements.alias("elements"),
+    )
+
+
+def verdict_details() -> Column:
+    """The verdict in words, from the columns of a verdict row."""
+    strategy, share = F.col("match_strategy"), F.col("found_count") / F.col("total_elements")
+    base = F.format_string("Found %d/%d elements", "found_count", "total_elements")
+    return (
+        F.when((F.col("total_elements") == 0) | (strategy == "all_elements"), base)
+        .when(strategy == "min_count", F.concat(base, F.format_string(" (min: %d)", "min_elements")))
         .when(
             strategy == "min_percentage",
             F.concat(
                 base, F.lit(" ("), fixed(share * 100, 1), F.lit("%, min: "),
-                fixed(r["min_percentage"] * 100, 1), F.lit("%)"),
+                fixed(F.col("min_percentage") * 100, 1), F.lit("%)"),
             ),
         )
         .otherwise(
             F.concat(
-                F.lit("Weighted score: "), fixed(weighted, 3),
-                F.lit(" (min: "), fixed(r["min_score"], 3), F.lit(")"),
+                F.lit("Weighted score: "), fixed(F.col("score"), 3),
+                F.lit(" (min: "), fixed(F.col("min_score"), 3), F.lit(")"),
             )
         )
     )
-    return F.struct(
-        r["table_name"].alias("table_name"),
-        strategy.alias("match_strategy"),
-        c.alias("found_count"),
-        total.alias("total_elements"),
-        found.alias("found"),
-        score.alias("score"),
-        details.alias("details"),
-        elements.alias("elements"),
-    )
 
 
 def _keys(pages: DataFrame) -> list[str]:
@@ -217,7 +217,10 @@ def table_verdicts(
     skip_empty: bool = False,
     compiled: bool | None = None,
 ) -> DataFrame:
-    """One row per page and table with found flag, score and details, qualifying or not."""
+    """One row per page and table with found flag, score and details, qualifying or not.
+
+    Details are put into words after the rows are unrolled, so a filter on them comes first.
+    """
     keys = _keys(pages)
     chosen = [r for r in rules if strategy is None or r.match_strategy == strategy]
     if not chosen:
@@ -226,6 +229,8 @@ def table_verdicts(
         with_element_results(pages, chosen, compiled, skip_empty)
         .select(*keys, F.explode_outer(F.transform("_tables", table_verdict)).alias("v"))
         .select(*keys, "v.*")
+        .withColumn("details", verdict_details())
+        .drop("min_elements", "min_percentage", "min_score")
     )
 
 
@@ -379,11 +384,6 @@ def detect_tables(
     )
 
 
-def only_documents(pages: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """Pages of the given documents; apply before detection."""
-    return pages.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-
-
 def normalized_path(path: Column) -> Column:
     return F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))
 
@@ -425,7 +425,8 @@ def summary_by_type(detections: DataFrame) -> DataFrame:
     """
     found = detections.filter("found")
     counts = first_parts(found).groupBy("table_name").agg(F.count("*").alias("total_occurrences"))
-    return found.join(counts, "table_name").select(
+    # one row per table definition
+    return found.join(F.broadcast(counts), "table_name").select(
         "table_name", "doc_id", "pages_found", "confidence_score", "total_occurrences"
     )
 

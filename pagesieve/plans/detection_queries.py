@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.functions.blocks import only_documents
 from pagesieve.operators import detect
+from pagesieve.operators.page_view import join_channels, pages_combined
 from pagesieve.plans import fixtures as fx
 from pagesieve.plans.fixtures import RULES
 
@@ -99,8 +101,6 @@ def detect_tables(spark, sf_dir):
 
 def detect_tables_channels(spark, sf_dir):
     """Detection over two separate channel tables, merged by a join first."""
-    from pagesieve.operators.page_view import join_channels, pages_combined
-
     merged = pages_combined(join_channels(fx.digital(spark, sf_dir), fx.ocr(spark, sf_dir)))
     return flat(detect.detect_tables(merged, RULES))
 
@@ -110,7 +110,9 @@ def element_evidence(spark, sf_dir):
 
 
 def detect_subset(spark, sf_dir):
-    pages = detect.only_documents(fx.pages(spark, sf_dir), fx.table(spark, sf_dir, "labels"))
+    labelled = fx.table(spark, sf_dir, "labels").select("doc_id")
+    wanted = fx.meta(spark, sf_dir).join(labelled, "doc_id", "left_semi")
+    pages = only_documents(fx.pages(spark, sf_dir), wanted)
     return flat(detect.detect_tables(pages, RULES))
 
 

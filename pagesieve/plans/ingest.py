@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.definitions import TableRule
+from pagesieve.functions.blocks import only_documents
 from pagesieve.operators import detect, ingest
 from pagesieve.sources.store import PageStore
 
@@ -22,10 +23,11 @@ def ingest_batch(
 ) -> None:
     """Store the new and changed files of a manifest with their extracted page texts.
 
-    ``channels`` holds (doc_id, page, digital, ocr). Only changed documents' pages are moved.
+    ``channels`` holds (doc_id, page, digital, ocr) of the files that were extracted; texts of
+    unchanged files among them find no page to go to and drop out in the one join.
     """
     changed = ingest.to_process(manifest, store.metadata(before=batch))
-    texts = channels.join(changed.select("doc_id"), "doc_id", "left_semi").select(
+    texts = channels.select(
         "doc_id",
         "page",
         ingest.normalize_page_text(F.col("digital")).alias("digital"),
@@ -44,6 +46,7 @@ def search_store(
 ) -> DataFrame:
     """Detect tables in all stored documents, or in the given ones, with their file paths."""
     pages = store.pages()
+    meta = store.metadata()
     if doc_ids is not None:
-        pages = detect.only_documents(pages, doc_ids)
-    return detect.with_file_paths(detect.detect_tables(pages, rules, min_confidence), store.metadata())
+        pages = only_documents(pages, meta.join(doc_ids.select("doc_id"), "doc_id", "left_semi"))
+    return detect.with_file_paths(detect.detect_tables(pages, rules, min_confidence), meta)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesieve.functions.blocks import document_blocks, page_block
 from pagesieve.operators.page_view import document_pages
 from pagesieve.schemas import DOCUMENT_LOG, PAGE_LOG
 
@@ -111,18 +112,18 @@ class PageStore:
 
         Only the replaced (document, batch) pairs are shuffled or broadcast against the pages:
         they come from the small document log and are none at all when nothing was re-ingested.
+        They are compared by page block, so that a very large document is spread.
         """
         log = self.document_log()
         current = self.metadata().select("doc_id", F.col("batch").alias("current"))
-        replaced = (
-            log.select("doc_id", "batch").distinct().join(current, "doc_id")
-            .filter("batch < current").select("doc_id", "batch")
-        )
-        pages = self._read("pages", PAGE_LOG)
+        replaced = document_blocks(
+            log.select("doc_id", "batch", "page_count").join(current, "doc_id").filter("batch < current")
+        ).select("doc_id", "batch", "block")
+        pages = self._read("pages", PAGE_LOG).withColumn("block", page_block(F.col("page")))
         committed = log.select("batch").distinct()
         return (
             pages.join(committed, "batch", "left_semi")
-            .join(replaced, ["doc_id", "batch"], "left_anti")
+            .join(replaced, ["doc_id", "batch", "block"], "left_anti")
             .select("doc_id", "page", "digital", "ocr")
         )
 

@@ -4,6 +4,7 @@ import re
 import pytest
 
 from pagesieve import Phrase, TableRule
+from pagesieve.functions.blocks import only_documents
 from pagesieve.operators import detect
 
 PAGES = "doc_id string, page int, text string"
@@ -179,5 +180,5 @@ def test_paths_and_summaries(spark):
     totals = detect.summary_totals(found, frame(spark, rows + [("f", 1, "")])).first()
     assert (totals.documents_with_hits, totals.tables_found, totals.documents_searched) == (2, 2, 3)
     assert {r.total_occurrences for r in detect.summary_by_type(found).collect()} == {2}
-    only = detect.only_documents(frame(spark, rows), spark.createDataFrame([("e",)], "doc_id string"))
+    only = only_documents(frame(spark, rows), spark.createDataFrame([("e",)], "doc_id string"))
     assert {r.doc_id for r in detect.detect_tables(only, [BALANCE]).collect()} == {"e"}
