@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,18 +75,24 @@ def round_even(value: Column, decimals: int) -> Column:
     return fixed(value, decimals).cast("double")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sanitize(text: Column, max_length: int = 500) -> Column:
     """Text fit for a report cell: printable ASCII, single spaces, cut to ``max_length``."""
     clean = F.regexp_replace(text, "_{3,}", "_")
-    clean = F.regexp_replace(clean, "[^\\x20-\\x7E\\n\\r\\t]", "")
+    clean = F.regexp_replace(clean, "[^\\x20-\\x7E\\n\\r\\t]+", "")
     clean = F.regexp_replace(clean, "\\s+", " ")
-    cut = F.when(
-        F.length(clean) > max_length,
-        F.concat(F.substring(clean, 1, max_length - 3), F.lit("...")),
-    ).otherwise(clean)
-    trimmed = F.trim(cut)
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", F.lit(""))
-        .when(trimmed == "", F.lit("No text available"))
-        .otherwise(trimmed)
+
+    def cut(c: Column) -> Column:
+        short = F.concat(F.substring(c, 1, max_length - 3), F.lit("..."))
+        return F.trim(F.when(F.length(c) > max_length, short).otherwise(c))
+
+    def shown(c: Column) -> Column:
+        return F.when(c == "", F.lit("No text available")).otherwise(c)
+
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(
+        bound(bound(clean, cut), shown)
     )

@@ -7,7 +7,9 @@ few qualifying pages are rolled up per document.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,46 +61,53 @@ def _literal_rules(rules: Sequence[TableRule]) -> Column:
     return F.array(*[table(r) for r in rules])
 
 
-def _phrase_count(phrase: Column, match_case: Column, pattern: Column) -> Column:
-    text, lowered, special = F.col("text"), F.col("_lowered"), F.col("_special")
-    return (
-        F.when(match_case, count_literal(text, phrase))
-        .when(special, F.regexp_count(text, pattern))
-        .otherwise(count_literal(lowered, F.lower(phrase)))
+def _plain_count(phrase: Column, match_case: Column) -> Column:
+    return F.when(match_case, count_literal(F.col("text"), phrase)).otherwise(
+        count_literal(F.col("_lowered"), F.lower(phrase))
+    )
+
+
+def _special_count(phrase: Column, match_case: Column, pattern: Column) -> Column:
+    return F.when(match_case, count_literal(F.col("text"), phrase)).otherwise(
+        F.regexp_count(F.col("text"), pattern)
     )
 
 
-def _phrase_error(phrase: Column, match_case: Column, pattern: Column) -> Column:
+def _special_error(phrase: Column, match_case: Column, pattern: Column) -> Column:
     """Share of missing letters in the first match; only special letters can make it differ from 0."""
-    matched = F.length(F.lower(F.call_function("regexp_extract", F.col("text"), pattern, F.lit(0))))
-    lost = 1 - matched / F.length(F.lower(phrase))
+    first = F.call_function("regexp_extract", F.col("text"), pattern, F.lit(0))
+    lost = 1 - F.length(F.lower(first)) / F.length(F.lower(phrase))
     return F.when(match_case, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), lost))
 
 
 def with_phrase_counts(
     pages: DataFrame, rules: Sequence[TableRule], compiled: bool | None = None
 ) -> DataFrame:
-    """Add ``_counts`` (occurrences per distinct phrase) and ``_errors`` (null on ordinary pages)."""
-    phrases = _distinct_phrases(rules)
-    if compiled is None:
-        compiled = len(phrases) <= COMPILED_PHRASES
-    triples = [(t, c, literal_pattern(t, c)) for t, c in phrases]
-
-    def over_phrases(fn):
-        if compiled:
-            return F.array(*[fn(F.lit(t), F.lit(c), F.lit(p)) for t, c, p in triples])
-        listed = F.array(*[
-            F.struct(F.lit(t).alias("t"), F.lit(c).alias("c"), F.lit(p).alias("p")) for t, c, p in triples
-        ])
-        return F.transform(listed, lambda e: fn(e["t"], e["c"], e["p"]))
+    """Add ``_counts`` (occurrences per distinct phrase) and ``_errors`` (null on ordinary pages).
 
+    Only the count on ordinary pages is worth compiling; the rare pages with special letters
+    walk the phrase list, which keeps the generated code small enough to be optimized.
+    """
+    phrases = _distinct_phrases(rules)
+    listed = F.array(*[
+        F.struct(F.lit(t).alias("t"), F.lit(c).alias("c"), F.lit(literal_pattern(t, c)).alias("p"))
+        for t, c in phrases
+    ])
+    if compiled if compiled is not None else len(phrases) <= COMPILED_PHRASES:
+        plain = F.array(*[_plain_count(F.lit(t), F.lit(c)) for t, c in phrases])
+    else:
+        plain = F.transform(listed, lambda e: _plain_count(e["t"], e["c"]))
     special = F.lit(True) if any(is_special_phrase(t) for t, c in phrases if not c) else (
         has_special_letters(F.col("text"))
     )
+
+    def walk(fn):
+        return F.when(F.col("_special"), F.transform(listed, lambda e: fn(e["t"], e["c"], e["p"])))
+
     prepared = pages.withColumns({"_lowered": F.lower("text"), "_special": special})
     counted = with_once(prepared, {
-        "_counts": over_phrases(_phrase_count),
-        "_errors": F.when(F.col("_special"), over_phrases(_phrase_error)),
+        "_counts": F.coalesce(walk(_special_count), plain),
+        "_errors": walk(_special_error),
     })
     return counted.drop("_lowered", "_special")
 
@@ -108,28 +117,86 @@ def element_result(e: Column) -> Column:
 
     ``max_errors`` bounds how often the phrase may occur; the score ignores that bound.
     """
-    n = F.get(F.col("_counts"), e["slot"])
-    rate = F.when(n == 0, 1.0).otherwise(F.coalesce(F.get(F.col("_errors"), e["slot"]), F.lit(0.0)))
+    n, rate, found, score = _measures(e)
     return F.struct(
         e["elem_idx"].alias("elem_idx"),
         n.alias("n_matches"),
-        ((n >= 1) & (n <= e["max_errors"] + 1) & (rate <= e["max_error_rate"])).alias("found"),
+        found.alias("found"),
         rate.alias("error_rate"),
-        F.when(n == 0, 0.0).otherwise((1 - rate) * e["weight"]).alias("score"),
+        score.alias("score"),
     )
 
 
+def _measures(e: Column | Mapping[str, Column]) -> tuple[Column, Column, Column, Column]:
+    n = F.get(F.col("_counts"), e["slot"])
+    rate = F.when(n == 0, 1.0).otherwise(F.coalesce(F.get(F.col("_errors"), e["slot"]), F.lit(0.0)))
+    found = (n >= 1) & (n <= e["max_errors"] + 1) & (rate <= e["max_error_rate"])
+    return n, rate, found, F.when(n == 0, 0.0).otherwise((1 - rate) * e["weight"])
+
+
+def _decide(
+    r: Column | Mapping[str, Column], count: Column, total: Column, weight: Column
+) -> tuple[Column, Column]:
+    """Found flag and score of a table from its found elements and their weighted sum."""
+    strategy, share = r["match_strategy"], count / total
+    weighted = F.when(r["total_weight"] > 0, weight / r["total_weight"]).otherwise(0.0)
+    found = (
+        F.when(total == 0, F.lit(False))
+        .when(strategy == "all_elements", count == total)
+        .when(strategy == "min_count", count >= r["min_elements"])
+        .when(strategy == "min_percentage", share >= r["min_percentage"])
+        .otherwise(weighted >= r["min_score"])
+    )
+    return found, F.when(total == 0, 0.0).when(strategy == "weighted_score", weighted).otherwise(share)
+
+
+def _may_qualify(rules: Sequence[TableRule], min_confidence: float) -> Column:
+    """True on pages on which some rule is met, as one compiled expression over the counts."""
+    slots = {key: i for i, key in enumerate(_distinct_phrases(rules))}
+    met = []
+    for r in rules:
+        measures = [
+            _measures({
+                "slot": F.lit(slots[p.search_text, p.match_case]),
+                "max_errors": F.lit(p.max_errors),
+                "max_error_rate": F.lit(float(p.max_error_rate)),
+                "weight": F.lit(float(p.weight)),
+            })
+            for p in r.phrases
+        ]
+        limits = {
+            "match_strategy": F.lit(r.match_strategy),
+            "min_elements": F.lit(r.min_elements),
+            "min_percentage": F.lit(float(r.min_percentage)),
+            "min_score": F.lit(float(r.min_score)),
+            "total_weight": F.lit(float(sum(p.weight for p in r.phrases))),
+        }
+        count = reduce(add, [found.cast("int") for _, _, found, _ in measures])
+        weight = reduce(add, [score for _, _, _, score in measures], F.lit(0.0))
+        found, score = _decide(limits, count, F.lit(len(r.phrases)), weight)
+        met.append(found & (score >= min_confidence))
+    return reduce(or_, met)
+
+
 def with_element_results(
-    pages: DataFrame, rules: Sequence[TableRule], compiled: bool | None = None, skip_empty: bool = False
+    pages: DataFrame,
+    rules: Sequence[TableRule],
+    compiled: bool | None = None,
+    qualifying: float | None = None,
 ) -> DataFrame:
     """Add ``_tables``: per rule its thresholds and the element results of this page.
 
-    ``skip_empty`` drops pages without any occurrence before results are built, unless a
-    rule can be met without one.
+    With ``qualifying`` given, pages on which no rule is met with that score may be dropped
+    before results are built.
     """
     counted = with_phrase_counts(pages, rules, compiled)
-    if skip_empty and not any(r.matches_without_hits() for r in rules):
-        counted = counted.filter(F.exists("_counts", lambda n: n > 0))
+    if qualifying is not None:
+        if compiled is None:
+            compiled = len(_distinct_phrases(rules)) <= COMPILED_PHRASES
+        if compiled:
+            counted = counted.filter(_may_qualify(rules, qualifying))
+        elif not any(r.matches_without_hits() for r in rules):
+            counted = counted.filter(F.exists("_counts", lambda n: n > 0))
     tables = F.transform(
         _literal_rules(rules),
         lambda r: r.withField("elements", F.transform(r["elements"], element_result)),
@@ -137,30 +204,12 @@ def with_element_results(
     return with_once(counted, {"_tables": tables}).drop("_counts", "_errors")
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def found_count(elements: Column) -> Column:
-    return F.size(F.filter(elements, lambda e: e["found"]))
-
-
 def table_verdict(r: Column) -> Column:
     """Apply the match rule of ``r`` to its element results."""
-    strategy, elements = r["match_strategy"], r["elements"]
-    c, total = found_count(elements), F.size(elements)
-    share = c / total
-    weighted = F.when(
-        r["total_weight"] > 0, _sum(F.transform(elements, lambda e: e["score"])) / r["total_weight"]
-    ).otherwise(0.0)
-    found = (
-        F.when(total == 0, F.lit(False))
-        .when(strategy == "all_elements", c == total)
-        .when(strategy == "min_count", c >= r["min_elements"])
-        .when(strategy == "min_percentage", share >= r["min_percentage"])
-        .otherwise(weighted >= r["min_score"])
-    )
-    score = F.when(total == 0, 0.0).when(strategy == "weighted_score", weighted).otherwise(share)
+    elements = r["elements"]
+    c, total = F.size(F.filter(elements, lambda e: e["found"])), F.size(elements)
+    weight = F.aggregate(elements, F.lit(0.0), lambda acc, e: acc + e["score"])
+    found, score = _decide(r, c, total, weight)
     return F.struct(
         *[r[f].alias(f) for f in ("table_name", "match_strategy", "min_elements", "min_percentage", "min_score")],
         c.alias("found_count"),
@@ -214,7 +263,7 @@ def table_verdicts(
     pages: DataFrame,
     rules: Sequence[TableRule],
     strategy: str | None = None,
-    skip_empty: bool = False,
+    qualifying: float | None = None,
     compiled: bool | None = None,
 ) -> DataFrame:
     """One row per page and table with found flag, score and details, qualifying or not.
@@ -226,7 +275,7 @@ def table_verdicts(
     if not chosen:
         raise ValueError(f"no table uses {strategy}")
     return (
-        with_element_results(pages, chosen, compiled, skip_empty)
+        with_element_results(pages, chosen, compiled, qualifying)
         .select(*keys, F.explode_outer(F.transform("_tables", table_verdict)).alias("v"))
         .select(*keys, "v.*")
         .withColumn("details", verdict_details())
@@ -241,7 +290,7 @@ def page_verdicts(
     compiled: bool | None = None,
 ) -> DataFrame:
     """The qualifying (page, table) pairs: found, and score at least ``min_confidence``."""
-    return table_verdicts(pages, rules, skip_empty=True, compiled=compiled).filter(
+    return table_verdicts(pages, rules, qualifying=min_confidence, compiled=compiled).filter(
         F.col("found") & (F.col("score") >= min_confidence)
     )
 
@@ -440,7 +489,7 @@ def condition_matrix(
         F.transform("_tables", table_verdict), lambda v: v["found"] & (v["score"] >= min_confidence)
     )
     wide = (
-        with_once(with_element_results(pages, rules, skip_empty=True), {"_flags": flags})
+        with_once(with_element_results(pages, rules, qualifying=min_confidence), {"_flags": flags})
         .filter(F.exists("_flags", lambda f: f))
         .select(*keys, *[F.get(F.col("_flags"), F.lit(i)).alias(r.name) for i, r in enumerate(rules)])
     )

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from pagesieve.operators import analysis, detect
 from pagesieve.plans import analysis as plan
 from pagesieve.plans import fixtures as fx
-from pagesieve.plans.detection_queries import DETECTIONS_SQL
+from pagesieve.plans.detection_queries import DETECTIONS_SQL, searched
 from pagesieve.session import work_folder
 from pagesieve.sources import detections as io
 
 
 def detections(spark, sf_dir) -> DataFrame:
     """Two searches, at confidence 0 and 0.6; the first one knows the path of odd documents only."""
-    pages, meta = fx.pages(spark, sf_dir), fx.meta(spark, sf_dir)
+    meta = fx.meta(spark, sf_dir)
 
     def search(seq: int, minimum: float) -> DataFrame:
-        found = detect.detect_tables(pages, fx.RULES, minimum)
+        found = searched(spark, sf_dir, minimum)
         rounded = found.withColumn("confidence_score", F.round("confidence_score", 6))
         return detect.with_file_paths(rounded, meta).withColumn("seq", F.lit(seq))
 

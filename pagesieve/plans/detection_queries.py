@@ -10,6 +10,7 @@ from pagesieve.operators import detect
 from pagesieve.operators.page_view import join_channels, pages_combined
 from pagesieve.plans import fixtures as fx
 from pagesieve.plans.fixtures import RULES
+from pagesieve.session import work_folder
 
 
 def flat(detections: DataFrame) -> DataFrame:
@@ -37,8 +38,17 @@ def _verdicts_sql(strategy):
         from fx_verdicts where strategy = '{strategy}'""")
 
 
-def _detections(spark, sf_dir, min_confidence=0.0):
-    return detect.detect_tables(fx.pages(spark, sf_dir), RULES, min_confidence)
+_searched: dict[tuple[str, str, float], str] = {}
+
+
+def searched(spark, sf_dir, min_confidence=0.0) -> DataFrame:
+    """Detections for the summaries: searched once per session and folder, written, and read back."""
+    key = (spark.sparkContext.applicationId, sf_dir, min_confidence)
+    if key not in _searched:
+        path = work_folder(spark, "searched")
+        detect.detect_tables(fx.pages(spark, sf_dir), RULES, min_confidence).write.parquet(path)
+        _searched[key] = path
+    return spark.read.parquet(_searched[key])
 
 
 # page verdicts rolled up per document, shared by the SQL of several queries
@@ -96,7 +106,7 @@ def page_verdicts(spark, sf_dir):
 
 
 def detect_tables(spark, sf_dir):
-    return flat(_detections(spark, sf_dir))
+    return flat(detect.detect_tables(fx.pages(spark, sf_dir), RULES))
 
 
 def detect_tables_channels(spark, sf_dir):
@@ -119,21 +129,21 @@ def detect_subset(spark, sf_dir):
 def normalize_path(spark, sf_dir):
     """Every third document has no metadata here."""
     meta = fx.meta(spark, sf_dir).filter("doc_id % 3 <> 0")
-    return detect.with_file_paths(_detections(spark, sf_dir), meta).select(
+    return detect.with_file_paths(searched(spark, sf_dir), meta).select(
         "doc_id", "table_name", "part", "file_path"
     )
 
 
 def summary_totals(spark, sf_dir):
-    return detect.summary_totals(_detections(spark, sf_dir), fx.table(spark, sf_dir, "documents"))
+    return detect.summary_totals(searched(spark, sf_dir), fx.table(spark, sf_dir, "documents"))
 
 
 def summary_by_document(spark, sf_dir):
-    return flat(detect.summary_by_document(_detections(spark, sf_dir)))
+    return flat(detect.summary_by_document(searched(spark, sf_dir)))
 
 
 def summary_by_type(spark, sf_dir):
-    return flat(detect.summary_by_type(_detections(spark, sf_dir)))
+    return flat(detect.summary_by_type(searched(spark, sf_dir)))
 
 
 def condition_matrix(spark, sf_dir):
