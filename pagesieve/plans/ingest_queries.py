@@ -224,8 +224,9 @@ def failed_files(spark, sf_dir):
 
 
 def _stream_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a pattern, because the table may be one file or a folder of files
     raw = ingest_stream.read_extracts(
-        spark, sf_dir, "doc_id bigint, text string, lang string, source string, n_chars bigint", "documents.parquet"
+        spark, f"{sf_dir}/documents.parque[t]", "doc_id bigint, text string, source string, n_chars bigint"
     )
     channel_pair = F.transform(
         F.split("text", "\n"),

@@ -6,22 +6,20 @@ repeated after a failure replaces itself and nothing is stored twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from pagesieve.operators.ingest import normalize_page_text, to_process
 from pagesieve.sources.store import PageStore, unroll_pages
 
 
-def read_extracts(spark, folder: str, schema: str, glob: str = "*.parquet", files_per_batch: int = 1000):
-    """Stream of the Parquet files that appear in a folder."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+def read_extracts(
+    spark: SparkSession, path: str, schema: str | StructType, files_per_batch: int = 1000
+) -> DataFrame:
+    """Stream of the Parquet files that appear in a folder, or under a path pattern."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def store_extracts(
