@@ -63,18 +63,6 @@ def count_literal(text: Column, needle: Column) -> Column:
     return F.when(F.contains(text, needle), count).otherwise(0)
 
 
-def fixed(value: Column, decimals: int) -> Column:
-    """Decimal text rounded half-even on the exact binary value, without digit grouping.
-
-    Of all ties at one and three decimals below 1, only 0.0005 comes out otherwise (0.000).
-    """
-    return F.replace(F.format_number(value, decimals), F.lit(","), F.lit(""))
-
-
-def round_even(value: Column, decimals: int) -> Column:
-    return fixed(value, decimals).cast("double")
-
-
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

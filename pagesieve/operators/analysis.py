@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.functions.blocks import PAGE_BLOCK
+from pagesieve.functions.numbers import mean
 from pagesieve.operators.detect import first_parts, paged_groups
 
 GROUP = ["document_name", "table_name"]
@@ -19,7 +20,7 @@ def consolidate(detections: DataFrame, pages_per_part: int = PAGE_BLOCK) -> Data
     path = F.when(F.col("file_path") != "", F.col("file_path"))
     order = F.col("seq") if "seq" in detections.columns else F.col("file_path")
     stats = first_parts(detections).groupBy(*GROUP).agg(
-        F.avg("confidence_score").alias("confidence"),
+        mean(F.col("confidence_score")).alias("confidence"),
         F.coalesce(F.min_by(path, F.when(path.isNotNull(), order)), F.lit("")).alias("file_path"),
     )
     pages = detections.select(*GROUP, F.explode("pages_found").alias("page"))
@@ -66,7 +67,7 @@ def table_stats(consolidated: DataFrame) -> DataFrame:
     return first_parts(consolidated).groupBy("table_name").agg(
         F.count("*").alias("documents"),
         F.count("*").alias("occurrences"),
-        F.avg("confidence").alias("avg_confidence"),
+        mean(F.col("confidence")).alias("avg_confidence"),
         F.min("confidence").alias("min_confidence"),
         F.max("confidence").alias("max_confidence"),
     )
@@ -76,7 +77,7 @@ def document_stats(consolidated: DataFrame) -> DataFrame:
     return first_parts(consolidated).groupBy("document_name").agg(
         F.count("*").alias("tables"),
         F.count("*").alias("occurrences"),
-        F.avg("confidence").alias("avg_confidence"),
+        mean(F.col("confidence")).alias("avg_confidence"),
     )
 
 
@@ -88,7 +89,7 @@ def confidence_bands(consolidated: DataFrame) -> DataFrame:
     """High from 0.7, medium from 0.4, low below."""
     c = F.col("confidence")
     return first_parts(consolidated).groupBy("table_name").agg(
-        F.avg(c).alias("avg_confidence"),
+        mean(c).alias("avg_confidence"),
         F.count_if(c >= 0.7).alias("high"),
         F.count_if((c >= 0.4) & (c < 0.7)).alias("medium"),
         F.count_if(c < 0.4).alias("low"),

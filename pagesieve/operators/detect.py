@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pagesieve.definitions import TableRule
 from pagesieve.functions.blocks import PAGE_BLOCK, document_blocks, page_block
 from pagesieve.functions.frames import one_row, with_once
+from pagesieve.functions.numbers import compensated_sum, fixed
 from pagesieve.functions.text import (
     count_literal,
-    fixed,
     has_special_letters,
     is_special_phrase,
     literal_pattern,
@@ -34,6 +34,10 @@ def _distinct_phrases(rules: Sequence[TableRule]) -> list[tuple[str, bool]]:
     return list(dict.fromkeys((p.search_text, p.match_case) for r in rules for p in r.phrases))
 
 
+def _is_compiled(rules: Sequence[TableRule], wanted: bool | None) -> bool:
+    return len(_distinct_phrases(rules)) <= COMPILED_PHRASES if wanted is None else wanted
+
+
 def _literal_rules(rules: Sequence[TableRule]) -> Column:
     """The rules as one constant array; ``slot`` points into the array of phrase counts."""
     slots = {key: i for i, key in enumerate(_distinct_phrases(rules))}
@@ -93,7 +97,7 @@ def with_phrase_counts(
         F.struct(F.lit(t).alias("t"), F.lit(c).alias("c"), F.lit(literal_pattern(t, c)).alias("p"))
         for t, c in phrases
     ])
-    if compiled if compiled is not None else len(phrases) <= COMPILED_PHRASES:
+    if _is_compiled(rules, compiled):
         plain = F.array(*[_plain_count(F.lit(t), F.lit(c)) for t, c in phrases])
     else:
         plain = F.transform(listed, lambda e: _plain_count(e["t"], e["c"]))
@@ -151,7 +155,11 @@ def _decide(
 
 
 def _may_qualify(rules: Sequence[TableRule], min_confidence: float) -> Column:
-    """True on pages on which some rule is met, as one compiled expression over the counts."""
+    """True on pages on which some rule can be met, as one compiled expression over the counts.
+
+    Sums are plain here and get some slack; the verdict itself decides.
+    """
+    slack = 1e-9
     slots = {key: i for i, key in enumerate(_distinct_phrases(rules))}
     met = []
     for r in rules:
@@ -168,13 +176,13 @@ def _may_qualify(rules: Sequence[TableRule], min_confidence: float) -> Column:
             "match_strategy": F.lit(r.match_strategy),
             "min_elements": F.lit(r.min_elements),
             "min_percentage": F.lit(float(r.min_percentage)),
-            "min_score": F.lit(float(r.min_score)),
+            "min_score": F.lit(r.min_score - slack),
             "total_weight": F.lit(float(sum(p.weight for p in r.phrases))),
         }
         count = reduce(add, [found.cast("int") for _, _, found, _ in measures])
         weight = reduce(add, [score for _, _, _, score in measures], F.lit(0.0))
         found, score = _decide(limits, count, F.lit(len(r.phrases)), weight)
-        met.append(found & (score >= min_confidence))
+        met.append(found & (score >= min_confidence - slack))
     return reduce(or_, met)
 
 
@@ -191,9 +199,7 @@ def with_element_results(
     """
     counted = with_phrase_counts(pages, rules, compiled)
     if qualifying is not None:
-        if compiled is None:
-            compiled = len(_distinct_phrases(rules)) <= COMPILED_PHRASES
-        if compiled:
+        if _is_compiled(rules, compiled):
             counted = counted.filter(_may_qualify(rules, qualifying))
         elif not any(r.matches_without_hits() for r in rules):
             counted = counted.filter(F.exists("_counts", lambda n: n > 0))
@@ -208,7 +214,7 @@ def table_verdict(r: Column) -> Column:
     """Apply the match rule of ``r`` to its element results."""
     elements = r["elements"]
     c, total = F.size(F.filter(elements, lambda e: e["found"])), F.size(elements)
-    weight = F.aggregate(elements, F.lit(0.0), lambda acc, e: acc + e["score"])
+    weight = compensated_sum(F.transform(elements, lambda e: e["score"]))
     found, score = _decide(r, c, total, weight)
     return F.struct(
         *[r[f].alias(f) for f in ("table_name", "match_strategy", "min_elements", "min_percentage", "min_score")],
@@ -414,8 +420,7 @@ def detect_tables(
     """
     hits = page_verdicts(pages, rules, min_confidence, compiled)
     item = F.struct("page", "score", "details")
-    scores = F.aggregate("items", F.lit(0.0), lambda acc, x: acc + x["score"])
-    totals = {"n_pages": F.sum(F.size("items")), "total_score": F.sum(scores)}
+    totals = {"n_pages": F.sum(F.size("items")), "total_score": F.sum(compensated_sum(F.col("items.score")))}
     grouped = paged_groups(hits, ["doc_id", "table_name"], item, totals, pages_per_part)
     lines = F.transform(
         "items",

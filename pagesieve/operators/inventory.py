@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pagesieve.functions.blocks import join_documents, page_spine
 from pagesieve.functions.frames import one_row
-from pagesieve.functions.text import fixed, round_even, sanitize
+from pagesieve.functions.numbers import fixed, round_even
+from pagesieve.functions.text import sanitize
 
 MISSING = "N/A"
 

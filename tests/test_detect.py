@@ -182,3 +182,22 @@ def test_paths_and_summaries(spark):
     assert {r.total_occurrences for r in detect.summary_by_type(found).collect()} == {2}
     only = only_documents(frame(spark, rows), spark.createDataFrame([("e",)], "doc_id string"))
     assert {r.doc_id for r in detect.detect_tables(only, [BALANCE]).collect()} == {"e"}
+
+
+@pytest.mark.parametrize("compiled", [True, False])
+def test_scores_meet_thresholds_like_python_sums(spark, compiled):
+    rule = TableRule("t", tuple(Phrase(f"<{i}>", weight=0.1) for i in range(10)), "weighted_score", min_score=1.0)
+    text = "".join(f"<{i}>" for i in range(10))
+    (row,) = detect.detect_tables(frame(spark, [("d", 1, text)]), [rule], 1.0, compiled=compiled).collect()
+    assert row.confidence_score == 1.0
+    part = TableRule("p", (Phrase("a", weight=0.1), Phrase("b", weight=0.2), Phrase("c", weight=0.7)), "weighted_score", min_score=0.3)
+    score = sum([0.1, 0.2]) / sum([0.1, 0.2, 0.7])
+    got = detect.detect_tables(frame(spark, [("d", 1, "a b")]), [part], compiled=compiled).collect()
+    assert len(got) == (score >= 0.3) and all(r.confidence_score == score for r in got)
+
+
+def test_many_phrases(spark):
+    rules = [TableRule(f"t{j}", tuple(Phrase(f"w{j}x{i} ") for i in range(20)), "min_count", min_elements=1) for j in range(60)]
+    rows = [("d", p, f"w{p}x3 w{p + 1}x0 ") for p in range(1, 30)]
+    got = {(r.table_name, tuple(r.pages_found)) for r in detect.detect_tables(frame(spark, rows), rules).collect()}
+    assert ("t1", (1,)) in got and ("t5", (4, 5)) in got and len(got) == 30

@@ -4,10 +4,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pagesieve.functions.numbers import compensated_sum, fixed, mean
 from pagesieve.functions.text import (
     WHITESPACE,
     count_literal,
-    fixed,
     literal_pattern,
     sanitize,
     strip,
@@ -64,3 +64,22 @@ def test_sanitize(spark):
     }
     got = values(spark, [(k,) for k in cases], "t string", sanitize(F.col("t")))
     assert got == list(cases.values())
+
+
+@SLOW
+@given(st.lists(st.lists(st.sampled_from([0.1, 0.2, 0.3, 0.7, 1.0, 1 / 3, 2.5, 1e-9]), max_size=12), min_size=50, max_size=80))
+def test_sums_equal_python(spark, lists):
+    sums = values(spark, [(x,) for x in lists], "x array<double>", compensated_sum(F.col("x")))
+    assert sums == [float(sum(x)) for x in lists]
+
+
+def test_mean_equals_python(spark):
+    shares = [0.7, 0.1, 1 / 3, 2 / 3, 0.9 / 2.7, 1.0, 0.0, 0.4, 0.55]
+    lists = [[0.7] * 3, [0.1] * 10, [1.0]] + [
+        [shares[(i * k + j) % len(shares)] for j in range(i)] for i in range(2, 40) for k in (1, 2, 5)
+    ]
+    rows = [(i, x) for i, xs in enumerate(lists) for x in [*xs, None]]
+    df = spark.createDataFrame(rows, "i int, x double").repartition(4)
+    means = [r[1] for r in df.groupBy("i").agg(mean(F.col("x"))).orderBy("i").collect()]
+    assert means == [sum(xs) / len(xs) for xs in lists]
+    assert df.limit(0).agg(mean(F.col("x"))).first()[0] is None
