@@ -253,6 +253,16 @@ def _keys(pages: DataFrame) -> list[str]:
     return [c for c in pages.columns if c != "text"]
 
 
+def page_element_pairs(pages: DataFrame, rules: Sequence[TableRule]) -> DataFrame:
+    """Every page with every element of every table; no text is read for it."""
+    elements = F.array(*[
+        F.struct(F.lit(r.name).alias("table_name"), F.lit(i).alias("elem_idx"))
+        for r in rules
+        for i in range(len(r.phrases))
+    ])
+    return pages.select(*_keys(pages), F.inline(elements))
+
+
 def element_results(
     pages: DataFrame, rules: Sequence[TableRule], compiled: bool | None = None
 ) -> DataFrame:

@@ -65,9 +65,7 @@ def detections_sql(body: str, minimum: float = 0.0, views: list[str] | None = No
 
 
 def page_element_pairs(spark, sf_dir):
-    return detect.element_results(fx.pages(spark, sf_dir), RULES).select(
-        "doc_id", "page", "table_name", "elem_idx"
-    )
+    return detect.page_element_pairs(fx.pages(spark, sf_dir), RULES)
 
 
 def element_counts(spark, sf_dir):

@@ -8,6 +8,7 @@ all of its pages.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,12 +80,12 @@ class PageStore:
         self.root = root.rstrip("/")
 
     def _read(self, table: str, schema: str) -> DataFrame:
-        path = f"{self.root}/{table}"
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(hadoop_path):
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
 
     def write_batch(self, batch: int, documents: DataFrame, pages: DataFrame) -> None:
         """Write one batch; writing the same batch again replaces it.
