@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from pagesieve.llm import pretokens
 from pagesieve.llm.shingles import BYTE, slice_hashes, text_chunks
+from pagesieve.llm.tables import map_arrow
 
 #: Slices kept by a task at a time; when they are more, the cache starts anew.
 CACHE_SLICES = 400_000
@@ -220,7 +221,7 @@ def _chunked(column: pa.Array, merger: Merger) -> Iterator[tuple[int, np.ndarray
 def _with(df: DataFrame, added: list[T.StructField], work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
     names = {f.name.lower() for f in added}
     rest = [f for f in df.schema.fields if f.name.lower() not in names]
-    return df.mapInArrow(lambda batches: chain.from_iterable(map(work, batches)), T.StructType(rest + added))
+    return map_arrow(df, lambda batches: chain.from_iterable(map(work, batches)), T.StructType(rest + added))
 
 
 def encode(docs: DataFrame, rank_path: str, column: str = "text") -> DataFrame:
@@ -252,7 +253,7 @@ def count_tokens(docs: DataFrame, rank_path: str, column: str = "text", into: st
         counts = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
         yield pa.RecordBatch.from_arrays([*batch.select(held).columns, pa.array(counts)], names=[*held, into])
 
-    return docs.mapInArrow(lambda batches: chain.from_iterable(map(work, batches)), schema)
+    return map_arrow(docs, lambda batches: chain.from_iterable(map(work, batches)), schema)
 
 
 def decode(df: DataFrame, rank_path: str, column: str = "ids", into: str = "decoded") -> DataFrame:

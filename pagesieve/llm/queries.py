@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import byte_bpe, exact_dedup, token_counts, vocabularies
-from pagesieve.llm.tables import table
+from pagesieve.llm import byte_bpe, exact_dedup, language_id, mixing, token_counts, vocabularies
+from pagesieve.llm.tables import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -32,7 +36,15 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op3_exact_dedup, op4_token_counts, op8_byte_bpe)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = language_id.fit(docs.filter(~held_out))
+    judged = language_id.predict(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {q.__name__: q for q in (op2_mixing, op3_exact_dedup, op4_token_counts, op8_byte_bpe, op9_language_id)}
 
 SQL = {
     "op3_exact_dedup": """

@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+import pagesieve
 
 from pagesieve.session import shared_folder
 
@@ -23,6 +33,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, which need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(pagesieve.__file__).parent
+    place, name = tempfile.mkstemp(suffix=".zip", prefix="pagesieve-")
+    os.close(place)
+    with zipfile.ZipFile(name, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(name)
+    _shipped.add(context.applicationId)
+
+
+def map_arrow(
+    df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
+) -> DataFrame:
+    """``mapInArrow`` with a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(work, schema)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`."""
     return F.crc32(doc_id.cast("string")) % folds
@@ -34,3 +70,16 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
+
+
+#: A side of at most so many narrow rows may be broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def join_checked(df: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join with a written `side`: broadcast if its rows, counted first, are few; else an ordinary join.
+
+    The ordinary join is between plain tables, so Spark can split its hot keys at run time.
+    """
+    few = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(side) if few else side, on, how)
