@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import byte_bpe, exact_dedup, language_id, mixing, secret_scan, token_counts, vocabularies
+from pagesieve.llm import byte_bpe, exact_dedup, html_text, language_id, mixing, secret_scan, token_counts, vocabularies
 from pagesieve.llm.tables import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -28,6 +28,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabularies.path(RANKS, spark)
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -48,7 +52,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {q.__name__: q for q in (op2_mixing, op3_exact_dedup, op4_token_counts, op5_secret_scan, op8_byte_bpe, op9_language_id)}
+QUERIES = {q.__name__: q for q in (op2_mixing, op3_exact_dedup, op4_token_counts, op5_secret_scan, op7_html_text, op8_byte_bpe, op9_language_id)}
 
 SQL = {
     "op3_exact_dedup": """
