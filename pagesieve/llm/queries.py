@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import byte_bpe, exact_dedup, html_text, language_id, mixing, secret_scan, token_counts, vocabularies
+from pagesieve.llm import byte_bpe, exact_dedup, html_text, language_id, mixing, secret_scan, token_counts, toxicity, vocabularies
 from pagesieve.llm.tables import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -28,6 +28,14 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    network = toxicity.fit(docs.filter(~held_out), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, network)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages").select("page_id", "html"))
 
@@ -52,7 +60,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {q.__name__: q for q in (op2_mixing, op3_exact_dedup, op4_token_counts, op5_secret_scan, op7_html_text, op8_byte_bpe, op9_language_id)}
+QUERIES = {q.__name__: q for q in (op2_mixing, op3_exact_dedup, op4_token_counts, op5_secret_scan, op6_toxicity, op7_html_text, op8_byte_bpe, op9_language_id)}
 
 SQL = {
     "op3_exact_dedup": """

@@ -73,8 +73,8 @@ def text_chunks(column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYT
         row = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z lower-cased, and the number of words of each text."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z lower-cased, their starts and ends, and the number of words of each text."""
     n = len(data)
     edge = np.ones(n + 1, dtype=bool)
     edge[1:] = _SPACE[data] if n else edge[1:]  # edge[i]: the byte before i is no part of a word
@@ -89,7 +89,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[ends_of_text[ends_of_text >= 0]] = True
     ends = np.flatnonzero(inner & after) + 1
     counts = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
-    return slice_hashes(_BYTE[data], starts, ends), counts
+    return slice_hashes(_BYTE[data], starts, ends), starts, ends, counts
 
 
 def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -105,7 +105,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
 
     A text of fewer words has its whole sequence as one shingle, a text without words none.
     """
-    words, counts = word_hashes(data, offsets)
+    words, _, _, counts = word_spans(data, offsets)
     first = np.concatenate([[0], np.cumsum(counts)])
     rows = np.repeat(np.arange(len(counts)), counts)
     mixed = words.copy()
