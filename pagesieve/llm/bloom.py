@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.llm.tables import cut
+
 WORDS = 1 << 16
 MOST_WORDS = 1 << 20
 BITS = 3
@@ -62,3 +64,16 @@ def probe(df: DataFrame, key: Column, filter_: DataFrame, flag: str, words: int
     joined = marked.join(held, F.col("__at") == F.col("__word"), "left")
     hit = F.coalesce(F.col("__bits").bitwiseAND(F.col("__need")) == F.col("__need"), F.lit(False))
     return joined.withColumn(flag, hit).drop("__need", "__at", "__word", "__bits")
+
+
+def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """The rows of `df` whose `column` is not among the values in `gone`, a table of that one column.
+
+    A filter of the values that go lets most rows that stay pass where they are; only the others are joined.
+    """
+    gone = cut(gone.select(F.col(column).alias("__gone")).dropna().distinct())
+    words = words_for(gone.count())
+    marked = probe(df, F.col(column), cut(build(gone, F.col("__gone"), words)), "__maybe", words)
+    stay = marked.filter(~F.col("__maybe")).drop("__maybe")
+    asked = marked.filter("__maybe").drop("__maybe")
+    return stay.unionByName(asked.join(gone, asked[column] == F.col("__gone"), "left_anti"))

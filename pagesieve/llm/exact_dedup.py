@@ -64,6 +64,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, all columns as they are; rows with a doc_id of one that goes, go."""
-    gone = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """The rows of `docs` that stay, all columns as they are; all rows with a doc_id that goes, go."""
+    return bloom.without(docs, "doc_id", exact_dedup(docs).filter(~F.col("kept")).select("doc_id"))

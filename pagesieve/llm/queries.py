@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import byte_bpe, exact_dedup, html_text, language_id, mixing, secret_scan, token_counts, toxicity, vocabularies
+from pagesieve.llm import byte_bpe, exact_dedup, html_text, jaccard_join, language_id, mixing, secret_scan, token_counts, toxicity, vocabularies
 from pagesieve.llm.tables import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
@@ -60,7 +64,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {q.__name__: q for q in (op2_mixing, op3_exact_dedup, op4_token_counts, op5_secret_scan, op6_toxicity, op7_html_text, op8_byte_bpe, op9_language_id)}
+QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_mixing, op3_exact_dedup, op4_token_counts, op5_secret_scan, op6_toxicity, op7_html_text, op8_byte_bpe, op9_language_id)}
 
 SQL = {
     "op3_exact_dedup": """
