@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.llm import byte_bpe, exact_dedup, html_text, jaccard_join, language_id, mixing, secret_scan, token_counts, toxicity, vocabularies
+from pagesieve.llm import (
+    byte_bpe,
+    embedding_join,
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    language_id,
+    mixing,
+    secret_scan,
+    token_counts,
+    toxicity,
+    vocabularies,
+)
 from pagesieve.llm.tables import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -64,7 +76,25 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_mixing, op3_exact_dedup, op4_token_counts, op5_secret_scan, op6_toxicity, op7_html_text, op8_byte_bpe, op9_language_id)}
+def op10_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_jaccard_join,
+        op2_mixing,
+        op3_exact_dedup,
+        op4_token_counts,
+        op5_secret_scan,
+        op6_toxicity,
+        op7_html_text,
+        op8_byte_bpe,
+        op9_language_id,
+        op10_embedding_join,
+    )
+}
 
 SQL = {
     "op3_exact_dedup": """
