@@ -5,12 +5,14 @@ Each document gets a rate, the number of times it is taken on average. Of all ra
 exponentially tilted: min(most, exp(lambda * size)), one lambda for each source. The lambdas solve the convex dual;
 they are found by Newton iterations over the histogram of sizes by source, safeguarded by a bracket.
 Rates are then rounded into copies: a document is taken floor(rate) times, and once more if a hash of
-its id is below the rest of its rate. That threshold is moved a little for each source until its words meet the
-target, and the last copy of at most one document of a source is cut short, so the mix takes the target to the word.
+its id is below the rest of its rate. That threshold is moved a little for each source until its words reach the target as
+far as whole documents do, and one more document, of about the size still missing, is taken if that comes nearer.
+
+A plan has one row for each source; it is applied to documents row by row, so texts are not moved.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; a null source is a source of its own, last in
-order; a source without words has target 0; rows that repeat a doc_id are mixed each for itself; an empty
-table gives an empty mix. Only doc_id, source and text are looked at.
+order; a source without words has target 0; rows that repeat a doc_id, source and size share one decision; an empty
+table gives an empty mix. Only doc_id, source and text are looked at; other columns stay with `apply`.
 """
 
 from __future__ import annotations
@@ -28,10 +30,8 @@ TOLERANCE = 1e-9
 NOTCHES = 1 << 14
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, the source as a key without nulls, and the number of words."""
-    words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", source_key().alias("key"), words.alias("size"))
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def source_key() -> Column:
@@ -111,69 +111,100 @@ def tilts(histogram: DataFrame, sources: DataFrame, most: float) -> DataFrame:
     return state.select(*sources.columns, "tilt")
 
 
-def mix(
+def _decisions(rows: DataFrame, found: DataFrame, most: int, seed: int) -> DataFrame:
+    """`rows` (doc_id, key, size, ...) with what the plan so far says of each document."""
+    rate = F.when((F.col("size") == 0) | (F.col("target") == 0), F.lit(0.0)).when(F.col("full"), F.lit(float(most)))
+    rate = rate.otherwise(F.least(F.exp(F.col("tilt") * F.col("size") / F.col("size_scale")), F.lit(float(most))))
+    chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53)
+    rest = F.col("rate") - F.col("whole")
+    return (
+        join_checked(rows, found, "key")
+        .withColumn("rate", rate)
+        .withColumn("whole", F.floor("rate"))
+        # Taken once more are those with the least edge; without a rest there is nothing to round up.
+        .withColumn("edge", F.when(rest > 0, chance - rest))
+        .withColumn("notch", F.floor((F.col("edge") + 1) * (NOTCHES // 2)))
+        .withColumn("mark", F.when(F.col("edge").isNotNull(), F.struct("edge", "doc_id", "size")))
+    )
+
+
+def plan(
     docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 20
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken, rate, copies: how many words of each document the mix takes.
+    """One row for each source: its target, its tilt, and which documents are rounded up.
 
     `weights` go to the sources in code point order and repeat; `share` is the size of the mix by that of
     all documents; no document is taken more than `most` times.
     """
-    rows = cut(sizes(docs))
+    rows = cut(docs.select("doc_id", "source", source_key().alias("key"), word_count(F.col("text")).alias("size")))
     sources = cut(targets(rows, weights, share, most))
     histogram = cut(rows.filter("size > 0").groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")))
     found = cut(tilts(histogram, sources, most))
-    rate = F.when(F.col("size") == 0, F.lit(0.0)).when(F.col("target") == 0, F.lit(0.0))
-    rate = rate.when(F.col("full"), F.lit(float(most)))
-    rate = rate.otherwise(F.least(F.exp(F.col("tilt") * F.col("size") / F.col("size_scale")), F.lit(float(most))))
-    chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53)
-    rated = (
-        join_checked(rows.drop("source"), found.drop("source"), "key")
-        .withColumn("rate", rate)
-        .withColumn("whole", F.floor("rate"))
-        .withColumn("rest", F.col("rate") - F.col("whole"))
-        # Taken once more are those with the least edge; without a rest there is nothing to round up.
-        .withColumn("edge", F.when(F.col("rest") > 0, chance - F.col("rest")))
-        .withColumn("notch", F.floor((F.col("edge") + 1) * (NOTCHES // 2)))
-    )
-    rated = cut(rated.select("doc_id", "key", "size", "source_size", "target", "rate", "whole", "edge", "notch"))
-    notches = cut(_notches(rated))
-    placed = join_checked(rated, notches, "key", "left")
-    extra = F.when(F.col("notch") < F.col("stop"), F.col("size")).otherwise(F.lit(0))
-    sure = placed.filter(F.col("notch").isNull() | F.col("stop").isNull() | (F.col("notch") != F.col("stop")))
-    upto = Window.partitionBy("key").orderBy("edge", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    open_ = placed.filter(F.col("notch") == F.col("stop"))
-    left = F.col("room") - F.coalesce(F.sum("size").over(upto), F.lit(0))
-    part = F.greatest(F.lit(0), F.least("size", left))
-    out = sure.withColumn("more", F.coalesce(extra, F.lit(0)).cast("long")).unionByName(
-        open_.withColumn("more", part.cast("long"))
-    )
-    return out.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken"),
-        "rate",
-        (F.col("whole") + F.when(F.col("more") > 0, 1).otherwise(0)).cast("int").alias("copies"),
+    rated = _decisions(rows.drop("source"), found.drop("source"), most, seed)
+    rated = cut(rated.select("key", "size", "target", "whole", "notch", "mark"))
+    stops = cut(_stops(rated))
+    # The few documents of a source in its last notch are put in order.
+    upto = Window.partitionBy("key").orderBy("mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = join_checked(rated, stops, "key").filter(F.col("notch") == F.col("stop"))
+    last = last.withColumn("used", F.sum("size").over(upto)).filter(F.col("used") <= F.col("room"))
+    last = last.groupBy("key").agg(F.max("mark").alias("upto"), F.max("used").alias("used"))
+    missing = F.col("room") - F.coalesce("used", F.lit(0))
+    ends = cut(join_checked(stops, cut(last), "key", "left").select("key", "stop", "upto", missing.alias("missing")))
+    spare = join_checked(rated, ends, "key").filter(F.col("mark").isNotNull() & ~_rounded_up())
+    gap = F.abs(F.col("size") - F.col("missing"))
+    nearest = spare.groupBy("key").agg(F.min(F.struct(gap.alias("gap"), "mark", "missing")).alias("near"))
+    nearest = nearest.filter("near.gap < near.missing").select("key", F.col("near.mark").alias("also"))
+    return cut(found.join(ends, "key", "left").join(nearest, "key", "left").drop("missing"))
+
+
+def _rounded_up() -> Column:
+    before = (F.col("notch") < F.col("stop")) | ((F.col("notch") == F.col("stop")) & (F.col("mark") <= F.col("upto")))
+    return F.coalesce(before, F.lit(False))
+
+
+def apply(docs: DataFrame, sources: DataFrame, most: int = 2, seed: int = 20) -> DataFrame:
+    """The rows of `docs` with size, source_size, target, taken, rate and copies in place of columns of these names."""
+    added = ["size", "source_size", "target", "taken", "rate", "copies"]
+    held = [c for c in docs.columns if c.lower() not in added]
+    packed = docs.select(
+        F.struct(*held).alias("row"), "doc_id", source_key().alias("key"), word_count(F.col("text")).alias("size")
     )
+    once_more = _rounded_up() | F.coalesce(F.col("mark") == F.col("also"), F.lit(False))
+    decided = _decisions(packed, sources.drop("source"), most, seed)
+    decided = decided.withColumn("copies", (F.col("whole") + once_more.cast("long")).cast("int"))
+    taken = (F.col("copies") * F.col("size")).cast("long")
+    return decided.withColumn("taken", taken).select("row.*", *added)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """doc_id, size, source_size, target, taken, rate, copies: how many words of each document the mix takes."""
+    mixed = apply(docs.select("doc_id", "source", "text"), plan(docs, weights, share, most), most)
+    return mixed.drop("source", "text")
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The mix itself: the rows of `docs`, each as often as it is taken."""
+    mixed = apply(docs, plan(docs, weights, share, most), most)
+    times = F.explode(F.sequence(F.lit(1), "copies")).alias("turn")
+    return mixed.filter("copies > 0").select("*", times).select(*docs.columns)
 
 
-def _notches(rated: DataFrame) -> DataFrame:
+def _stops(rated: DataFrame) -> DataFrame:
     """For each source the notch in which its words meet the target, and the room left for that notch."""
-    taken = F.col("whole") * F.col("size")
     by_notch = rated.groupBy("key", "notch").agg(
-        F.sum(taken).alias("taken"), F.sum("size").alias("words"), F.first("target").alias("target")
+        F.sum(F.col("whole") * F.col("size")).alias("taken"), F.sum("size").alias("words"), F.first("target").alias("target")
     )
     whole = Window.partitionBy("key")
     need = F.round(F.col("target")).cast("long") - F.sum("taken").over(whole)
     order = whole.orderBy(F.col("notch").asc_nulls_first())
     words = F.when(F.col("notch").isNull(), F.lit(0)).otherwise(F.col("words"))
     upto = F.sum(words).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    reached = F.col("notch").isNotNull() & (F.col("upto") >= F.col("need"))
+    room = F.col("need") - F.col("upto") + F.col("words")
     return (
         by_notch.select("key", "notch", need.alias("need"), words.alias("words"), upto.alias("upto"))
-        .filter(F.col("notch").isNotNull() & (F.col("upto") >= F.col("need")))
         .groupBy("key")
-        .agg(F.min(F.struct("notch", (F.col("need") - F.col("upto") + F.col("words")).alias("room"))).alias("at"))
-        .select("key", F.col("at.notch").alias("stop"), F.col("at.room").alias("room"))
+        .agg(F.min(F.when(reached, F.struct("notch", room.alias("room")))).alias("at"))
+        # A source whose rounded rates all stay below the target takes all that can be rounded up.
+        .select("key", F.coalesce("at.notch", F.lit(NOTCHES + 1)).alias("stop"), F.coalesce("at.room", F.lit(0)).alias("room"))
     )
