@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.llm.tables import cut
+from pagesieve.llm.tables import cut, free_name
 
 WORDS = 1 << 16
 MOST_WORDS = 1 << 20
@@ -55,15 +55,16 @@ def probe(df: DataFrame, key: Column, filter_: DataFrame, flag: str, words: int
 
     The filter has at most `words` rows, so it is broadcast and the rows of `df` stay where they are.
     """
-    held = F.broadcast(filter_.select(F.col("word").alias("__word"), F.col("bits").alias("__bits")))
-    need = None
+    word, bits, need, at = (free_name(df, f"__{c}") for c in ("word", "bits", "need", "at"))
+    held = F.broadcast(filter_.select(F.col("word").alias(word), F.col("bits").alias(bits)))
+    mask = None
     for bit in _bits(key):
         one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-        need = one if need is None else need.bitwiseOR(one)
-    marked = df.withColumns({"__need": need, "__at": _word(key, words)})
-    joined = marked.join(held, F.col("__at") == F.col("__word"), "left")
-    hit = F.coalesce(F.col("__bits").bitwiseAND(F.col("__need")) == F.col("__need"), F.lit(False))
-    return joined.withColumn(flag, hit).drop("__need", "__at", "__word", "__bits")
+        mask = one if mask is None else mask.bitwiseOR(one)
+    marked = df.withColumns({need: mask, at: _word(key, words)})
+    joined = marked.join(held, F.col(at) == F.col(word), "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(F.col(need)) == F.col(need), F.lit(False))
+    return joined.withColumn(flag, hit).drop(need, at, word, bits)
 
 
 def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
@@ -71,9 +72,10 @@ def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
 
     A filter of the values that go lets most rows that stay pass where they are; only the others are joined.
     """
-    gone = cut(gone.select(F.col(column).alias("__gone")).dropna().distinct())
+    key, maybe = free_name(df, "__gone"), free_name(df, "__maybe")
+    gone = cut(gone.select(F.col(column).alias(key)).dropna().distinct())
     words = words_for(gone.count())
-    marked = probe(df, F.col(column), cut(build(gone, F.col("__gone"), words)), "__maybe", words)
-    stay = marked.filter(~F.col("__maybe")).drop("__maybe")
-    asked = marked.filter("__maybe").drop("__maybe")
-    return stay.unionByName(asked.join(gone, asked[column] == F.col("__gone"), "left_anti"))
+    marked = probe(df, F.col(column), cut(build(gone, F.col(key), words)), maybe, words)
+    stay = marked.filter(~F.col(maybe)).drop(maybe)
+    asked = marked.filter(F.col(maybe)).drop(maybe)
+    return stay.unionByName(asked.join(gone, asked[column] == F.col(key), "left_anti"))

@@ -44,10 +44,11 @@ def targets(rows: DataFrame, weights: tuple[float, ...], share: float, most: flo
     The first sources in order of `most * size / weight` stop at their limits, the others share the rest by
     weight. This is where resharing the excess again and again ends.
     """
+    squares = F.sum(F.col("size").cast("decimal(19,0)") * F.col("size").cast("decimal(19,0)"))
     sources = rows.groupBy("key").agg(
         F.first("source").alias("source"),
         F.sum("size").alias("source_size"),
-        F.coalesce(F.sum(F.col("size") * F.col("size")) / F.sum("size"), F.lit(1.0)).alias("size_scale"),
+        F.coalesce(F.try_divide(squares.cast("double"), F.sum("size").cast("double")), F.lit(1.0)).alias("size_scale"),
     )
     turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
@@ -70,7 +71,7 @@ def tilts(histogram: DataFrame, sources: DataFrame, most: float) -> DataFrame:
     open_ = (~F.col("full")) & (F.col("target") > 0)
     state = sources.withColumns(
         {
-            "tilt": F.when(open_, F.log(F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0)),
+            "tilt": F.when(open_, F.log(F.try_divide("target", "source_size"))).otherwise(F.lit(0.0)),
             "low": F.col("size_scale") * -60.0,
             "high": F.col("size_scale") * float(most),
             "off": F.when(open_, F.lit(1.0)).otherwise(F.lit(0.0)),
@@ -82,20 +83,22 @@ def tilts(histogram: DataFrame, sources: DataFrame, most: float) -> DataFrame:
         x = F.col("size") / F.col("size_scale")
         words = F.col("n") * F.col("size")
         rate = F.exp(F.col("tilt") * x)
+        # Decimal sums are the same in any order, so reruns take the same steps.
+        exact = lambda term: F.sum(term.cast("decimal(38,12)")).cast("double")
         sums = joined.groupBy("key").agg(
-            F.sum(words * F.least(rate, F.lit(float(most)))).alias("got"),
-            F.sum(F.when(rate < most, words * rate * x).otherwise(F.lit(0.0))).alias("slope"),
+            exact(words * F.least(rate, F.lit(float(most)))).alias("got"),
+            exact(F.when(rate < most, words * rate * x).otherwise(F.lit(0.0))).alias("slope"),
         )
         over = F.col("got") > F.col("target")
         low = F.when(over, F.col("low")).otherwise(F.col("tilt"))
         high = F.when(over, F.col("tilt")).otherwise(F.col("high"))
-        newton = F.col("tilt") - (F.col("got") - F.col("target")) / F.col("slope")
+        newton = F.col("tilt") - F.try_divide(F.col("got") - F.col("target"), F.col("slope"))
         inside = (F.col("slope") > 0) & (newton > F.col("__low")) & (newton < F.col("__high"))
         moved = (
             state.join(sums, "key", "left")
             .withColumns({"__low": low, "__high": high})
             .withColumn("__tilt", F.when(inside, newton).otherwise((F.col("__low") + F.col("__high")) / 2))
-            .withColumn("__off", F.abs(F.col("got") - F.col("target")) / F.col("target"))
+            .withColumn("__off", F.try_divide(F.abs(F.col("got") - F.col("target")), F.col("target")))
         )
         fresh = F.col("got").isNotNull()
         close = F.col("__off") <= TOLERANCE

@@ -36,7 +36,7 @@ _MARK, _MARK_AS = "\ue000", "\ue001"
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Log-likelihood ratio in nats for each character above which a run is reported.
-THRESHOLD = 0.6
+THRESHOLD = 0.3
 #: About so many documents train the models; they are chosen by a hash of the id.
 SAMPLE = 20_000
 
