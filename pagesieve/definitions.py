@@ -7,12 +7,12 @@ to the tasks as literals of the plan.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import MISSING, dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The four match rules.
+# The four match rules. The defaults of the fields below are fixed values as well.
 STRATEGIES = ("all_elements", "min_count", "min_percentage", "weighted_score")
 
 
@@ -27,7 +27,7 @@ class Phrase:
 
     def __post_init__(self):
         if not self.search_text.strip():
-            raise ValueError("search_text cannot be empty")
+            raise ValueError("a phrase needs some text to look for")
         if self.max_errors < 0:
             raise ValueError("max_errors must be at least 0")
         if not 0.0 <= self.max_error_rate <= 1.0:
@@ -59,17 +59,13 @@ class TableRule:
         if not 0.0 <= self.min_score <= 1.0:
             raise ValueError("min_score must be between 0 and 1")
         if self.match_strategy == "min_count" and self.min_elements > len(self.phrases):
-            raise ValueError("min_elements cannot exceed the number of phrases")
+            raise ValueError("min_elements asks for more phrases than the table has")
 
     @classmethod
     def from_dict(cls, table: Mapping) -> TableRule:
-        """Build a rule from one entry of a definition file; absent fields take their defaults."""
-        fields = {k: v for k, v in table.items() if k != "text_elements" and v is not None}
-        phrases = [
-            Phrase(**{k: v for k, v in element.items() if v is not None})
-            for element in table.get("text_elements") or []
-        ]
-        return cls(phrases=tuple(phrases), **fields)
+        """Build a rule from one entry of a definition file; absent fields take their defaults, unknown ones are ignored."""
+        phrases = [Phrase(**_given(element, Phrase)) for element in table.get("text_elements") or []]
+        return cls(phrases=tuple(phrases), **_given(table, cls))
 
     def matches_without_hits(self) -> bool:
         """True if a page can qualify although none of the phrases occurs on it."""
@@ -78,8 +74,27 @@ class TableRule:
         )
 
 
+def _given(values: Mapping, kind: type) -> dict:
+    known = {f.name for f in fields(kind)} - {"phrases"}
+    return {k: v for k, v in values.items() if k in known and v is not None}
+
+
+def defaults(kind: type) -> dict:
+    """The default values of a definition's fields."""
+    return {f.name: f.default for f in fields(kind) if f.default is not MISSING}
+
+
+#: Definitions become literals of a plan; more than so many do not fit in one.
+MOST_RULES = 5_000
+
+
 def rules_from_frame(definitions: DataFrame) -> list[TableRule]:
-    """Rules out of a definition DataFrame as read by ``sources.definitions``, in file order."""
+    """Rules out of a definition DataFrame as read by ``sources.definitions``, in file order.
+
+    Larger tables of definitions are joined with the pages instead, see ``operators.detect_join``.
+    """
+    if definitions.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} definitions: use operators.detect_join")
     ordered = definitions.orderBy("table_idx") if "table_idx" in definitions.columns else definitions
     wanted = [
         "name", "text_elements", "match_strategy", "min_elements",

@@ -25,3 +25,16 @@ def one_row(*totals: DataFrame) -> DataFrame:
     columns = [c for t in totals for c in t.columns]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), totals)
     return rows.agg(*[F.max(c).alias(c) for c in columns])
+
+
+#: A side of at most so many narrow rows may be broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def join_checked(df: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join with a narrow ``side``: broadcast if its rows, counted first, are few, so that ``df`` stays where it is.
+
+    A longer side is joined the ordinary way.
+    """
+    few = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(side) if few else side, on, how)

@@ -22,14 +22,14 @@ def compensated_sum(values: Column) -> Column:
     return F.aggregate(values, start, step, lambda acc: acc["total"] + acc["lost"])
 
 
-def mean(share: Column) -> Column:
-    """Aggregate: mean of doubles from 0 to 1, the same whatever the order of the rows.
+def exact_sum(value: Column) -> Column:
+    """Aggregate: sum of doubles, taken to 18 decimals, the same whatever the order of the rows."""
+    return F.sum(value.cast("decimal(38,18)")).cast("double")
 
-    Times 2**62 such a number is a whole one, so the sum is exact and rounded once.
-    """
-    unit = 2.0**62
-    total = F.sum((share * unit).cast("bigint").cast("decimal(19,0)")).cast("double") / unit
-    return F.try_divide(total, F.count(share))
+
+def mean(value: Column) -> Column:
+    """Aggregate: mean of doubles, the same whatever the order of the rows."""
+    return F.try_divide(exact_sum(value), F.count(value))
 
 
 def fixed(value: Column, decimals: int) -> Column:

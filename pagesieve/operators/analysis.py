@@ -5,41 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagesieve.functions.blocks import PAGE_BLOCK
 from pagesieve.functions.numbers import mean
-from pagesieve.operators.detect import first_parts, paged_groups
 
 GROUP = ["document_name", "table_name"]
 
 
-def consolidate(detections: DataFrame, pages_per_part: int = PAGE_BLOCK) -> DataFrame:
-    """One row per (document, table): distinct sorted pages, mean confidence, first path given.
+def consolidated_pages(detections: DataFrame) -> DataFrame:
+    """The distinct pages of each (document, table), one row each."""
+    return detections.select(*GROUP, F.explode("pages_found").alias("page")).distinct()
 
-    Pages are made distinct before the shuffle, within page blocks; see ``paged_groups``.
+
+def consolidate(detections: DataFrame) -> DataFrame:
+    """One row per (document, table): number of distinct pages, mean confidence, first path given.
+
+    The pages are the rows of ``consolidated_pages``, as there may be any number of them.
     """
     path = F.when(F.col("file_path") != "", F.col("file_path"))
     order = F.col("seq") if "seq" in detections.columns else F.col("file_path")
-    stats = first_parts(detections).groupBy(*GROUP).agg(
+    stats = detections.groupBy(*GROUP).agg(
         mean(F.col("confidence_score")).alias("confidence"),
         F.coalesce(F.min_by(path, F.when(path.isNotNull(), order)), F.lit("")).alias("file_path"),
     )
-    pages = detections.select(*GROUP, F.explode("pages_found").alias("page"))
-    listed = paged_groups(pages, GROUP, F.struct("page"), {}, pages_per_part, collect=F.collect_set)
-    return stats.join(listed, GROUP, "left").select(
-        *GROUP,
-        F.coalesce(F.col("items.page"), F.array().cast("array<int>")).alias("pages"),
-        "confidence",
-        "file_path",
-        F.coalesce("part", F.lit(0)).alias("part"),
+    pages = consolidated_pages(detections).groupBy(*GROUP).agg(F.count("*").alias("n_pages"))
+    return stats.join(pages, GROUP, "left").select(
+        *GROUP, F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "confidence", "file_path"
     )
 
 
 def tables_by_document(consolidated: DataFrame) -> DataFrame:
-    return consolidated.select("document_name", "table_name", "pages", "confidence", "file_path", "part")
+    return consolidated.select("document_name", "table_name", "n_pages", "confidence", "file_path")
 
 
 def documents_by_table(consolidated: DataFrame) -> DataFrame:
-    return consolidated.select("table_name", "document_name", "pages", "confidence", "file_path", "part")
+    return consolidated.select("table_name", "document_name", "n_pages", "confidence", "file_path")
 
 
 def _per(total: Column, parts: Column) -> Column:
@@ -49,8 +47,7 @@ def _per(total: Column, parts: Column) -> Column:
 def analysis_totals(detections: DataFrame) -> DataFrame:
     """Detections, documents, tables, and detections per document and per table."""
     return (
-        first_parts(detections)
-        .agg(
+        detections.agg(
             F.count("*").alias("total_detections"),
             F.count_distinct("document_name").alias("unique_documents"),
             F.count_distinct("table_name").alias("unique_tables"),
@@ -64,7 +61,7 @@ def analysis_totals(detections: DataFrame) -> DataFrame:
 
 def table_stats(consolidated: DataFrame) -> DataFrame:
     """One row of ``consolidated`` is one document, so documents need no distinct count."""
-    return first_parts(consolidated).groupBy("table_name").agg(
+    return consolidated.groupBy("table_name").agg(
         F.count("*").alias("documents"),
         F.count("*").alias("occurrences"),
         mean(F.col("confidence")).alias("avg_confidence"),
@@ -74,21 +71,22 @@ def table_stats(consolidated: DataFrame) -> DataFrame:
 
 
 def document_stats(consolidated: DataFrame) -> DataFrame:
-    return first_parts(consolidated).groupBy("document_name").agg(
+    return consolidated.groupBy("document_name").agg(
         F.count("*").alias("tables"),
         F.count("*").alias("occurrences"),
         mean(F.col("confidence")).alias("avg_confidence"),
     )
 
 
-def document_table_pages(consolidated: DataFrame) -> DataFrame:
-    return consolidated.select("document_name", "table_name", "pages", "part")
+def document_table_pages(detections: DataFrame) -> DataFrame:
+    """Per document and table its pages, one row each."""
+    return consolidated_pages(detections)
 
 
 def confidence_bands(consolidated: DataFrame) -> DataFrame:
     """High from 0.7, medium from 0.4, low below."""
     c = F.col("confidence")
-    return first_parts(consolidated).groupBy("table_name").agg(
+    return consolidated.groupBy("table_name").agg(
         mean(c).alias("avg_confidence"),
         F.count_if(c >= 0.7).alias("high"),
         F.count_if((c >= 0.4) & (c < 0.7)).alias("medium"),
@@ -99,12 +97,11 @@ def confidence_bands(consolidated: DataFrame) -> DataFrame:
 def multiple_occurrences(detections: DataFrame) -> DataFrame:
     """(table, document) pairs detected more than once, with the table's total of such detections."""
     pairs = (
-        first_parts(detections).groupBy("table_name", "document_name").agg(F.count("*").alias("occurrences"))
+        detections.groupBy("table_name", "document_name").agg(F.count("*").alias("occurrences"))
         .filter("occurrences > 1")
     )
     totals = pairs.groupBy("table_name").agg(F.sum("occurrences").alias("total_multiple"))
-    # one row per table definition
-    return pairs.join(F.broadcast(totals), "table_name")
+    return pairs.join(totals, "table_name")
 
 
 def table_file_paths(consolidated: DataFrame) -> DataFrame:
@@ -123,4 +120,5 @@ def analysis_frames(detections: DataFrame, consolidated: DataFrame) -> dict[str,
         "document_stats": document_stats(consolidated),
         "confidence_stats": confidence_bands(consolidated),
         "file_paths": table_file_paths(consolidated),
+        "pages": document_table_pages(detections),
     }

@@ -2,22 +2,22 @@
 
 The text of a page is read in one narrow pass: phrase counts, element results and table
 verdicts are array expressions over literals, so nothing is joined or shuffled until the
-few qualifying pages are rolled up per document.
+sums over the qualifying pages are rolled up per document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.definitions import TableRule
-from pagesieve.functions.blocks import PAGE_BLOCK, document_blocks, page_block
+from pagesieve.functions.blocks import document_blocks, page_block
 from pagesieve.functions.frames import one_row, with_once
-from pagesieve.functions.numbers import compensated_sum, fixed
+from pagesieve.functions.numbers import compensated_sum, exact_sum, fixed, mean
 from pagesieve.functions.text import (
     count_literal,
     has_special_letters,
@@ -319,23 +319,47 @@ def element_evidence(
     return page_verdicts(pages, rules, min_confidence).select(*keys, "table_name", F.inline("elements"))
 
 
-def pages_without_results(pages: DataFrame, rules: Sequence[TableRule]) -> DataFrame:
-    """Tables none of whose phrases occur on the page: not found, score 0, fixed details."""
-    verdicts = table_verdicts(pages, rules)
-    return verdicts.filter(~F.exists("elements", lambda e: e["n_matches"] > 0)).select(
-        *_keys(pages),
-        "table_name",
-        F.lit(False).alias("found"),
-        F.lit(0.0).alias("score"),
-        F.concat(F.lit("Found 0/"), F.col("total_elements").cast("string"), F.lit(" elements")).alias("details"),
+def verdicts_of_results(pages: DataFrame, rules: Sequence[TableRule], results: DataFrame) -> DataFrame:
+    """Verdicts from element results that are given, for every page and every table.
+
+    ``results`` are rows of ``element_results``, of any part of the elements. A (page, table) without a single result
+    is not found, has score 0 and plain details, whatever its rule; with results the rule decides.
+    """
+    keys = _keys(pages)
+    tables = F.array(*[
+        F.struct(
+            F.lit(r.name).alias("table_name"),
+            F.lit(r.match_strategy).alias("match_strategy"),
+            F.lit(r.min_elements).alias("min_elements"),
+            F.lit(float(r.min_percentage)).alias("min_percentage"),
+            F.lit(float(r.min_score)).alias("min_score"),
+            F.lit(len(r.phrases)).alias("total_elements"),
+            F.lit(float(sum(p.weight for p in r.phrases))).alias("total_weight"),
+        )
+        for r in rules
+    ])
+    summed = results.groupBy(*keys, "table_name").agg(
+        F.count("*").alias("n_results"),
+        F.count_if("found").cast("int").alias("found_count"),
+        exact_sum(F.col("score")).alias("weight"),
     )
+    every = pages.select(*keys, F.inline(tables)).join(summed, [*keys, "table_name"], "left")
+    rule = {c: F.col(c) for c in ("match_strategy", "min_elements", "min_percentage", "min_score", "total_weight")}
+    empty = F.col("n_results").isNull()
+    found, score = _decide(rule, F.col("found_count"), F.col("total_elements"), F.col("weight"))
+    judged = every.withColumns({
+        "found": F.when(empty, F.lit(False)).otherwise(found),
+        "score": F.when(empty, F.lit(0.0)).otherwise(score),
+    })
+    plain = F.format_string("Found 0/%d elements", "total_elements")
+    details = F.when(empty, plain).otherwise(verdict_details())
+    return judged.select(*keys, "table_name", "found", "score", details.alias("details"))
 
 
 def match_positions(pages: DataFrame, rules: Sequence[TableRule]) -> DataFrame:
     """One row per occurrence: 0-based character offset and the text as written.
 
-    The text between occurrences gives the offsets: only its lengths leave the page row, and
-    a running sum per (page, phrase) turns them into positions.
+    The lengths of the text between occurrences are summed up within the page row, so nothing is shuffled.
     """
     keys = _keys(pages)
     phrases = _distinct_phrases(rules)
@@ -348,22 +372,24 @@ def match_positions(pages: DataFrame, rules: Sequence[TableRule]) -> DataFrame:
         for slot, (t, c) in enumerate(phrases)
     ]
     found = [F.when(F.get(F.col("_counts"), F.lit(slot)) > 0, p) for slot, p in enumerate(pieces)]
-    occurrences = (
+    def placed(m: Column) -> Column:
+        """Occurrences with their offsets: what lies before each of them, gaps and earlier ones, summed up on the way."""
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<position:int,text:string>>").alias("done"))
+
+        def step(acc: Column, x: Column) -> Column:
+            here = acc["at"] + x["gap"]
+            one = F.struct(here.alias("position"), x["text"].alias("text"))
+            return F.struct((here + F.length(x["text"])).alias("at"), F.concat(acc["done"], F.array(one)).alias("done"))
+
+        return F.aggregate(m, start, step, lambda acc: acc["done"])
+
+    pairs = F.arrays_zip(F.slice(F.col("m.gaps"), F.lit(1), F.size("m.texts")).alias("gap"), F.col("m.texts").alias("text"))
+    placed_rows = (
         with_phrase_counts(pages, rules)
         .select(*keys, F.explode(F.array_compact(F.array(*found))).alias("m"))
-        .select(
-            *keys,
-            "m.slot",
-            F.posexplode(F.arrays_zip(
-                F.slice(F.col("m.gaps"), F.lit(1), F.size("m.texts")).alias("gap"),
-                F.col("m.texts").alias("text"),
-            )).alias("occurrence", "o"),
-        )
-        .select(*keys, "slot", "occurrence", "o.gap", F.col("o.text").alias("matched_text"))
+        .select(*keys, "m.slot", F.posexplode(placed(pairs)).alias("occurrence", "o"))
+        .select(*keys, "slot", "occurrence", "o.position", F.col("o.text").alias("matched_text"))
     )
-    length = F.length("matched_text")
-    running = Window.partitionBy(*keys, "slot").orderBy("occurrence").rowsBetween(Window.unboundedPreceding, 0)
-    placed = occurrences.withColumn("position", (F.sum(F.col("gap") + length).over(running) - length).cast("int"))
     uses = F.array(*[
         F.struct(
             F.lit(r.name).alias("table_name"),
@@ -374,7 +400,7 @@ def match_positions(pages: DataFrame, rules: Sequence[TableRule]) -> DataFrame:
         for i, p in enumerate(r.phrases)
     ])
     slot = F.col("slot")
-    return placed.select(
+    return placed_rows.select(
         *keys,
         F.inline(F.filter(uses, lambda u: u["slot"] == slot)).alias("table_name", "elem_idx", "_slot"),
         "occurrence",
@@ -383,68 +409,55 @@ def match_positions(pages: DataFrame, rules: Sequence[TableRule]) -> DataFrame:
     ).drop("_slot")
 
 
-def paged_groups(
-    rows: DataFrame,
-    group: Sequence[str],
-    item: Column,
-    totals: dict[str, Column],
-    size: int = PAGE_BLOCK,
-    collect: Callable[[Column], Column] = F.collect_list,
+def detect_tables(
+    pages: DataFrame,
+    rules: Sequence[TableRule],
+    min_confidence: float = 0.0,
+    compiled: bool | None = None,
 ) -> DataFrame:
-    """Collect ``item`` (a struct starting with the page) per group, in parts of at most ``size`` pages.
+    """One row per (document, table) with a qualifying page: how many there are, and their mean score.
 
-    A group within one page block gives one row, which is every ordinary document. A larger one
-    gives one row per block, with ``part`` counting from 0, so no list ever outgrows a row and
-    no task holds a whole group. ``totals`` are aggregates over the parts' ``items`` and ``block``
-    and are repeated on every part; both uses of the parts share one shuffle.
+    The pages themselves are the rows of ``detected_pages``; a document may have any number of them. Only
+    sums leave the tasks that read the texts.
     """
-    parts = (
-        rows.withColumn("block", page_block(F.col("page"), size))
-        .groupBy(*group, "block")
-        .agg(F.array_sort(collect(item)).alias("items"))
-    )
-    spans = (
-        parts.groupBy(*group)
-        .agg(F.min("block").alias("first_block"), F.max("block").alias("last_block"),
-             *[c.alias(n) for n, c in totals.items()])
-        .withColumn("block", F.explode(F.sequence("first_block", "last_block")))
-        .drop("last_block")
-    )
     return (
-        parts.join(spans, [*group, "block"])
-        .withColumn("part", F.col("block") - F.col("first_block"))
-        .drop("block", "first_block")
+        page_verdicts(pages, rules, min_confidence, compiled)
+        .groupBy("table_name", "doc_id")
+        .agg(F.count("*").alias("n_pages"), mean(F.col("score")).alias("confidence_score"))
+        .select("table_name", "doc_id", F.lit(True).alias("found"), "n_pages", "confidence_score")
     )
 
 
-def detect_tables(
+def detected_pages(
     pages: DataFrame,
     rules: Sequence[TableRule],
     min_confidence: float = 0.0,
-    pages_per_part: int = PAGE_BLOCK,
     compiled: bool | None = None,
 ) -> DataFrame:
-    """Per (document, table) with a qualifying page: its pages, mean score and details by page.
+    """The pages of all detections, one row per (document, table, page); nothing is shuffled for it."""
+    hits = page_verdicts(pages, rules, min_confidence, compiled)
+    return hits.select("table_name", "doc_id", "page", "score", "details")
+
 
-    ``part`` is 0 for every document of up to ``pages_per_part`` pages; see ``paged_groups``.
+def listed(hits: DataFrame) -> DataFrame:
+    """Detections as they are exchanged in files: one row each, with the list of its pages and the details in one text.
+
+    ``hits`` are rows of ``detected_pages``. A row holds all pages of its detection; use the flat
+    rows for documents with more pages than a row should hold.
     """
-    hits = page_verdicts(pages, rules, min_confidence, compiled)
     item = F.struct("page", "score", "details")
-    totals = {"n_pages": F.sum(F.size("items")), "total_score": F.sum(compensated_sum(F.col("items.score")))}
-    grouped = paged_groups(hits, ["doc_id", "table_name"], item, totals, pages_per_part)
-    lines = F.transform(
-        "items",
-        lambda x: F.concat(F.lit("Page "), x["page"].cast("string"), F.lit(": "), x["details"]),
-    )
-    return grouped.select(
-        "table_name",
-        "doc_id",
-        F.lit(True).alias("found"),
-        F.col("items.page").alias("pages_found"),
-        (F.col("total_score") / F.col("n_pages")).alias("confidence_score"),
-        F.array_join(lines, "; ").alias("match_details"),
-        F.col("n_pages").alias("n_pages"),
-        "part",
+    lines = F.transform("items", lambda x: F.concat(F.lit("Page "), x["page"].cast("string"), F.lit(": "), x["details"]))
+    return (
+        hits.groupBy("table_name", "doc_id")
+        .agg(F.array_sort(F.collect_list(item)).alias("items"), mean(F.col("score")).alias("confidence_score"))
+        .select(
+            "table_name",
+            "doc_id",
+            F.lit(True).alias("found"),
+            F.col("items.page").alias("pages_found"),
+            "confidence_score",
+            F.array_join(lines, "; ").alias("match_details"),
+        )
     )
 
 
@@ -460,14 +473,9 @@ def with_file_paths(detections: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def first_parts(detections: DataFrame) -> DataFrame:
-    """One row per detection: the first part stands for all of them."""
-    return detections.filter(F.col("part") == 0) if "part" in detections.columns else detections
-
-
 def summary_totals(detections: DataFrame, searched: DataFrame | None = None) -> DataFrame:
     """Documents with a detection and number of detections; optionally the documents searched."""
-    totals = first_parts(detections).agg(
+    totals = detections.agg(
         F.count_distinct("doc_id").alias("documents_with_hits"),
         F.count_if("found").alias("tables_found"),
     )
@@ -479,7 +487,7 @@ def summary_totals(detections: DataFrame, searched: DataFrame | None = None) ->
 
 def summary_by_document(detections: DataFrame) -> DataFrame:
     """Tables found per document, one row per (document, table)."""
-    return detections.filter("found").select("doc_id", "table_name", "pages_found", "confidence_score")
+    return detections.filter("found").select("doc_id", "table_name", "n_pages", "confidence_score")
 
 
 def summary_by_type(detections: DataFrame) -> DataFrame:
@@ -487,12 +495,9 @@ def summary_by_type(detections: DataFrame) -> DataFrame:
 
     A list of documents per table has no bound, so the rows stay flat.
     """
-    found = detections.filter("found")
-    counts = first_parts(found).groupBy("table_name").agg(F.count("*").alias("total_occurrences"))
-    # one row per table definition
-    return found.join(F.broadcast(counts), "table_name").select(
-        "table_name", "doc_id", "pages_found", "confidence_score", "total_occurrences"
-    )
+    found = detections.filter("found").select("table_name", "doc_id", "n_pages", "confidence_score")
+    counts = found.groupBy("table_name").agg(F.count("*").alias("total_occurrences"))
+    return found.join(counts, "table_name")
 
 
 def condition_matrix(

@@ -88,6 +88,41 @@ def to_process(manifest: DataFrame, stored: DataFrame) -> DataFrame:
     return change_status(manifest, stored).filter("status <> 'unchanged'").drop("status")
 
 
+def channel_flags() -> dict[str, Column]:
+    """Aggregates over page rows: which channels were extracted at all."""
+    return {f"has_{c}": F.coalesce(F.max(F.col(c).isNotNull()), F.lit(False)) for c in ("digital", "ocr")}
+
+
+def to_store(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """What a run has to write: files with new content, and known content that brings another channel.
+
+    ``files`` has page_count, has_digital and has_ocr of what was extracted. ``since`` is null for new content;
+    for known content it is that of the stored document, whose pages stay.
+    """
+    status = change_status(files, stored)
+    before = stored.select(
+        "doc_id",
+        F.col("since").alias("since"),
+        F.col("page_count").alias("_pages"),
+        F.coalesce("has_digital", F.lit(False)).alias("_digital"),
+        F.coalesce("has_ocr", F.lit(False)).alias("_ocr"),
+    )
+    known = F.col("status") == "unchanged"
+    adds = (F.col("has_digital") & ~F.col("_digital")) | (F.col("has_ocr") & ~F.col("_ocr"))
+
+    def kept(name: str, merged: Column) -> Column:
+        return F.when(known, merged).otherwise(F.col(name)).alias(name)
+
+    rows = status.join(before, "doc_id", "left").filter(~known | adds)
+    return rows.withColumns({
+        "since": F.when(known, F.col("since")),
+        "page_count": kept("page_count", F.greatest("page_count", "_pages")),
+        "has_digital": kept("has_digital", F.col("has_digital") | F.col("_digital")),
+        "has_ocr": kept("has_ocr", F.col("has_ocr") | F.col("_ocr")),
+        "processing_date": F.current_timestamp(),
+    }).drop("status", "_pages", "_digital", "_ocr")
+
+
 def resume_filter(
     manifest: DataFrame, log: DataFrame, skip_existing: bool = True, by_name_only: bool = False
 ) -> DataFrame:

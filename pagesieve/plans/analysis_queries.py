@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagesieve.operators import analysis, detect
 from pagesieve.plans import analysis as plan
 from pagesieve.plans import fixtures as fx
-from pagesieve.plans.detection_queries import DETECTIONS_SQL, searched
+from pagesieve.plans.detection_queries import DETECTIONS_SQL
 from pagesieve.session import work_folder
 from pagesieve.sources import detections as io
 
@@ -20,9 +20,9 @@ def detections(spark, sf_dir) -> DataFrame:
     meta = fx.meta(spark, sf_dir)
 
     def search(seq: int, minimum: float) -> DataFrame:
-        found = searched(spark, sf_dir, minimum)
-        rounded = found.withColumn("confidence_score", F.round("confidence_score", 6))
-        return detect.with_file_paths(rounded, meta).withColumn("seq", F.lit(seq))
+        hits = detect.detected_pages(fx.pages(spark, sf_dir), fx.RULES, minimum)
+        found = detect.listed(hits).withColumn("confidence_score", F.round("confidence_score", 6))
+        return detect.with_file_paths(found, meta).withColumn("seq", F.lit(seq))
 
     first = search(0, 0.0).withColumn(
         "file_path", F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("file_path"))
@@ -30,17 +30,9 @@ def detections(spark, sf_dir) -> DataFrame:
     return first.unionByName(search(1, 0.6))
 
 
-_exports: dict[tuple[str, str], str] = {}
-
-
 def exported(spark, sf_dir) -> DataFrame:
-    """The detections as exported: searched once per session and folder, written, and read back."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _exports:
-        path = work_folder(spark, "exported")
-        io.as_exported(detections(spark, sf_dir), "seq").write.parquet(path)
-        _exports[key] = path
-    return spark.read.parquet(_exports[key])
+    """The detections as exported."""
+    return io.as_exported(detections(spark, sf_dir), "seq")
 
 
 def joined(pages: str) -> Column:
@@ -52,8 +44,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    pages = "pages" if "pages" in df.columns else "pages_found"
-    return df.withColumn(pages, joined(pages))
+    return df.withColumn("pages_found", joined("pages_found"))
 
 
 def _consolidated(spark, sf_dir) -> DataFrame:
@@ -72,32 +63,51 @@ def load_detections(spark, sf_dir):
     return _flat(io.load_detections(spark, path, min_confidence=0.8).drop("seq"))
 
 
-def row_counts(spark, paths: dict[str, str], file_format: str) -> DataFrame:
-    """Number of rows in each written set."""
-    counts = [
-        spark.read.schema("table_name string").format(file_format).option("header", True).load(path)
-        .agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("frame"), "n_rows")
-        for name, path in paths.items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+# What is compared of each written set: two keys, a text and two numbers.
+_FRAMES = {
+    "tables_by_document": ("document_name", "table_name", "file_path", "confidence", "n_pages"),
+    "documents_by_table": ("table_name", "document_name", "file_path", "confidence", "n_pages"),
+    "multiple_occurrences": ("table_name", "document_name", None, "occurrences", "total_multiple"),
+    "table_stats": ("table_name", None, None, "avg_confidence", "documents"),
+    "document_stats": ("document_name", None, None, "avg_confidence", "tables"),
+    "confidence_stats": ("table_name", None, None, "high", "low"),
+    "file_paths": ("table_name", None, "file_path", None, None),
+    "pages": ("document_name", "table_name", None, "page", None),
+    "summary": (None, None, None, "total_detections", "average_detections_per_table"),
+}
+
+
+def written(spark, paths: dict[str, str], frames: dict[str, tuple], file_format: str) -> DataFrame:
+    """The values of the written sets in one shape."""
+    names, kinds = ("key", "second_key", "text", "number", "second_number"), ("string",) * 3 + ("double",) * 2
+
+    def one(name: str) -> DataFrame:
+        schema = ", ".join(f"{c} {k}" for c, k in zip(frames[name], kinds) if c)
+        rows = spark.read.schema(schema).format(file_format).option("header", True).load(paths[name])
+        values = [
+            (F.round(F.col(c), 9) if k == "double" else F.col(c)) if c else F.lit(None).cast(k)
+            for c, k in zip(frames[name], kinds)
+        ]
+        return rows.select(F.lit(name).alias("frame"), *[v.alias(n) for v, n in zip(values, names)])
+
+    return reduce(DataFrame.unionByName, map(one, frames))
 
 
 def export_analysis(spark, sf_dir):
     paths = plan.export_analysis(exported(spark, sf_dir), work_folder(spark, "analysis"))
-    del paths["consolidated"]
-    return row_counts(spark, paths, "json")
+    return written(spark, paths, _FRAMES, "json")
 
 
 def consolidate(spark, sf_dir):
-    return rounded(_flat(_consolidated(spark, sf_dir)), "confidence")
+    return rounded(_consolidated(spark, sf_dir), "confidence")
 
 
 def tables_by_document(spark, sf_dir):
-    return rounded(_flat(analysis.tables_by_document(_consolidated(spark, sf_dir))), "confidence")
+    return rounded(analysis.tables_by_document(_consolidated(spark, sf_dir)), "confidence")
 
 
 def documents_by_table(spark, sf_dir):
-    return rounded(_flat(analysis.documents_by_table(_consolidated(spark, sf_dir))), "confidence")
+    return rounded(analysis.documents_by_table(_consolidated(spark, sf_dir)), "confidence")
 
 
 def analysis_totals(spark, sf_dir):
@@ -118,7 +128,7 @@ def document_stats(spark, sf_dir):
 
 
 def document_table_pages(spark, sf_dir):
-    return _flat(analysis.document_table_pages(_consolidated(spark, sf_dir)))
+    return analysis.document_table_pages(exported(spark, sf_dir))
 
 
 def confidence_bands(spark, sf_dir):
@@ -151,21 +161,21 @@ _EXTRA = {
     "high": DETECTIONS_SQL.format(minimum=0.6),
     "det": """
         select d.table_name, cast(d.doc_id as varchar) as document_name, d.found, d.pages_found,
-               d.confidence_score, d.match_details, d.part, seq,
+               d.confidence_score, d.match_details, seq,
                case when seq = 0 and d.doc_id % 2 = 0 then ''
                     else replace(coalesce(m.file_path, ''), '\\', '/') end as file_path
         from (select *, 0 as seq from low union all select *, 1 as seq from high) d
         left join fx_meta m on d.doc_id = m.doc_id""",
+    "con_pages": """
+        select distinct document_name, table_name, cast(unnest(string_split(pages_found, ',')) as integer) as page from det""",
     "con": """
-        select document_name, table_name,
-               (select string_agg(x, ',' order by cast(x as integer))
-                from (select distinct unnest(string_split(all_pages, ',')) as x)) as pages,
-               confidence, file_path, 0 as part
+        select d.document_name, d.table_name, n.n_pages, d.confidence, d.file_path
         from (
-          select document_name, table_name, string_agg(pages_found, ',') as all_pages,
-                 avg(confidence_score) as confidence,
+          select document_name, table_name, avg(confidence_score) as confidence,
                  coalesce(arg_min(file_path, seq) filter (file_path <> ''), '') as file_path
-          from det group by document_name, table_name)""",
+          from det group by document_name, table_name) d
+        join (select document_name, table_name, count(*) as n_pages from con_pages group by document_name, table_name) n
+          on d.document_name = n.document_name and d.table_name = n.table_name""",
 }
 
 
@@ -173,23 +183,28 @@ def _sql(body: str) -> str:
     return fx.sql(["fx_verdicts", "fx_meta"], body, _EXTRA)
 
 
-_EIGHT = "table_name, document_name, file_path, found, pages_found, confidence_score, match_details, part"
-_CON = "select document_name, table_name, pages, round(confidence, 9) as confidence, file_path, part from con"
+_EIGHT = "table_name, document_name, file_path, found, pages_found, confidence_score, match_details"
+_CON = "select document_name, table_name, n_pages, round(confidence, 9) as confidence, file_path from con"
 
 SQL = {
     "export_detections": _sql(f"select {_EIGHT} from det"),
     "load_detections": _sql(f"select {_EIGHT} from det where confidence_score >= 0.8"),
     "export_analysis": _sql("""
-        select 'summary' as frame, 1::bigint as n_rows
-        union all select 'tables_by_document', count(*) from con
-        union all select 'documents_by_table', count(*) from con
-        union all select 'multiple_occurrences', count(*) from (
-          select 1 from det group by table_name, document_name having count(*) > 1)
-        union all select 'table_stats', count(distinct table_name) from con
-        union all select 'document_stats', count(distinct document_name) from con
-        union all select 'confidence_stats', count(distinct table_name) from con
-        union all select 'file_paths', count(*) from (
-          select distinct table_name, file_path from con where file_path <> '')"""),
+        select 'tables_by_document' as frame, document_name as key, table_name as second_key, file_path as text,
+               round(confidence, 9) as number, n_pages::double as second_number from con
+        union all select 'documents_by_table', table_name, document_name, file_path, round(confidence, 9), n_pages from con
+        union all select 'multiple_occurrences', table_name, document_name, null, n, sum(n) over (partition by table_name)
+          from (select table_name, document_name, count(*) as n from det
+                group by table_name, document_name having count(*) > 1)
+        union all select 'table_stats', table_name, null, null, round(avg(confidence), 9), count(*) from con group by table_name
+        union all select 'document_stats', document_name, null, null, round(avg(confidence), 9), count(*)
+          from con group by document_name
+        union all select 'confidence_stats', table_name, null, null, count(*) filter (confidence >= 0.7),
+          count(*) filter (confidence < 0.4) from con group by table_name
+        union all select distinct 'file_paths', table_name, null, file_path, null::double, null::double
+          from con where file_path <> ''
+        union all select 'pages', document_name, table_name, null, page, null from con_pages
+        union all select 'summary', null, null, null, count(*), round(count(*) / count(distinct table_name), 9) from det"""),
     "consolidate": _sql(_CON),
     "tables_by_document": _sql(_CON),
     "documents_by_table": _sql(_CON),
@@ -208,7 +223,7 @@ SQL = {
         select document_name, count(distinct table_name) as tables, count(*) as occurrences,
                round(avg(confidence), 9) as avg_confidence
         from con group by document_name"""),
-    "document_table_pages": _sql("select document_name, table_name, pages, part from con"),
+    "document_table_pages": _sql("select document_name, table_name, page from con_pages"),
     "confidence_bands": _sql("""
         select table_name, round(avg(confidence), 9) as avg_confidence,
                count(*) filter (confidence >= 0.7) as high,

@@ -10,15 +10,11 @@ from pagesieve.operators import detect
 from pagesieve.operators.page_view import join_channels, pages_combined
 from pagesieve.plans import fixtures as fx
 from pagesieve.plans.fixtures import RULES
-from pagesieve.session import work_folder
 
 
-def flat(detections: DataFrame) -> DataFrame:
-    """Detections with lists as text and rounded scores, for comparison by value."""
-    return detections.withColumns({
-        "pages_found": F.array_join(F.col("pages_found").cast("array<string>"), ","),
-        "confidence_score": F.round("confidence_score", 6),
-    })
+def rounded(detections: DataFrame) -> DataFrame:
+    """Scores rounded, for comparison by value."""
+    return detections.withColumn("confidence_score", F.round("confidence_score", 6))
 
 
 def _verdicts(strategy):
@@ -38,17 +34,8 @@ def _verdicts_sql(strategy):
         from fx_verdicts where strategy = '{strategy}'""")
 
 
-_searched: dict[tuple[str, str, float], str] = {}
-
-
 def searched(spark, sf_dir, min_confidence=0.0) -> DataFrame:
-    """Detections for the summaries: searched once per session and folder, written, and read back."""
-    key = (spark.sparkContext.applicationId, sf_dir, min_confidence)
-    if key not in _searched:
-        path = work_folder(spark, "searched")
-        detect.detect_tables(fx.pages(spark, sf_dir), RULES, min_confidence).write.parquet(path)
-        _searched[key] = path
-    return spark.read.parquet(_searched[key])
+    return detect.detect_tables(fx.pages(spark, sf_dir), RULES, min_confidence)
 
 
 # page verdicts rolled up per document, shared by the SQL of several queries
@@ -56,7 +43,7 @@ DETECTIONS_SQL = """
     select table_name, doc_id, true as found, string_agg(cast(page as varchar), ',' order by page) as pages_found,
            round(avg(score), 6) as confidence_score,
            string_agg('Page ' || page || ': ' || details, '; ' order by page) as match_details,
-           count(*) as n_pages, 0 as part
+           count(*) as n_pages
     from fx_verdicts where found and score >= {minimum} group by table_name, doc_id"""
 
 
@@ -88,7 +75,12 @@ def element_decision_listed(spark, sf_dir):
 
 
 def empty_results_guard(spark, sf_dir):
-    return detect.pages_without_results(fx.pages(spark, sf_dir), RULES)
+    """Verdicts from results of which every other element and, on every third page, all are missing."""
+    pages = fx.pages(spark, sf_dir)
+    results = detect.element_results(pages, RULES)
+    kept = results.filter(((F.col("doc_id") + F.col("page")) % 3 != 0) & (F.col("elem_idx") % 2 == 0))
+    judged = detect.verdicts_of_results(pages, RULES, kept)
+    return judged.withColumn("score", F.round("score", 6))
 
 
 def match_details(spark, sf_dir):
@@ -104,13 +96,18 @@ def page_verdicts(spark, sf_dir):
 
 
 def detect_tables(spark, sf_dir):
-    return flat(detect.detect_tables(fx.pages(spark, sf_dir), RULES))
+    return rounded(detect.detect_tables(fx.pages(spark, sf_dir), RULES))
 
 
 def detect_tables_channels(spark, sf_dir):
     """Detection over two separate channel tables, merged by a join first."""
     merged = pages_combined(join_channels(fx.digital(spark, sf_dir), fx.ocr(spark, sf_dir)))
-    return flat(detect.detect_tables(merged, RULES))
+    return rounded(detect.detect_tables(merged, RULES))
+
+
+def detected_pages(spark, sf_dir):
+    found = detect.detected_pages(fx.pages(spark, sf_dir), RULES)
+    return found.withColumn("score", F.round("score", 6))
 
 
 def element_evidence(spark, sf_dir):
@@ -121,14 +118,14 @@ def detect_subset(spark, sf_dir):
     labelled = fx.table(spark, sf_dir, "labels").select("doc_id")
     wanted = fx.meta(spark, sf_dir).join(labelled, "doc_id", "left_semi")
     pages = only_documents(fx.pages(spark, sf_dir), wanted)
-    return flat(detect.detect_tables(pages, RULES))
+    return rounded(detect.detect_tables(pages, RULES))
 
 
 def normalize_path(spark, sf_dir):
     """Every third document has no metadata here."""
     meta = fx.meta(spark, sf_dir).filter("doc_id % 3 <> 0")
     return detect.with_file_paths(searched(spark, sf_dir), meta).select(
-        "doc_id", "table_name", "part", "file_path"
+        "doc_id", "table_name", "file_path"
     )
 
 
@@ -137,11 +134,11 @@ def summary_totals(spark, sf_dir):
 
 
 def summary_by_document(spark, sf_dir):
-    return flat(detect.summary_by_document(searched(spark, sf_dir)))
+    return rounded(detect.summary_by_document(searched(spark, sf_dir)))
 
 
 def summary_by_type(spark, sf_dir):
-    return flat(detect.summary_by_type(searched(spark, sf_dir)))
+    return rounded(detect.summary_by_type(searched(spark, sf_dir)))
 
 
 def condition_matrix(spark, sf_dir):
@@ -162,6 +159,7 @@ QUERIES = {
     "match_details": match_details,
     "page_verdicts": page_verdicts,
     "detect_tables": detect_tables,
+    "detected_pages": detected_pages,
     "detect_tables_channels": detect_tables_channels,
     "element_evidence": element_evidence,
     "detect_subset": detect_subset,
@@ -172,6 +170,7 @@ QUERIES = {
     "condition_matrix": condition_matrix,
 }
 
+_HEADER = "select table_name, doc_id, found, n_pages, confidence_score from det"
 _ELEMENTS = "select doc_id, page, table_name, elem_idx, n_matches, found, error_rate, score from fx_elements"
 
 SQL = {
@@ -204,33 +203,54 @@ SQL = {
     "strategy_min_count": _verdicts_sql("min_count"),
     "strategy_min_percentage": _verdicts_sql("min_percentage"),
     "strategy_weighted_score": _verdicts_sql("weighted_score"),
-    "empty_results_guard": fx.sql(["fx_verdicts"], """
-        select doc_id, page, table_name, false as found, 0.0::double as score,
-               printf('Found 0/%d elements', t) as details
-        from fx_verdicts where hit = 0"""),
+    "empty_results_guard": fx.sql(["fx_elements", "fx_verdicts"], """
+        select v.doc_id, v.page, v.table_name,
+               case when e.n is null then false
+                    when v.strategy = 'all_elements' then e.c = v.t
+                    when v.strategy = 'min_count' then e.c >= d.min_elements
+                    when v.strategy = 'min_percentage' then e.c / v.t >= d.min_percentage
+                    else e.weighted / d.total_weight >= d.min_score end as found,
+               case when e.n is null then 0.0 when v.strategy = 'weighted_score'
+                    then round(e.weighted / d.total_weight, 6) else round(e.c / v.t, 6) end as score,
+               case when e.n is null then printf('Found 0/%d elements', v.t)
+                    when v.strategy = 'all_elements' then printf('Found %d/%d elements', e.c, v.t)
+                    when v.strategy = 'min_count' then printf('Found %d/%d elements (min: %d)', e.c, v.t, d.min_elements)
+                    when v.strategy = 'min_percentage' then printf('Found %d/%d elements (%.1f%%, min: %.1f%%)',
+                      e.c, v.t, 100.0 * e.c / v.t, 100.0 * d.min_percentage)
+                    else printf('Weighted score: %.3f (min: %.3f)', e.weighted / d.total_weight, d.min_score) end as details
+        from fx_verdicts v
+        join (select table_name, any_value(min_elements) as min_elements, any_value(min_percentage) as min_percentage,
+                     any_value(min_score) as min_score, sum(weight) as total_weight
+              from fx_defs group by table_name) d on v.table_name = d.table_name
+        left join (select doc_id, page, table_name, count(*) as n, count(*) filter (found) as c, sum(score) as weighted
+                   from fx_elements where (doc_id + page) % 3 <> 0 and elem_idx % 2 = 0
+                   group by doc_id, page, table_name) e
+          on v.doc_id = e.doc_id and v.page = e.page and v.table_name = e.table_name"""),
     "match_details": fx.sql(["fx_verdicts"], "select doc_id, page, table_name, details from fx_verdicts"),
     "page_verdicts": fx.sql(["fx_verdicts"], """
         select doc_id, page, table_name, round(score, 6) as score, details
         from fx_verdicts where found and score >= 0.6"""),
-    "detect_tables": detections_sql("select * from det"),
-    "detect_tables_channels": detections_sql("select * from det"),
+    "detect_tables": detections_sql(_HEADER),
+    "detected_pages": fx.sql(["fx_verdicts"], """
+        select table_name, doc_id, page, round(score, 6) as score, details from fx_verdicts where found"""),
+    "detect_tables_channels": detections_sql(_HEADER),
     "element_evidence": fx.sql(["fx_verdicts"], """
         select e.doc_id, e.page, e.table_name, e.elem_idx, e.n_matches, e.found, e.error_rate, e.score
         from fx_elements e join fx_verdicts v
           on e.doc_id = v.doc_id and e.page = v.page and e.table_name = v.table_name
         where v.found and v.score >= 0.6"""),
-    "detect_subset": detections_sql("select * from det where doc_id in (select doc_id from labels)"),
+    "detect_subset": detections_sql(f"{_HEADER} where doc_id in (select doc_id from labels)"),
     "normalize_path": detections_sql(
-        """select d.doc_id, d.table_name, d.part, replace(coalesce(m.file_path, ''), '\\', '/') as file_path
+        """select d.doc_id, d.table_name, replace(coalesce(m.file_path, ''), '\\', '/') as file_path
            from det d left join (select * from fx_meta where doc_id % 3 <> 0) m on d.doc_id = m.doc_id""",
         views=["fx_meta"],
     ),
     "summary_totals": detections_sql("""
         select count(distinct doc_id) as documents_with_hits, count(*) as tables_found,
                (select count(distinct doc_id) from documents) as documents_searched from det"""),
-    "summary_by_document": detections_sql("select doc_id, table_name, pages_found, confidence_score from det"),
+    "summary_by_document": detections_sql("select doc_id, table_name, n_pages, confidence_score from det"),
     "summary_by_type": detections_sql("""
-        select table_name, doc_id, pages_found, confidence_score,
+        select table_name, doc_id, n_pages, confidence_score,
                count(*) over (partition by table_name) as total_occurrences from det"""),
     "condition_matrix": fx.sql(["fx_verdicts", "fx_meta"], """
         select v.doc_id, v.page, any_value(m.file_name) as file_name, any_value(m.file_path) as file_path,

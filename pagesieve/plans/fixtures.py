@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from pagesieve.definitions import Phrase, TableRule, element_rows
 from pagesieve.operators.page_view import pages_combined
-from pagesieve.session import spread_small
 
 RULES = [
     TableRule("T_all", (Phrase("the "), Phrase("and ")), "all_elements"),
@@ -45,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return documents.select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")
     ).select("doc_id", (F.col("pos") + 1).alias("page"), "text")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pagesieve.operators import ingest, page_view
 from pagesieve.plans import fixtures as fx
+from pagesieve.plans.ingest import ingest_batch as ingest_batch_run
+from pagesieve.plans.ingest import search_store as search_stored
 from pagesieve.session import work_folder
 from pagesieve.sources import definitions, manifest, store
 from pagesieve.streaming import ingest_stream
@@ -223,26 +225,33 @@ def failed_files(spark, sf_dir):
     return ingest.failed_files(ingest_log(spark, sf_dir))
 
 
-def _stream_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a pattern, because the table may be one file or a folder of files
-    raw = ingest_stream.read_extracts(
-        spark, f"{sf_dir}/documents.parque[t]", "doc_id bigint, text string, source string, n_chars bigint"
-    )
-    channel_pair = F.transform(
-        F.split("text", "\n"),
-        lambda t: F.struct(t.alias("digital"), F.when(F.length(t) % 2 == 0, F.concat(F.lit("ocr "), t)).alias("ocr")),
-    )
-    return raw.select(
+def _extracts(documents: DataFrame) -> DataFrame:
+    """Page rows as an extraction delivers them (``schemas.EXTRACT``); every other line was read by OCR as well."""
+    pages = documents.select("*", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return pages.select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.format_string("doc_%d.pdf", "doc_id").alias("file_name"),
         F.format_string("/data/%s/doc_%d.pdf", "source", "doc_id").alias("file_path"),
         F.col("n_chars").alias("file_size"),
         F.md5("text").alias("file_hash"),
         F.lit(0.0).alias("last_modified"),
-        channel_pair.alias("pages"),
+        (F.col("at") + 1).alias("page"),
+        F.col("line").alias("digital"),
+        F.when(F.length("line") % 2 == 0, F.concat(F.lit("ocr "), "line")).alias("ocr"),
     )
 
 
+def _stream_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a pattern, because the table may be one file or a folder of files
+    return _extracts(ingest_stream.read_extracts(
+        spark, f"{sf_dir}/documents.parque[t]", "doc_id bigint, text string, source string, n_chars bigint"
+    ))
+
+
+def _stored_pages(target: store.PageStore) -> DataFrame:
+    return target.channels().withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 def incremental_stream(spark, sf_dir):
     """Stream the documents into a store, run the stream again, and read the stored pages."""
     folder = work_folder(spark, "stream")
@@ -250,7 +259,54 @@ def incremental_stream(spark, sf_dir):
     for _ in range(2):
         run = ingest_stream.start_ingest(_stream_input(spark, sf_dir), target, f"{folder}/checkpoint")
         run.awaitTermination()
-    return target.channels().withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return _stored_pages(target)
+
+
+def store_reingest(spark, sf_dir):
+    """Two writers that number their batches alike: all documents, then changed, unchanged and new ones, one batch twice,
+    then OCR for documents that have none yet, and a compaction."""
+    target = store.PageStore(spark, f"{work_folder(spark, 'reingest')}/store")
+    first = _extracts(fx.table(spark, sf_dir, "documents")).withColumn("ocr", F.lit(None).cast("string"))
+    key = F.col("doc_id").cast("bigint")
+    newer = first.filter(key % 3 == 0).withColumns({
+        "digital": F.concat(F.lit("new "), "digital"), "file_hash": F.concat(F.lit("new"), "file_hash"),
+    })
+    added = first.filter(key % 10 == 0).withColumn("doc_id", (key + 1_000_000).cast("string"))
+    second = newer.unionByName(first.filter(key % 3 == 1)).unionByName(added)
+    third = first.filter((key % 3 != 0) & (key % 4 == 1)).withColumns({
+        "ocr": F.concat(F.lit("ocr "), "digital"), "digital": F.lit(None).cast("string"),
+    })
+    for rows, writer, batch in ((first, "a", 0), (second, "b", 0), (second, "b", 0), (third, "a", 1)):
+        ingest_stream.store_extracts(target, rows, writer, batch)
+    target.compact(0)
+    return _stored_pages(target)
+
+
+def _ingested(spark, sf_dir) -> store.PageStore:
+    """Two runs over all files: the first fails for some, the second tries what is left and still fails for a few."""
+    target = store.PageStore(spark, f"{work_folder(spark, 'ingest')}/store")
+    text_id = F.col("doc_id").cast("string")
+    listed = fx.meta(spark, sf_dir).drop("page_count").withColumns({"doc_id": text_id, "last_modified": F.lit(0.0)})
+    pages = fx.channels(spark, sf_dir).withColumn("doc_id", text_id)
+    for batch, step in enumerate((7, 14)):
+        broken = listed.filter(F.col("doc_id").cast("bigint") % step == step - 7).select(
+            "file_name", F.concat(F.lit("cannot open "), "file_name").alias("error")
+        )
+        ingest_batch_run(target, batch, listed, pages, failures=broken)
+    return target
+
+
+def ingest_batch(spark, sf_dir):
+    """The log of the runs."""
+    return _ingested(spark, sf_dir).run_log()
+
+
+def search_store(spark, sf_dir):
+    """Tables in all stored documents; those whose files could not be opened are not there."""
+    found = search_stored(_ingested(spark, sf_dir), fx.RULES)
+    return found.withColumns({
+        "doc_id": F.col("doc_id").cast("bigint"), "confidence_score": F.round("confidence_score", 6),
+    })
 
 
 def pages_combined(spark, sf_dir):
@@ -281,7 +337,7 @@ QUERIES = {
         load_table_defs, validate_table_defs, normalize_page_text, fold_image_text, merge_ocr_digital,
         merge_ocr_digital_rows, assemble_pages, assemble_pages_without_ocr, build_metadata,
         change_detection, resume_filter, resume_filter_by_name, append_log, ingest_summary, failed_files,
-        incremental_stream, pages_combined, pages_combined_rows, pages_preferred, pages_preferred_digital,
+        incremental_stream, store_reingest, ingest_batch, search_store, pages_combined, pages_combined_rows, pages_preferred, pages_preferred_digital,
     )
 }
 
@@ -403,6 +459,23 @@ SQL = {
     "incremental_stream": fx.sql(["fx_lines"], _PAIRS.format(
         _STRIPPED.format("text"), _STRIPPED.format(f"coalesce({_EVEN}, '')")
     )),
+    "store_reingest": fx.sql(["fx_lines"], f"""
+        select doc_id, page, case when doc_id % 3 = 0 then {_STRIPPED.format("'new ' || text")} else {_STRIPPED.format('text')} end
+                 as digital,
+               case when doc_id % 3 <> 0 and doc_id % 4 = 1 then {_STRIPPED.format("'ocr ' || text")} else '' end as ocr
+        from fx_lines
+        union all select doc_id + 1000000, page, {_STRIPPED.format('text')}, '' from fx_lines where doc_id % 10 = 0"""),
+    "ingest_batch": fx.sql(["fx_meta"], """
+        select file_name, file_hash, true as success, page_count as pages_processed, null as error
+        from fx_meta where doc_id % 14 <> 7
+        union all
+        select file_name, file_hash, false, 0, 'cannot open ' || file_name
+        from fx_meta, unnest(case when doc_id % 14 = 7 then [1, 2] else [1] end) where doc_id % 7 = 0"""),
+    "search_store": fx.sql(["fx_verdicts", "fx_meta"], """
+        select v.table_name, v.doc_id, true as found, count(*) as n_pages, round(avg(score), 6) as confidence_score,
+               any_value(replace(m.file_path, '\\', '/')) as file_path
+        from fx_verdicts v join fx_meta m on v.doc_id = m.doc_id
+        where found and v.doc_id % 14 <> 7 group by v.table_name, v.doc_id"""),
     "pages_combined": fx.sql(["fx_pages"], "select doc_id, page, text from fx_pages"),
     "pages_combined_rows": fx.sql(["fx_pages"], "select doc_id, page, text from fx_pages"),
     "pages_preferred": fx.sql(_CHANNELS, """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagesieve.functions.text import sanitize
 from pagesieve.operators import inventory
 from pagesieve.plans import fixtures as fx
-from pagesieve.plans.analysis_queries import row_counts
+from pagesieve.plans.analysis_queries import written
 from pagesieve.session import work_folder
 from pagesieve.sources.detections import write_frames
 
@@ -75,9 +75,21 @@ def page_lengths_fallback(spark, sf_dir):
     return inventory.page_lengths(*_store(spark, sf_dir))
 
 
+# What is compared of each report: two keys, a text and two numbers.
+_REPORTS = {
+    "document_overview": ("file_name", "page_count", "file_path", None, None),
+    "digital_text": ("file_name", None, "text", "page", "text_length"),
+    "ocr_text": ("file_name", None, "text", "page", "text_length"),
+    "combined_pages": ("file_name", "has_ocr", "digital_preview", "page", "total_length"),
+    "summary_statistics": ("metric", None, None, "value", None),
+}
+
+
 def write_reports(spark, sf_dir):
-    paths = write_frames(inventory.report_frames(*_store(spark, sf_dir)), work_folder(spark, "reports"))
-    return row_counts(spark, paths, "parquet")
+    paths = write_frames(inventory.report_frames(*_store(spark, sf_dir)), work_folder(spark, "reports"), "csv")
+    rows = written(spark, paths, _REPORTS, "csv")
+    # an empty text and none are the same in a CSV file
+    return rows.withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def run_comparison(spark, sf_dir):
@@ -180,12 +192,19 @@ SQL = {
     "page_lengths_fallback": _sql(
         "select doc_id, page, file_name, dl as digital_length, ol as ocr_length from spine"
     ),
-    "write_reports": _sql("""
-        select 'document_overview' as frame, count(*) as n_rows from fx_meta
-        union all select 'digital_text', count(*) from spine where digital <> ''
-        union all select 'ocr_text', count(*) from spine where ocr <> ''
-        union all select 'combined_pages', count(*) from spine
-        union all select 'summary_statistics', 6::bigint"""),
+    "write_reports": _sql(f"""
+        select 'document_overview' as frame, file_name as key, cast(page_count as varchar) as second_key,
+               coalesce(file_path, 'N/A') as text, null::double as number, null::double as second_number from fx_meta
+        union all select 'digital_text', file_name, null, {_sanitized('digital')}, page, length(digital)
+          from spine where digital <> ''
+        union all select 'ocr_text', file_name, null, {_sanitized('ocr')}, page, length(ocr) from spine where ocr <> ''
+        union all select 'combined_pages', file_name, case when ol > 0 then 'Yes' else 'No' end, {_sanitized('dp')}, page, dl + ol
+          from (select *, digital[1:200] as dp from spine)
+        union all select 'summary_statistics', unnest(['Total Documents', 'Total Pages', 'Total Digital Text Characters',
+                 'Total OCR Text Characters', 'Total Text Characters', 'Average Pages per Document']), null, '',
+               unnest([docs::double, pages::double, d::double, o::double, (d + o)::double,
+                       cast(printf('%.2f', pages / docs) as double)]), null
+          from (select (select count(*) from fx_meta) as docs, count(*) as pages, sum(dl) as d, sum(ol) as o from spine)"""),
     "run_comparison": """
         with runs as (
           select 'user ' || user_id as implementation, round(sum(value), 3) as secs, max(value) as mem,

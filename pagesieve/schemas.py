@@ -12,17 +12,26 @@ DEFINITION_FILE = """
 
 DETECTION = """
     table_name string, document_name string, file_path string, found boolean,
-    pages_found array<int>, confidence_score double, match_details string, part int
+    pages_found array<int>, confidence_score double, match_details string
 """
 
+# ``since``: the first ``seq`` whose pages belong to the document as it is now.
 DOCUMENT_LOG = """
     doc_id string, file_name string, file_path string, page_count int, file_size bigint,
-    file_hash string, last_modified double, processing_date timestamp, batch bigint
+    file_hash string, last_modified double, processing_date timestamp,
+    has_digital boolean, has_ocr boolean, since bigint, writer string, batch bigint, seq bigint
 """
 
-PAGE_LOG = "doc_id string, page int, digital string, ocr string, batch bigint"
+PAGE_LOG = "doc_id string, page int, digital string, ocr string, writer string, batch bigint, seq bigint"
 
+RUN_LOG = """
+    file_name string, file_hash string, success boolean, pages_processed int, error string,
+    writer string, batch bigint, seq bigint
+"""
+
+# One row per page, so that a document may have any number of them; a document without pages has one row, its page null.
+# A channel that is null was not extracted, one that is "" was and is empty.
 EXTRACT = """
     doc_id string, file_name string, file_path string, file_size bigint, file_hash string,
-    last_modified double, pages array<struct<digital: string, ocr: string>>
+    last_modified double, page int, digital string, ocr string
 """

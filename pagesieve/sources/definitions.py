@@ -5,17 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.definitions import STRATEGIES
+from pagesieve.definitions import STRATEGIES, Phrase, TableRule, defaults
 from pagesieve.functions.text import strip
 from pagesieve.schemas import DEFINITION_FILE
 
-# Defaults of absent fields.
-TABLE_DEFAULTS = {
-    "match_strategy": "min_count", "min_elements": 3, "min_percentage": 0.6, "min_score": 0.7, "description": "",
-}
-ELEMENT_DEFAULTS = {
-    "max_errors": 2, "max_error_rate": 0.3, "match_case": False, "weight": 1.0, "description": "",
-}
+TABLE_DEFAULTS, ELEMENT_DEFAULTS = defaults(TableRule), defaults(Phrase)
 
 
 def read_definitions(spark: SparkSession, path: str) -> DataFrame:

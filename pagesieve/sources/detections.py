@@ -9,7 +9,7 @@ from pagesieve.schemas import DETECTION
 
 
 def as_exported(detections: DataFrame, *more: str) -> DataFrame:
-    """The exported fields. ``part`` numbers the rows of one very large detection, see detect."""
+    """The seven exported fields of listed detections."""
     return detections.select(
         "table_name",
         F.col("doc_id").cast("string").alias("document_name"),
@@ -18,7 +18,6 @@ def as_exported(detections: DataFrame, *more: str) -> DataFrame:
         "pages_found",
         "confidence_score",
         "match_details",
-        "part",
         *more,
     )
 
@@ -38,7 +37,6 @@ def load_detections(
         spark.read.schema(DETECTION).option("multiLine", multi_line).json(path)
         .withColumns({
             "file_path": F.coalesce("file_path", F.lit("")),
-            "part": F.coalesce("part", F.lit(0)),
             "seq": F.monotonically_increasing_id(),
         })
     )

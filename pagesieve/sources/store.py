@@ -1,20 +1,27 @@
 """The page store: documents and page texts in append-only Parquet folders.
 
-Every run adds one ``batch`` folder to both tables and never rewrites an older one, so a
-lost executor or a repeated run leaves whole batches behind. Both channels of a page sit
-in one row: the merged page view needs no join. A document that is ingested again replaces
-all of its pages.
+Every run adds one folder to the tables and never touches another one. A folder is named by who writes (``writer``),
+by the writer's own number of the batch, and by ``seq``, the order of all batches in the store. The documents of a batch are
+written after its pages, and only then does the batch count; writing the same (writer, batch) again adds a folder
+with a later ``seq`` that replaces the earlier one at that moment. Two writers never share a folder.
+
+Both channels of a page sit in one row: the merged page view needs no join. A document with new content replaces all of its
+pages; a channel that is added to known content joins the pages that are there, null leaving a channel as it is.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesieve.functions.blocks import document_blocks, page_block
+from pagesieve.functions.frames import join_checked
+from pagesieve.operators.ingest import append_log
 from pagesieve.operators.page_view import document_pages
-from pagesieve.schemas import DOCUMENT_LOG, PAGE_LOG
+from pagesieve.schemas import DOCUMENT_LOG, PAGE_LOG, RUN_LOG
 
 
 def last_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -67,13 +74,17 @@ def list_docs(meta: DataFrame) -> DataFrame:
 
 
 def page_texts(channels: DataFrame, requests: DataFrame, channel: str) -> DataFrame:
-    """Texts of the requested (doc_id, page) rows in one channel; null where there is none."""
+    """Texts of the requested (doc_id, page) rows in one channel; null where there is none.
+
+    Pages that nobody asked for drop out first, so that only the texts asked for are moved.
+    """
     wanted = channels.select("doc_id", "page", F.col(channel).alias("text"))
-    return requests.join(wanted, ["doc_id", "page"], "left")
+    keys = requests.select("doc_id", "page").distinct()
+    return requests.join(join_checked(wanted, keys, ["doc_id", "page"], "left_semi"), ["doc_id", "page"], "left")
 
 
 class PageStore:
-    """Documents and pages below one folder of shared storage."""
+    """Documents, pages and the log of runs below one folder of shared storage."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -87,53 +98,113 @@ class PageStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def write_batch(self, batch: int, documents: DataFrame, pages: DataFrame) -> None:
-        """Write one batch; writing the same batch again replaces it.
+    def write_batch(
+        self, writer: str, batch: int, documents: DataFrame, pages: DataFrame, log: DataFrame | None = None
+    ) -> None:
+        """Write one batch of a writer; writing it again replaces it as a whole.
 
-        Pages go first: a batch counts from the moment its documents are there.
+        ``documents`` may carry ``since``, null for documents whose pages begin with this batch.
         """
-        targets = (("pages", pages.select("doc_id", "page", "digital", "ocr"), ["doc_id", "page"]),
-                   ("documents", documents, ["doc_id"]))
-        for table, rows, order in targets:
-            (
-                rows.drop("batch").sortWithinPartitions(*order)
-                .write.mode("overwrite").parquet(f"{self.root}/{table}/batch={int(batch)}")
-            )
-
-    def document_log(self, before: int | None = None) -> DataFrame:
-        """All document rows; ``before`` leaves out that batch and later ones."""
-        log = self._read("documents", DOCUMENT_LOG)
-        return log if before is None else log.filter(F.col("batch") < before)
-
-    def metadata(self, before: int | None = None) -> DataFrame:
-        return last_rows(self.document_log(before), ["doc_id"], ["batch"])
+        if not re.fullmatch(r"[A-Za-z0-9_-]+", writer):
+            raise ValueError("a writer is named by letters, digits, - and _")
+        seq = (self._read("documents", DOCUMENT_LOG).agg(F.max("seq")).first()[0] or 0) + 1
+        place = f"writer={writer}/batch={int(batch)}/seq={seq}"
+        keys = ("writer", "batch", "seq")
+        since = F.coalesce("since", F.lit(seq)).cast("bigint") if "since" in documents.columns else F.lit(seq).cast("bigint")
+        targets = [
+            # in order over the files, so that their footers tell which documents they hold
+            ("pages", pages.select("doc_id", "page", "digital", "ocr").repartitionByRange("doc_id", "page")
+                .sortWithinPartitions("doc_id", "page")),
+            ("documents", documents.withColumn("since", since).drop(*keys).sortWithinPartitions("doc_id")),
+            # last of all: what is logged as completed is stored
+            ("runs", log),
+        ]
+        for table, rows in targets:
+            if rows is not None:
+                rows.write.mode("overwrite").parquet(f"{self.root}/{table}/{place}")
+
+    def _batches(self) -> DataFrame:
+        """The batches that count: of each (writer, batch) the last one with documents."""
+        return self._read("documents", DOCUMENT_LOG).groupBy("writer", "batch").agg(F.max("seq").alias("seq"))
+
+    def _counting(self, table: str, schema: str) -> DataFrame:
+        return join_checked(self._read(table, schema), self._batches(), ["writer", "batch", "seq"], "left_semi")
+
+    def document_log(self, without: tuple[str, int] | None = None) -> DataFrame:
+        """All document rows that count; ``without`` leaves out one batch (writer, batch)."""
+        log = self._counting("documents", DOCUMENT_LOG)
+        if without is None:
+            return log
+        return log.filter(~((F.col("writer") == without[0]) & (F.col("batch") == without[1])))
+
+    def run_log(self, without: tuple[str, int] | None = None) -> DataFrame:
+        """Results of all runs, file by file; completed files once each."""
+        rows = self._read("runs", RUN_LOG)
+        last = rows.groupBy("writer", "batch").agg(F.max("seq").alias("seq"))
+        rows = join_checked(rows, last, ["writer", "batch", "seq"], "left_semi")
+        if without is not None:
+            rows = rows.filter(~((F.col("writer") == without[0]) & (F.col("batch") == without[1])))
+        rows = rows.drop("writer", "batch", "seq")
+        return append_log(rows.limit(0), rows)
+
+    def metadata(self, without: tuple[str, int] | None = None) -> DataFrame:
+        return last_rows(self.document_log(without), ["doc_id"], ["seq", "writer"])
 
     def channels(self) -> DataFrame:
         """Current page rows with both channels.
 
-        Only the replaced (document, batch) pairs are shuffled or broadcast against the pages:
-        they come from the small document log and are none at all when nothing was re-ingested.
-        They are compared by page block, so that a very large document is spread.
+        Folders older than the content of every document are not read at all. Of the others only the pages of replaced
+        and of completed documents are told apart, by joins with the small document log; those that
+        several batches contribute to are merged channel by channel, all others are read as they are. Joins are by page
+        block, so that a very large document is spread.
         """
         log = self.document_log()
-        current = self.metadata().select("doc_id", F.col("batch").alias("current"))
-        replaced = document_blocks(
-            log.select("doc_id", "batch", "page_count").join(current, "doc_id").filter("batch < current")
-        ).select("doc_id", "batch", "block")
-        pages = self._read("pages", PAGE_LOG).withColumn("block", page_block(F.col("page")))
-        committed = log.select("batch").distinct()
-        return (
-            pages.join(committed, "batch", "left_semi")
-            .join(replaced, ["doc_id", "batch", "block"], "left_anti")
-            .select("doc_id", "page", "digital", "ocr")
+        current = self.metadata().select("doc_id", "since", F.col("page_count").alias("pages_now"))
+        floor = current.agg(F.min("since")).first()[0]
+        joined = log.filter(F.col("seq") >= (floor or 0)).drop("since").join(current, "doc_id")
+        key = ["doc_id", "writer", "batch", "seq", "block"]
+        replaced = document_blocks(joined.filter("seq < since")).select(*key)
+        layered = document_blocks(
+            joined.filter("seq >= since").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("page_count").alias("page_count"))
+            .filter("n > 1")
+        ).select("doc_id", "block")
+        pages = self._counting("pages", PAGE_LOG).filter(F.col("seq") >= (floor or 0))
+        pages = pages.withColumn("block", page_block(F.col("page")))
+        if not replaced.isEmpty():
+            pages = join_checked(pages, replaced, key, "left_anti")
+        if layered.isEmpty():
+            return pages.select("doc_id", "page", "digital", "ocr")
+        plain = join_checked(pages, layered, ["doc_id", "block"], "left_anti").select("doc_id", "page", "digital", "ocr")
+        rows = join_checked(pages, layered, ["doc_id", "block"], "left_semi")
+        return plain.unionByName(put_page_texts(rows.limit(0), rows, ["seq", "writer"]))
+
+    def put_page_texts(self, writer: str, batch: int, pages: DataFrame) -> None:
+        """Upsert pages (doc_id, page, digital, ocr) of any documents; a null channel stays as it is."""
+        added = pages.groupBy("doc_id").agg(
+            F.max("page").alias("pages"),
+            F.max(F.col("digital").isNotNull()).alias("digital"),
+            F.max(F.col("ocr").isNotNull()).alias("ocr"),
         )
+        known = self.metadata(without=(writer, batch)).drop("writer", "batch", "seq")
+        documents = added.join(known, "doc_id", "left").withColumns({
+            "page_count": F.greatest("page_count", "pages"),
+            "has_digital": F.coalesce("has_digital", F.lit(False)) | F.col("digital"),
+            "has_ocr": F.coalesce("has_ocr", F.lit(False)) | F.col("ocr"),
+            "processing_date": F.coalesce("processing_date", F.current_timestamp()),
+        })
+        self.write_batch(writer, batch, documents.drop("pages", "digital", "ocr"), pages)
+
+    def compact(self, batch: int) -> None:
+        """Write all current rows as one batch; older folders are then read by no one and may be deleted."""
+        documents = self.metadata().drop("writer", "batch", "seq", "since")
+        self.write_batch("compact", batch, documents, self.channels())
 
     def pages(self, prefer: str = "digital", combine: bool = True) -> DataFrame:
         """The merged page view (doc_id, page, text)."""
         return document_pages(self.channels(), prefer, combine)
 
     def get_metadata(self, doc_id: str) -> DataFrame:
-        return last_rows(self.document_log().filter(F.col("doc_id") == doc_id), ["doc_id"], ["batch"])
+        return last_rows(self.document_log().filter(F.col("doc_id") == doc_id), ["doc_id"], ["seq", "writer"])
 
     def get_page_text(self, doc_id: str, page: int, channel: str) -> DataFrame:
         """``channel`` is ``digital`` or ``ocr``; the filter reaches the Parquet scan."""

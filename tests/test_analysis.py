@@ -27,11 +27,15 @@ def by(df, *keys):
 
 def test_consolidate(found):
     rows = by(analysis.consolidate(found), "document_name", "table_name")
-    assert rows["d", "T"].pages == [1, 2, 3] and rows["d", "T"].confidence == 0.75 and rows["d", "T"].file_path == "/d"
-    assert rows["e", "T"].pages == [] and rows["e", "T"].file_path == "" and rows["e", "T"].part == 0
-    parts = analysis.consolidate(found, pages_per_part=2).filter("document_name = 'd' and table_name = 'T'")
-    assert [r.pages for r in parts.orderBy("part").collect()] == [[1, 2], [3]]
-    assert analysis.table_stats(analysis.consolidate(found, pages_per_part=1)).orderBy("table_name").first().occurrences == 2
+    assert rows["d", "T"][2:] == (3, 0.75, "/d") and rows["e", "T"][2:] == (0, 0.3, "")
+    pages = sorted(r.page for r in analysis.document_table_pages(found).filter("document_name = 'd' and table_name = 'T'").collect())
+    assert pages == [1, 2, 3]
+
+
+def test_mean_takes_any_number(spark, found):
+    high = found.withColumn("confidence_score", found.confidence_score + 2)
+    rows = by(analysis.consolidate(high), "document_name", "table_name")
+    assert rows["d", "T"].confidence == 2.75
 
 
 def test_statistics(found):

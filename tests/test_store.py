@@ -54,8 +54,9 @@ def test_ingest_and_reingest(stored):
     run(1, FIRST)
     assert texts(store) == {("a", 1): "one\nONE", ("a", 2): "", ("a", 3): "three", ("b", 1): "other"}
     assert {r.doc_id: r.page_count for r in store.metadata().collect()} == {"a": 3, "b": 1}
+    assert sorted((r.file_name, r.success, r.pages_processed) for r in store.run_log().collect()) == [("a.pdf", True, 3), ("b.pdf", True, 1)]
     run(2, FIRST)  # nothing changed
-    assert store.document_log().count() == 2
+    assert store.document_log().count() == 2 and store.run_log().count() == 2
     (folder / "a.pdf").write_bytes(b"changed")
     run(3, [("a", 1, "new", ""), ("b", 1, "must not be read", None)])
     assert texts(store) == {("a", 1): "new", ("b", 1): "other"}  # all older pages of a are gone
@@ -73,6 +74,61 @@ def test_repeated_batch_replaces_itself(stored):
     assert texts(store) == before and store.document_log().count() == 2
 
 
+def test_ocr_after_digital_keeps_both(spark, stored):
+    store, run, folder = stored
+    run(1, FIRST, enable_ocr=False)
+    assert texts(store)["a", 1] == "one"
+    run(2, [("a", 1, None, "ONE"), ("a", 2, None, "two"), ("b", 1, None, None)])
+    assert texts(store) == {("a", 1): "one\nONE", ("a", 2): "two", ("a", 3): "", ("b", 1): "other"}
+    store.put_page_texts("ocr", 1, channels(spark, [("b", 1, None, "B"), ("b", 2, "second", None), ("z", 1, "unknown", None)]))
+    assert texts(store)["b", 1] == "other\nB" and texts(store)["b", 2] == "second" and texts(store)["z", 1] == "unknown"
+    (folder / "a.pdf").write_bytes(b"changed")
+    run(3, [("a", 1, "new", None)])
+    assert {k: v for k, v in texts(store).items() if k[0] == "a"} == {("a", 1): "new"}
+    before = texts(store)
+    store.compact(1)
+    assert texts(store) == before and store.metadata().count() == 3
+    newest = store.document_log().agg({"seq": "max"}).first()[0]
+    assert f"(seq#" in (plan := store.channels()._jdf.queryExecution().executedPlan().toString()) and f">= {newest})" in plan
+
+
+def test_failed_files_are_tried_again_and_completed_ones_skipped(spark, stored):
+    store, run, _ = stored
+    broken = spark.createDataFrame([("b.pdf", "broken")], "file_name string, error string")
+    run(1, FIRST[:2], failures=broken)
+    assert {k[0] for k in texts(store)} == {"a"}
+    run(2, FIRST)
+    assert texts(store)["b", 1] == "other" and store.document_log().count() == 2
+    log = sorted((r.file_name, r.success) for r in store.run_log().collect())
+    assert log == [("a.pdf", True), ("b.pdf", False), ("b.pdf", True)]
+    run(3, FIRST, skip_existing=False)
+    assert store.document_log().count() == 2
+
+
+def test_writers_with_equal_numbers_keep_all_documents(spark, stored):
+    store, run, _ = stored
+    run(1, FIRST[:2], writer="x", failures=spark.createDataFrame([("b.pdf", "?")], "file_name string, error string"))
+    run(1, FIRST, writer="y")
+    assert {k[0] for k in texts(store)} == {"a", "b"}
+    with pytest.raises(ValueError):
+        run(1, FIRST, writer="../x")
+
+
+def test_unasked_texts_are_not_moved(spark, tmp_path):
+    rows = channels(spark, FIRST)
+    rows.write.parquet(str(tmp_path / "p"))
+    asked = spark.createDataFrame([("a", 1)], "doc_id string, page int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = page_texts(spark.read.parquet(str(tmp_path / "p")), asked, "ocr")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    scan = plan[plan.rindex("Join", 0, plan.index("FileScan")) :]
+    assert "BroadcastHashJoin" in plan and "Exchange hash" not in scan[: scan.index("FileScan")]
+
+
 def test_disabled_channel_is_empty(stored):
     store, run, _ = stored
     run(1, FIRST, enable_digital=False)
@@ -84,7 +140,7 @@ def test_search_store(spark, stored):
     run(1, FIRST)
     rule = TableRule("t", (Phrase("o"),), "all_elements")
     found = {r.doc_id: r for r in search_store(store, [rule]).collect()}
-    assert found["a"].pages_found == [1] and found["a"].file_path.endswith("/in/a.pdf")
+    assert found["a"].n_pages == 1 and found["a"].file_path.endswith("/in/a.pdf")
     only_b = spark.createDataFrame([("b",)], "doc_id string")
     assert [r.doc_id for r in search_store(store, [rule], doc_ids=only_b).collect()] == ["b"]
 
