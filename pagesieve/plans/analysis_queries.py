@@ -83,9 +83,10 @@ def written(spark, paths: dict[str, str], frames: dict[str, tuple], file_format:
 
     def one(name: str) -> DataFrame:
         schema = ", ".join(f"{c} {k}" for c, k in zip(frames[name], kinds) if c)
-        rows = spark.read.schema(schema).format(file_format).option("header", True).load(paths[name])
+        reader = spark.read if file_format == "parquet" else spark.read.schema(schema)
+        rows = reader.format(file_format).load(paths[name])
         values = [
-            (F.round(F.col(c), 9) if k == "double" else F.col(c)) if c else F.lit(None).cast(k)
+            (F.round(F.col(c).cast(k), 9) if k == "double" else F.col(c).cast(k)) if c else F.lit(None).cast(k)
             for c, k in zip(frames[name], kinds)
         ]
         return rows.select(F.lit(name).alias("frame"), *[v.alias(n) for v, n in zip(values, names)])

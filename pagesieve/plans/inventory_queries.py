@@ -86,10 +86,8 @@ _REPORTS = {
 
 
 def write_reports(spark, sf_dir):
-    paths = write_frames(inventory.report_frames(*_store(spark, sf_dir)), work_folder(spark, "reports"), "csv")
-    rows = written(spark, paths, _REPORTS, "csv")
-    # an empty text and none are the same in a CSV file
-    return rows.withColumn("text", F.coalesce("text", F.lit("")))
+    paths = write_frames(inventory.report_frames(*_store(spark, sf_dir)), work_folder(spark, "reports"))
+    return written(spark, paths, _REPORTS, "parquet")
 
 
 def run_comparison(spark, sf_dir):
@@ -201,7 +199,7 @@ SQL = {
         union all select 'combined_pages', file_name, case when ol > 0 then 'Yes' else 'No' end, {_sanitized('dp')}, page, dl + ol
           from (select *, digital[1:200] as dp from spine)
         union all select 'summary_statistics', unnest(['Total Documents', 'Total Pages', 'Total Digital Text Characters',
-                 'Total OCR Text Characters', 'Total Text Characters', 'Average Pages per Document']), null, '',
+                 'Total OCR Text Characters', 'Total Text Characters', 'Average Pages per Document']), null, null,
                unnest([docs::double, pages::double, d::double, o::double, (d + o)::double,
                        cast(printf('%.2f', pages / docs) as double)]), null
           from (select (select count(*) from fx_meta) as docs, count(*) as pages, sum(dl) as d, sum(ol) as o from spine)"""),
