@@ -6,7 +6,7 @@ to the tasks as literals of the plan.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import MISSING, dataclass, fields
 
 from pyspark.sql import DataFrame
@@ -84,17 +84,17 @@ def defaults(kind: type) -> dict:
     return {f.name: f.default for f in fields(kind) if f.default is not MISSING}
 
 
-#: Definitions become literals of a plan; more than so many do not fit in one.
+#: Definitions become literals of a plan; more than so many do not go into one.
 MOST_RULES = 5_000
 
 
 def rules_from_frame(definitions: DataFrame) -> list[TableRule]:
     """Rules out of a definition DataFrame as read by ``sources.definitions``, in file order.
 
-    Larger tables of definitions are joined with the pages instead, see ``operators.detect_join``.
+    A table of more than ``MOST_RULES`` definitions is taken in parts, see ``rules_in_parts``.
     """
     if definitions.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} definitions: use operators.detect_join")
+        raise ValueError(f"more than {MOST_RULES} definitions: take them by rules_in_parts")
     ordered = definitions.orderBy("table_idx") if "table_idx" in definitions.columns else definitions
     wanted = [
         "name", "text_elements", "match_strategy", "min_elements",
@@ -103,6 +103,19 @@ def rules_from_frame(definitions: DataFrame) -> list[TableRule]:
     return [TableRule.from_dict(row.asDict(recursive=True)) for row in ordered.select(wanted).collect()]
 
 
+def rules_in_parts(definitions: DataFrame, size: int = MOST_RULES) -> Iterator[list[TableRule]]:
+    """The rules of a definition table of any length, in parts of about half of ``size`` by a hash of the name.
+
+    Tables are found independently of each other, so the detections of all parts together are those of the
+    whole table (``detect.detect_in_parts``), at the price of one pass over the pages for each part.
+    """
+    parts = 2 * definitions.count() // size + 1
+    for part in range(parts):
+        chosen = definitions.filter(F.pmod(F.xxhash64("name"), F.lit(parts)) == part)
+        if rules := rules_from_frame(chosen):
+            yield rules
+
+
 def element_rows(rules: Iterable[TableRule]) -> list[dict]:
     """One plain dict per phrase with its table and index."""
     return [

@@ -7,7 +7,7 @@ sums over the qualifying pages are rolled up per document.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from operator import add, or_
 
@@ -25,8 +25,9 @@ from pagesieve.functions.text import (
     literal_pattern,
 )
 
-# Up to this many distinct phrases each one becomes its own compiled expression;
-# beyond it one array function walks the phrase list, so the plan stays small.
+# Unless ``compiled`` is given: up to this many distinct phrases each one becomes its own compiled expression;
+# beyond it one array function walks the phrase list, so the plan stays small. Rows are the same either way; the
+# compiled form drops pages on which no rule can be met before results are built, the walk those without any phrase.
 COMPILED_PHRASES = 64
 
 
@@ -428,6 +429,13 @@ def detect_tables(
     )
 
 
+def detect_in_parts(
+    pages: DataFrame, parts: Iterable[Sequence[TableRule]], min_confidence: float = 0.0
+) -> DataFrame:
+    """Detections of more rules than fit in one plan: one pass over the pages for each part of them."""
+    return reduce(DataFrame.unionByName, [detect_tables(pages, rules, min_confidence) for rules in parts])
+
+
 def detected_pages(
     pages: DataFrame,
     rules: Sequence[TableRule],

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from pagesieve import Phrase, TableRule
-from pagesieve.definitions import rules_from_frame
+from pagesieve.definitions import rules_from_frame, rules_in_parts
 from pagesieve.sources import definitions
 
 FILE = {
@@ -58,3 +58,16 @@ def test_violations(spark, table, violation):
 def test_unknown_fields_are_ignored():
     table = {"name": "t", "extra": 1, "text_elements": [{"search_text": "a", "note": "x"}], "min_elements": 1}
     assert TableRule.from_dict(table).phrases == (Phrase("a"),)
+
+
+def test_rules_in_parts_find_what_all_rules_find(spark):
+    from pagesieve.operators import detect
+
+    tables = [{"name": f"t{i}", "min_elements": 1, "text_elements": [{"search_text": f"w{i}x"}]} for i in range(30)]
+    rows = spark.createDataFrame([(json.dumps({"tables": tables}),)], "json string")
+    frame = definitions.parse_definitions(rows, "json")
+    pages = spark.createDataFrame([("d", p, f"w{p}x w{2 * p}x") for p in range(1, 20)], "doc_id string, page int, text string")
+    parts = list(rules_in_parts(frame, 20))
+    assert len(parts) > 1 and sum(map(len, parts)) == 30
+    whole = detect.detect_tables(pages, rules_from_frame(frame)).collect()
+    assert sorted(map(tuple, detect.detect_in_parts(pages, parts).collect())) == sorted(map(tuple, whole))
