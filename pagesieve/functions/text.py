@@ -68,8 +68,35 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def running_starts(lengths: Column, block: int = 256) -> Column:
+    """Of an array of whole numbers the sum of all that stand before each.
+
+    Arrays grow by copying, so the sums run in blocks: within each, and over the blocks' totals.
+    """
+
+    def scan(values: Column, first: Column) -> Column:
+        start = F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(
+            values,
+            start,
+            lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    def in_blocks(values: Column) -> Column:
+        cuts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(block))
+        return F.transform(cuts, lambda at: F.slice(values, at, F.lit(block)))
+
+    def summed(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda total, x: total + x))
+        return F.flatten(F.zip_with(blocks, scan(totals, F.lit(0)), scan))
+
+    return bound(bound(lengths, in_blocks), summed)
+
+
 def sanitize(text: Column, max_length: int = 500) -> Column:
     """Text fit for a report cell: printable ASCII, single spaces, cut to ``max_length``."""
+    # The three patterns and what replaces them.
     clean = F.regexp_replace(text, "_{3,}", "_")
     clean = F.regexp_replace(clean, "[^\\x20-\\x7E\\n\\r\\t]+", "")
     clean = F.regexp_replace(clean, "\\s+", " ")

@@ -23,6 +23,7 @@ from pagesieve.functions.text import (
     has_special_letters,
     is_special_phrase,
     literal_pattern,
+    running_starts,
 )
 
 # Unless ``compiled`` is given: up to this many distinct phrases each one becomes its own compiled expression;
@@ -373,23 +374,15 @@ def match_positions(pages: DataFrame, rules: Sequence[TableRule]) -> DataFrame:
         for slot, (t, c) in enumerate(phrases)
     ]
     found = [F.when(F.get(F.col("_counts"), F.lit(slot)) > 0, p) for slot, p in enumerate(pieces)]
-    def placed(m: Column) -> Column:
-        """Occurrences with their offsets: what lies before each of them, gaps and earlier ones, summed up on the way."""
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<position:int,text:string>>").alias("done"))
-
-        def step(acc: Column, x: Column) -> Column:
-            here = acc["at"] + x["gap"]
-            one = F.struct(here.alias("position"), x["text"].alias("text"))
-            return F.struct((here + F.length(x["text"])).alias("at"), F.concat(acc["done"], F.array(one)).alias("done"))
-
-        return F.aggregate(m, start, step, lambda acc: acc["done"])
-
-    pairs = F.arrays_zip(F.slice(F.col("m.gaps"), F.lit(1), F.size("m.texts")).alias("gap"), F.col("m.texts").alias("text"))
+    texts = F.col("m.texts")
+    gaps = F.slice(F.col("m.gaps"), F.lit(1), F.size(texts))
+    # before an occurrence lie the earlier ones and all gaps up to it
+    starts = running_starts(F.zip_with(gaps, texts, lambda gap, text: gap + F.length(text)))
     placed_rows = (
         with_phrase_counts(pages, rules)
         .select(*keys, F.explode(F.array_compact(F.array(*found))).alias("m"))
-        .select(*keys, "m.slot", F.posexplode(placed(pairs)).alias("occurrence", "o"))
-        .select(*keys, "slot", "occurrence", "o.position", F.col("o.text").alias("matched_text"))
+        .select(*keys, "m.slot", F.posexplode(F.arrays_zip(starts.alias("start"), gaps.alias("gap"), texts.alias("text"))).alias("occurrence", "o"))
+        .select(*keys, "slot", "occurrence", (F.col("o.start") + F.col("o.gap")).alias("position"), F.col("o.text").alias("matched_text"))
     )
     uses = F.array(*[
         F.struct(

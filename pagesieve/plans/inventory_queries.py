@@ -146,6 +146,7 @@ def _report(channel: str) -> str:
         from spine where {channel} <> ''""")
 
 
+# Fixed values in the texts below: the names of the metrics, N/A, Yes, No and the text of an empty cell.
 _HASH = "case when coalesce(file_hash, '') <> '' then file_hash[1:{}] || '...' else 'N/A' end"
 
 SQL = {

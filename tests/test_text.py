@@ -83,3 +83,13 @@ def test_mean_equals_python(spark):
     means = [r[1] for r in df.groupBy("i").agg(mean(F.col("x"))).orderBy("i").collect()]
     assert means == [sum(xs) / len(xs) for xs in lists]
     assert df.limit(0).agg(mean(F.col("x"))).first()[0] is None
+
+
+def test_running_starts(spark):
+    from pyspark.sql import functions as F
+
+    from pagesieve.functions.text import running_starts
+
+    rows = [([],), ([5],), (list(range(1000)),)]
+    got = spark.createDataFrame(rows, "v array<int>").select("v", running_starts(F.col("v"), 16).alias("s")).collect()
+    assert all(r.s == [sum(r.v[:i]) for i in range(len(r.v))] for r in got)
