@@ -25,6 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.functions.text import bound, running_starts
+
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run is taken whole, so asking for its length is dropping shorter ones
 HEX = r"[0-9a-f]{24,}"
@@ -44,36 +46,19 @@ SAMPLE = 20_000
 def _matches(text: Column, pattern: str) -> Column:
     """Matches in order as structs (start, stop, value); the pattern must not match an empty string."""
     marked = F.regexp_replace(F.translate(text, _MARK, _MARK_AS), f"({pattern})", f"{_MARK}$1{_MARK}")
-    # Pieces at odd places are matches.
-    pieces = F.split(marked, _MARK, -1)
-    step = F.aggregate(
-        pieces,
-        F.struct(
-            F.lit(0).alias("at"),
-            F.lit(False).alias("inside"),
-            F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("found"),
-        ),
-        lambda acc, piece: F.struct(
-            (acc["at"] + F.length(piece)).alias("at"),
-            (~acc["inside"]).alias("inside"),
-            F.when(
-                acc["inside"],
-                F.concat(
-                    acc["found"],
-                    F.array(
-                        F.struct(
-                            acc["at"].alias("start"), (acc["at"] + F.length(piece)).alias("stop"), piece.alias("value")
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["found"])
-            .alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
+
+    def placed(pieces: Column) -> Column:
+        starts = running_starts(F.transform(pieces, F.length))
+        spans = F.zip_with(
+            starts,
+            pieces,
+            lambda at, piece: F.struct(at.alias("start"), (at + F.length(piece)).alias("stop"), piece.alias("value")),
+        )
+        # Pieces at odd places are matches.
+        return F.filter(spans, lambda span, i: i % 2 == 1)
+
     none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
-    return F.when(text.rlike(pattern), step).otherwise(none)
+    return F.when(text.rlike(pattern), bound(F.split(marked, _MARK, -1), placed)).otherwise(none)
 
 
 def _value(match: Column) -> Column:
