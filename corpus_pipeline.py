@@ -38,8 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of the texts, and whether they decode to the text they came from."""
-    path = vocabularies.path(RANKS, spark)
-    decoded = byte_bpe.decode(byte_bpe.encode(docs, path).drop("ends"), path)
+    decoded = byte_bpe.round_trip(docs, vocabularies.path(RANKS, spark))
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return decoded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", same.alias("round_trip"))
 

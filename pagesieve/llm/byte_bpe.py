@@ -14,13 +14,12 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from pagesieve.llm import pretokens
@@ -218,29 +217,76 @@ def _chunked(column: pa.Array, merger: Merger) -> Iterator[tuple[int, np.ndarray
         yield row, *encode_chunk(data, offsets, merger), np.diff(offsets)
 
 
-def _with(df: DataFrame, added: list[T.StructField], work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> DataFrame:
-    names = {f.name.lower() for f in added}
-    rest = [f for f in df.schema.fields if f.name.lower() not in names]
-    return map_arrow(df, lambda batches: chain.from_iterable(map(work, batches)), T.StructType(rest + added))
+ADDED = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("ends", T.BinaryType())]
+
+
+def _rest(df: DataFrame, *names: str) -> list[T.StructField]:
+    """The fields of `df` but those of these names, whatever their case."""
+    gone = {n.lower() for n in names}
+    return [f for f in df.schema.fields if f.name.lower() not in gone]
+
+
+def _encoded(batch: pa.RecordBatch, held: list[str], rank_path: str, column: str) -> Iterator[pa.RecordBatch]:
+    merger, widths = _merger(rank_path), _widths(rank_path)
+    for row, ids, counts, sizes in _chunked(batch.column(column), merger):
+        ends = np.cumsum(widths[ids])
+        ends = (ends - np.repeat(np.cumsum(sizes) - sizes, counts)).astype("<u4")
+        bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
+        part = batch.slice(row, len(counts)).select(held)
+        yield pa.RecordBatch.from_arrays(
+            [*part.columns, pa.array(counts), _slices(ids, bounds), _slices(ends, bounds)], names=[*held, "n_tokens", "ids", "ends"]
+        )
+
+
+def _decoded(batch: pa.RecordBatch, held: list[str], rank_path: str, column: str, into: str) -> pa.RecordBatch:
+    joined, widths = _joined(rank_path), _widths(rank_path)
+    places = np.cumsum(widths) - widths
+    texts = []
+    for one in batch.column(column):
+        ids = np.frombuffer(one.as_buffer(), dtype="<u4") if one.is_valid else np.zeros(0, dtype=np.uint32)
+        sizes = widths[ids]
+        upto = np.cumsum(sizes)
+        n = int(upto[-1]) if len(upto) else 0
+        texts.append(joined[np.repeat(places[ids] - (upto - sizes), sizes) + np.arange(n)].tobytes())
+    return pa.RecordBatch.from_arrays([*batch.select(held).columns, pa.array(texts, pa.binary())], names=[*held, into])
 
 
 def encode(docs: DataFrame, rank_path: str, column: str = "text") -> DataFrame:
     """The rows of `docs` with n_tokens, ids and ends (byte offset behind each token)."""
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("ends", T.BinaryType())]
-    held = [f.name for f in docs.schema.fields if f.name.lower() not in {"n_tokens", "ids", "ends"}]
+    rest = _rest(docs, "n_tokens", "ids", "ends")
+    held = [f.name for f in rest]
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        merger, widths = _merger(rank_path), _widths(rank_path)
-        for row, ids, counts, sizes in _chunked(batch.column(column), merger):
-            ends = np.cumsum(widths[ids])
-            ends = (ends - np.repeat(np.cumsum(sizes) - sizes, counts)).astype("<u4")
-            bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
-            part = batch.slice(row, len(counts)).select(held)
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(counts), _slices(ids, bounds), _slices(ends, bounds)], names=[*held, "n_tokens", "ids", "ends"]
-            )
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _encoded(batch, held, rank_path, column)
+
+    return map_arrow(docs, work, T.StructType(rest + ADDED))
+
+
+def decode(df: DataFrame, rank_path: str, column: str = "ids", into: str = "decoded") -> DataFrame:
+    """The rows of `df` with the bytes that the ids stand for."""
+    rest = _rest(df, into)
+    held = [f.name for f in rest]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _decoded(batch, held, rank_path, column, into)
+
+    return map_arrow(df, work, T.StructType([*rest, T.StructField(into, T.BinaryType())]))
+
+
+def round_trip(docs: DataFrame, rank_path: str, column: str = "text", into: str = "decoded") -> DataFrame:
+    """Encoded and decoded again in one pass: what `encode` gives, without `ends`, and the bytes in `into`."""
+    rest = _rest(docs, "n_tokens", "ids", "ends", into)
+    held = [f.name for f in rest]
+    kept = [*held, "n_tokens", "ids"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _encoded(batch, held, rank_path, column):
+                yield _decoded(part, kept, rank_path, "ids", into)
 
-    return _with(docs, fields, work)
+    return map_arrow(docs, work, T.StructType([*rest, *ADDED[:2], T.StructField(into, T.BinaryType())]))
 
 
 def count_tokens(docs: DataFrame, rank_path: str, column: str = "text", into: str = "n_tokens") -> DataFrame:
@@ -256,29 +302,6 @@ def count_tokens(docs: DataFrame, rank_path: str, column: str = "text", into: st
     return map_arrow(docs, lambda batches: chain.from_iterable(map(work, batches)), schema)
 
 
-def decode(df: DataFrame, rank_path: str, column: str = "ids", into: str = "decoded") -> DataFrame:
-    """The rows of `df` with the bytes that the ids stand for."""
-    held = [f.name for f in df.schema.fields if f.name.lower() != into.lower()]
-
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        joined, widths = _joined(rank_path), _widths(rank_path)
-        places = np.cumsum(widths) - widths
-        texts = []
-        for one in batch.column(column):
-            ids = np.frombuffer(one.as_buffer(), dtype="<u4") if one.is_valid else np.zeros(0, dtype=np.uint32)
-            sizes = widths[ids]
-            upto = np.cumsum(sizes)
-            n = int(upto[-1]) if len(upto) else 0
-            texts.append(joined[np.repeat(places[ids] - (upto - sizes), sizes) + np.arange(n)].tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.select(held).columns, pa.array(texts, pa.binary())], names=[*held, into])
-
-    return _with(df, [T.StructField(into, T.BinaryType())], work)
-
-
-def hex_digest(content: Column) -> Column:
-    return F.sha2(content, 256)
-
-
 def _slices(values: np.ndarray, bounds: list[int]) -> pa.Array:
     raw = values.astype("<u4").tobytes()
     return pa.array([raw[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:])], pa.binary())

@@ -57,10 +57,8 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabularies.path(RANKS, spark)
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    decoded = byte_bpe.decode(encoded.select("doc_id", "n_tokens", "ids"), path)
-    return decoded.select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.round_trip(docs, vocabularies.path(RANKS, spark)).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
