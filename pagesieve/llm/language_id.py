@@ -39,7 +39,8 @@ ROUNDS = 12
 SLACK = 0.5
 #: Texts of fewer n-grams are held to a lower cosine.
 ENOUGH = 300
-CHUNK_BYTES = 1 << 20
+#: Bytes and texts in work at a time: a text takes a row of counts, however short it is.
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 256
 UNKNOWN = "und"
 
 
@@ -62,7 +63,7 @@ def _folded() -> np.ndarray:
 
 def ngram_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """First row and counts (texts x buckets) of chunks of texts."""
-    for row, data, offsets in text_chunks(column, CHUNK_BYTES):
+    for row, data, offsets in text_chunks(column, CHUNK_BYTES, CHUNK_ROWS):
         texts = len(offsets) - 1
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
         place = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]

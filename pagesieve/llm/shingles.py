@@ -51,8 +51,10 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def text_chunks(column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Cut a string column into runs of rows of about `chunk_bytes`; a longer text is a run of its own.
+def text_chunks(
+    column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYTES, most_rows: int = 1 << 30
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Cut a string column into runs of at most `most_rows` rows and about `chunk_bytes`; a longer text is a run of its own.
 
     Yields the first row, the bytes of the run, and the offsets of its texts; a null has no bytes.
     """
@@ -68,7 +70,7 @@ def text_chunks(column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYT
     row = 0
     while row < len(column):
         last = int(np.searchsorted(offsets, offsets[row] + chunk_bytes, side="right")) - 1
-        last = min(max(last, row + 1), len(column))
+        last = min(max(last, row + 1), row + most_rows, len(column))
         yield row, data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
         row = last
 
