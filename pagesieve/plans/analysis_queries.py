@@ -16,12 +16,17 @@ from pagesieve.sources import detections as io
 
 
 def detections(spark, sf_dir) -> DataFrame:
-    """Two searches, at confidence 0 and 0.6; the first one knows the path of odd documents only."""
+    """Two searches, at confidence 0 and 0.6; the first one knows the path of odd documents only.
+
+    Both start from the pages found at 0, which are written once for this call.
+    """
     meta = fx.meta(spark, sf_dir)
+    path = work_folder(spark, "found")
+    detect.detected_pages(fx.pages(spark, sf_dir), fx.RULES).write.parquet(path)
+    hits = spark.read.parquet(path)
 
     def search(seq: int, minimum: float) -> DataFrame:
-        hits = detect.detected_pages(fx.pages(spark, sf_dir), fx.RULES, minimum)
-        found = detect.listed(hits).withColumn("confidence_score", F.round("confidence_score", 6))
+        found = detect.listed(hits.filter(F.col("score") >= minimum)).withColumn("confidence_score", F.round("confidence_score", 6))
         return detect.with_file_paths(found, meta).withColumn("seq", F.lit(seq))
 
     first = search(0, 0.0).withColumn(
