@@ -27,7 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEPS = 60
 TOLERANCE = 1e-9
 #: Steps of the rounding threshold; a source's documents between two of them are put in order.
-NOTCHES = 1 << 14
+NOTCHES, BAND = 1 << 14, 128
 
 
 def word_count(text: Column) -> Column:
@@ -193,21 +193,31 @@ def take(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 
 def _stops(rated: DataFrame) -> DataFrame:
-    """For each source the notch in which its words meet the target, and the room left for that notch."""
-    by_notch = rated.groupBy("key", "notch").agg(
-        F.sum(F.col("whole") * F.col("size")).alias("taken"), F.sum("size").alias("words"), F.first("target").alias("target")
+    """For each source the notch in which its words meet the target, and the room left for that notch.
+
+    Words are summed up over bands of notches and within each band, so no task has all notches of a source.
+    """
+    by_notch = cut(
+        rated.withColumn("taken", F.col("whole") * F.col("size"))
+        .groupBy("key", "notch")
+        .agg(F.sum("taken").alias("taken"), F.sum("size").alias("words"), F.first("target").alias("target"))
     )
-    whole = Window.partitionBy("key")
-    need = F.round(F.col("target")).cast("long") - F.sum("taken").over(whole)
-    order = whole.orderBy(F.col("notch").asc_nulls_first())
-    words = F.when(F.col("notch").isNull(), F.lit(0)).otherwise(F.col("words"))
-    upto = F.sum(words).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    reached = F.col("notch").isNotNull() & (F.col("upto") >= F.col("need"))
+    needs = by_notch.groupBy("key").agg((F.round(F.first("target")).cast("long") - F.sum("taken")).alias("need"))
+    rows = by_notch.filter("notch is not null").select("key", "notch", F.floor(F.col("notch") / BAND).alias("band"), "words")
+    over = Window.partitionBy("key").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = rows.groupBy("key", "band").agg(F.sum("words").alias("words"))
+    bands = bands.select("key", "band", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("before"))
+    within = Window.partitionBy("key", "band").orderBy("notch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumn("upto", F.sum("words").over(within)).join(bands, ["key", "band"])
+    needs = cut(needs)
+    placed = join_checked(summed, needs, "key").withColumn("upto", F.col("before") + F.col("upto"))
     room = F.col("need") - F.col("upto") + F.col("words")
-    return (
-        by_notch.select("key", "notch", need.alias("need"), words.alias("words"), upto.alias("upto"))
+    found = (
+        placed.filter(F.col("upto") >= F.col("need"))
         .groupBy("key")
-        .agg(F.min(F.when(reached, F.struct("notch", room.alias("room")))).alias("at"))
-        # A source whose rounded rates all stay below the target takes all that can be rounded up.
-        .select("key", F.coalesce("at.notch", F.lit(NOTCHES + 1)).alias("stop"), F.coalesce("at.room", F.lit(0)).alias("room"))
+        .agg(F.min(F.struct("notch", room.alias("room"))).alias("at"))
+    )
+    # A source whose rounded rates all stay below the target takes all that can be rounded up.
+    return needs.join(found, "key", "left").select(
+        "key", F.coalesce("at.notch", F.lit(NOTCHES + 1)).alias("stop"), F.coalesce("at.room", F.lit(0)).alias("room")
     )
