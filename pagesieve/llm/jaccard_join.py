@@ -42,7 +42,7 @@ WIDTH, PERCENT = 5, 75
 #: little above the share of shingles that may be missing; more moves more rows and rules out more sets.
 COUNTED = 0.35
 #: Sets of a cluster that are compared together.
-BLOCK = 256
+BLOCK = 128
 
 
 def _sets(docs: DataFrame, width: int, schema: str, row: str) -> DataFrame:
