@@ -1,4 +1,8 @@
-"""Statistics over exported detections."""
+"""Statistics over exported detections.
+
+Detections come with the list of their pages or, for documents of any size, without it and beside flat rows of
+``pages``: (document_name, table_name, page), a page may repeat.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +14,14 @@ from pagesieve.functions.numbers import mean
 GROUP = ["document_name", "table_name"]
 
 
-def consolidated_pages(detections: DataFrame) -> DataFrame:
+def consolidated_pages(detections: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """The distinct pages of each (document, table), one row each."""
-    return detections.select(*GROUP, F.explode("pages_found").alias("page")).distinct()
+    if pages is None:
+        pages = detections.withColumn("page", F.explode("pages_found"))
+    return pages.select(*GROUP, "page").distinct()
 
 
-def consolidate(detections: DataFrame) -> DataFrame:
+def consolidate(detections: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """One row per (document, table): number of distinct pages, mean confidence, first path given.
 
     The pages are the rows of ``consolidated_pages``, as there may be any number of them.
@@ -26,8 +32,8 @@ def consolidate(detections: DataFrame) -> DataFrame:
         mean(F.col("confidence_score")).alias("confidence"),
         F.coalesce(F.min_by(path, F.when(path.isNotNull(), order)), F.lit("")).alias("file_path"),
     )
-    pages = consolidated_pages(detections).groupBy(*GROUP).agg(F.count("*").alias("n_pages"))
-    return stats.join(pages, GROUP, "left").select(
+    counts = consolidated_pages(detections, pages).groupBy(*GROUP).agg(F.count("*").alias("n_pages"))
+    return stats.join(counts, GROUP, "left").select(
         *GROUP, F.coalesce("n_pages", F.lit(0)).alias("n_pages"), "confidence", "file_path"
     )
 
@@ -78,9 +84,9 @@ def document_stats(consolidated: DataFrame) -> DataFrame:
     )
 
 
-def document_table_pages(detections: DataFrame) -> DataFrame:
+def document_table_pages(detections: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Per document and table its pages, one row each."""
-    return consolidated_pages(detections)
+    return consolidated_pages(detections, pages)
 
 
 def confidence_bands(consolidated: DataFrame) -> DataFrame:
@@ -109,7 +115,9 @@ def table_file_paths(consolidated: DataFrame) -> DataFrame:
     return consolidated.filter("file_path <> ''").select("table_name", "file_path").distinct()
 
 
-def analysis_frames(detections: DataFrame, consolidated: DataFrame) -> dict[str, DataFrame]:
+def analysis_frames(
+    detections: DataFrame, consolidated: DataFrame, pages: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """All analysis results by name."""
     return {
         "summary": analysis_totals(detections),
@@ -120,5 +128,5 @@ def analysis_frames(detections: DataFrame, consolidated: DataFrame) -> dict[str,
         "document_stats": document_stats(consolidated),
         "confidence_stats": confidence_bands(consolidated),
         "file_paths": table_file_paths(consolidated),
-        "pages": document_table_pages(detections),
+        "pages": document_table_pages(detections, pages),
     }

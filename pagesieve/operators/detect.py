@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.definitions import TableRule
-from pagesieve.functions.blocks import document_blocks, page_block
+from pagesieve.functions.blocks import PAGE_BLOCK, document_blocks, page_block
 from pagesieve.functions.frames import one_row, with_once
 from pagesieve.functions.numbers import compensated_sum, exact_sum, fixed, mean
 from pagesieve.functions.text import (
@@ -440,24 +440,62 @@ def detected_pages(
     return hits.select("table_name", "doc_id", "page", "score", "details")
 
 
-def listed(hits: DataFrame) -> DataFrame:
-    """Detections as they are exchanged in files: one row each, with the list of its pages and the details in one text.
+def detections_of(hits: DataFrame, *more: str) -> DataFrame:
+    """One row per detection with its mean score, from flat rows of ``detected_pages``: only sums meet in a task.
 
-    ``hits`` are rows of ``detected_pages``. A row holds all pages of its detection; use the flat
-    rows for documents with more pages than a row should hold.
+    ``more`` are columns that tell several searches apart.
     """
-    item = F.struct("page", "score", "details")
+    return hits.groupBy("table_name", "doc_id", *more).agg(mean(F.col("score")).alias("confidence_score")).select(
+        "table_name", "doc_id", F.lit(True).alias("found"), "confidence_score", *more
+    )
+
+
+_ITEM = ("page", "score", "details")
+
+
+def _details() -> Column:
     lines = F.transform("items", lambda x: F.concat(F.lit("Page "), x["page"].cast("string"), F.lit(": "), x["details"]))
+    return F.array_join(lines, "; ").alias("match_details")
+
+
+def listed_parts(hits: DataFrame, *more: str, size: int = PAGE_BLOCK) -> DataFrame:
+    """Detections in bounded parts: a row holds the pages of one block of ``size`` page numbers and their details.
+
+    Every part has the mean score of the whole detection; ``part`` is 0 for the first one and the number of the block
+    for the others. ``more`` are columns that tell several searches apart.
+    """
+    keys = ["table_name", "doc_id", *more]
+    blocks = (
+        hits.withColumn("block", page_block(F.col("page"), size))
+        .groupBy(*keys, "block")
+        .agg(F.array_sort(F.collect_list(F.struct(*_ITEM))).alias("items"))
+    )
+    whole = hits.groupBy(*keys).agg(
+        mean(F.col("score")).alias("confidence_score"), F.min(page_block(F.col("page"), size)).alias("first")
+    )
+    part = F.when(F.col("block") == F.col("first"), 0).otherwise(F.col("block"))
+    return blocks.join(whole, keys).select(
+        "table_name", "doc_id", F.lit(True).alias("found"), F.col("items.page").alias("pages_found"),
+        "confidence_score", _details(), *more, part.alias("part"),
+    )
+
+
+def listed(hits: DataFrame) -> DataFrame:
+    """Detections in the reference's exchange format: one row each, with the list of its pages and the details in one text.
+
+    ``hits`` are rows of ``detected_pages``. A row holds all pages of its detection, without a bound; use ``listed_parts``
+    or the flat rows for documents with more pages than a row should hold.
+    """
     return (
         hits.groupBy("table_name", "doc_id")
-        .agg(F.array_sort(F.collect_list(item)).alias("items"), mean(F.col("score")).alias("confidence_score"))
+        .agg(F.array_sort(F.collect_list(F.struct(*_ITEM))).alias("items"), mean(F.col("score")).alias("confidence_score"))
         .select(
             "table_name",
             "doc_id",
             F.lit(True).alias("found"),
             F.col("items.page").alias("pages_found"),
             "confidence_score",
-            F.array_join(lines, "; ").alias("match_details"),
+            _details(),
         )
     )
 

@@ -15,24 +15,32 @@ from pagesieve.session import work_folder
 from pagesieve.sources import detections as io
 
 
-def detections(spark, sf_dir) -> DataFrame:
-    """Two searches, at confidence 0 and 0.6; the first one knows the path of odd documents only.
+def found_pages(spark, sf_dir) -> DataFrame:
+    """The pages of two searches, at confidence 0 and 0.6, as flat rows.
 
     Both start from the pages found at 0, which are written once for this call.
     """
-    meta = fx.meta(spark, sf_dir)
     path = work_folder(spark, "found")
     detect.detected_pages(fx.pages(spark, sf_dir), fx.RULES).write.parquet(path)
     hits = spark.read.parquet(path)
+    return hits.withColumn("seq", F.lit(0)).unionByName(hits.filter("score >= 0.6").withColumn("seq", F.lit(1)))
 
-    def search(seq: int, minimum: float) -> DataFrame:
-        found = detect.listed(hits.filter(F.col("score") >= minimum)).withColumn("confidence_score", F.round("confidence_score", 6))
-        return detect.with_file_paths(found, meta).withColumn("seq", F.lit(seq))
 
-    first = search(0, 0.0).withColumn(
-        "file_path", F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("file_path"))
-    )
-    return first.unionByName(search(1, 0.6))
+def described(spark, sf_dir, found: DataFrame) -> DataFrame:
+    """Detections with their paths; the first search knows the path of odd documents only."""
+    found = detect.with_file_paths(found, fx.meta(spark, sf_dir))
+    unknown = (F.col("seq") == 0) & (F.col("doc_id") % 2 == 0)
+    return found.withColumns({
+        "file_path": F.when(unknown, "").otherwise(F.col("file_path")),
+        "confidence_score": F.round("confidence_score", 6),
+    })
+
+
+def detections(spark, sf_dir) -> DataFrame:
+    """Both searches in the exchange format, one row per detection."""
+    hits = found_pages(spark, sf_dir)
+    searches = [detect.listed(hits.filter(F.col("seq") == k)).withColumn("seq", F.lit(k)) for k in (0, 1)]
+    return described(spark, sf_dir, reduce(DataFrame.unionByName, searches))
 
 
 def exported(spark, sf_dir) -> DataFrame:
@@ -40,6 +48,16 @@ def exported(spark, sf_dir) -> DataFrame:
     return io.as_exported(detections(spark, sf_dir), "seq")
 
 
+def flat(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The detections of both searches without lists, and the rows of their pages: nothing here grows with a document."""
+    hits = found_pages(spark, sf_dir)
+    name = F.col("doc_id").cast("string").alias("document_name")
+    found = described(spark, sf_dir, detect.detections_of(hits, "seq"))
+    return found.select(name, "table_name", "file_path", "found", "confidence_score", "seq"), hits.select(
+        name, "table_name", "page"
+    )
+
+
 def joined(pages: str) -> Column:
     return F.array_join(F.col(pages).cast("array<string>"), ",").alias(pages)
 
@@ -53,7 +71,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def _consolidated(spark, sf_dir) -> DataFrame:
-    return analysis.consolidate(exported(spark, sf_dir))
+    return analysis.consolidate(*flat(spark, sf_dir))
 
 
 def export_detections(spark, sf_dir):
@@ -62,6 +80,22 @@ def export_detections(spark, sf_dir):
     return _flat(spark.read.schema(io.DETECTION).json(path))
 
 
+def export_detection_parts(spark, sf_dir):
+    """The exchange format in parts of at most a page block, with 3 pages to a block here."""
+    path = f"{work_folder(spark, 'detections')}/json"
+    parts = detect.listed_parts(found_pages(spark, sf_dir), "seq", size=3)
+    io.export_parts(described(spark, sf_dir, parts), path)
+    return _flat(spark.read.schema(f"{io.DETECTION}, seq int, part int").json(path))
+
+
+def consolidate_parts(spark, sf_dir):
+    """The consolidation of parts that were written and read again."""
+    path = f"{work_folder(spark, 'detections')}/json"
+    parts = detect.listed_parts(found_pages(spark, sf_dir), "seq", size=3)
+    io.export_parts(described(spark, sf_dir, parts), path)
+    return rounded(analysis.consolidate(*io.load_parts(spark, path)), "confidence")
+
+
 def load_detections(spark, sf_dir):
     path = f"{work_folder(spark, 'detections')}/json"
     io.export_detections(detections(spark, sf_dir), path)
@@ -100,7 +134,8 @@ def written(spark, paths: dict[str, str], frames: dict[str, tuple], file_format:
 
 
 def export_analysis(spark, sf_dir):
-    paths = plan.export_analysis(exported(spark, sf_dir), work_folder(spark, "analysis"))
+    found, pages = flat(spark, sf_dir)
+    paths = plan.export_analysis(found, work_folder(spark, "analysis"), pages=pages)
     return written(spark, paths, _FRAMES, "json")
 
 
@@ -118,7 +153,7 @@ def documents_by_table(spark, sf_dir):
 
 def analysis_totals(spark, sf_dir):
     return rounded(
-        analysis.analysis_totals(exported(spark, sf_dir)),
+        analysis.analysis_totals(flat(spark, sf_dir)[0]),
         "average_detections_per_document", "average_detections_per_table",
     )
 
@@ -134,7 +169,7 @@ def document_stats(spark, sf_dir):
 
 
 def document_table_pages(spark, sf_dir):
-    return analysis.document_table_pages(exported(spark, sf_dir))
+    return analysis.document_table_pages(*flat(spark, sf_dir))
 
 
 def confidence_bands(spark, sf_dir):
@@ -142,7 +177,7 @@ def confidence_bands(spark, sf_dir):
 
 
 def multiple_occurrences(spark, sf_dir):
-    return analysis.multiple_occurrences(exported(spark, sf_dir))
+    return analysis.multiple_occurrences(flat(spark, sf_dir)[0])
 
 
 def table_file_paths(spark, sf_dir):
@@ -159,6 +194,7 @@ QUERIES = {
         export_detections, load_detections, export_analysis, consolidate, tables_by_document,
         documents_by_table, analysis_totals, table_stats, document_stats, document_table_pages,
         confidence_bands, multiple_occurrences, table_file_paths, confidence_filter,
+        export_detection_parts, consolidate_parts,
     )
 }
 
@@ -243,4 +279,16 @@ SQL = {
               group by table_name, document_name having count(*) > 1)"""),
     "table_file_paths": _sql("select distinct table_name, file_path from con where file_path <> ''"),
     "confidence_filter": _sql(f"select {_EIGHT}, seq from det where confidence_score >= 0.75"),
+    "export_detection_parts": _sql("""
+        select d.table_name, d.document_name, d.file_path, d.found, p.pages_found, d.confidence_score, p.match_details, d.seq,
+               cast(case when p.block = min(p.block) over (partition by d.seq, d.table_name, d.document_name)
+                    then 0 else p.block end as integer) as part
+        from det d join (
+          select s.seq, table_name, cast(doc_id as varchar) as document_name, (page - 1) // 3 as block,
+                 string_agg(cast(page as varchar), ',' order by page) as pages_found,
+                 string_agg('Page ' || page || ': ' || details, '; ' order by page) as match_details
+          from fx_verdicts v join (values (0, 0.0), (1, 0.6)) s(seq, minimum) on v.found and v.score >= s.minimum
+          group by s.seq, table_name, doc_id, (page - 1) // 3) p
+          on d.seq = p.seq and d.table_name = p.table_name and d.document_name = p.document_name"""),
+    "consolidate_parts": _sql(_CON),
 }

@@ -26,6 +26,18 @@ def export_detections(detections: DataFrame, path: str) -> None:
     as_exported(detections).write.mode("overwrite").json(path)
 
 
+def export_parts(parts: DataFrame, path: str) -> None:
+    """Write the rows of ``listed_parts`` with file paths: objects of bounded size, told apart by ``part`` and ``seq``."""
+    as_exported(parts, "seq", "part").write.mode("overwrite").json(path)
+
+
+def load_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Read parts back: one row per detection without its pages, and the flat rows of all pages."""
+    rows = spark.read.schema(f"{DETECTION}, seq bigint, part int").json(path)
+    heads = rows.filter("part = 0").drop("pages_found", "match_details", "part")
+    return heads, rows.select("document_name", "table_name", F.explode("pages_found").alias("page"), "seq")
+
+
 def load_detections(
     spark: SparkSession, path: str, min_confidence: float | None = None, multi_line: bool = False
 ) -> DataFrame:

@@ -1,8 +1,10 @@
 import json
+import os
 
 import pytest
 
-from pagesieve.operators import analysis, inventory
+from pagesieve.operators import analysis, detect, inventory
+from pagesieve.plans import analysis_queries
 from pagesieve.plans.analysis import export_analysis
 from pagesieve.sources import detections as io
 
@@ -111,3 +113,32 @@ def test_run_comparison(spark):
     )
     nothing = inventory.run_comparison(runs.filter("not success")).first()
     assert nothing.fastest_implementation is None and nothing.successful_benchmarks == 0
+
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+LISTLESS = ["consolidate", "tables_by_document", "documents_by_table", "analysis_totals", "table_stats", "document_stats",
+            "document_table_pages", "confidence_bands", "multiple_occurrences", "table_file_paths"]
+
+
+@pytest.mark.parametrize("name", LISTLESS)
+def test_analysis_gathers_no_pages(spark, name):
+    plan = analysis_queries.QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_parts_are_bounded_and_give_the_same_analysis(spark, tmp_path):
+    hits = spark.createDataFrame(
+        [("T", "d", p, p / 20, f"p{p}") for p in range(3, 11)] + [("T", "e", 1, 0.5, "p1")],
+        "table_name string, doc_id string, page int, score double, details string",
+    )
+    parts = detect.listed_parts(hits.selectExpr("*", "0 as seq"), "seq", size=2).selectExpr("*", "'/x' as file_path")
+    rows = {(r.doc_id, r.part): r for r in parts.collect()}
+    assert sorted(rows) == [("d", 0), ("d", 2), ("d", 3), ("d", 4), ("e", 0)]
+    assert all(len(r.pages_found) <= 2 for r in rows.values())
+    assert rows["d", 2].pages_found == [5, 6] and rows["d", 2].match_details == "Page 5: p5; Page 6: p6"
+    io.export_parts(parts, str(tmp_path / "parts"))
+    heads, pages = io.load_parts(spark, str(tmp_path / "parts"))
+    whole = io.as_exported(detect.listed(hits).selectExpr("*", "'/x' as file_path", "0L as seq"), "seq")
+    for run in (analysis.consolidate, analysis.document_table_pages):
+        assert sorted(run(heads, pages).collect()) == sorted(run(whole).collect())
+    assert analysis.analysis_totals(heads).first() == analysis.analysis_totals(whole).first()
