@@ -99,26 +99,45 @@ def detect_tables(spark, sf_dir):
     return rounded(detect.detect_tables(fx.pages(spark, sf_dir), RULES))
 
 
+def _merged(spark, sf_dir) -> DataFrame:
+    return pages_combined(join_channels(fx.digital(spark, sf_dir), fx.ocr(spark, sf_dir)))
+
+
 def detect_tables_channels(spark, sf_dir):
     """Detection over two separate channel tables, merged by a join first."""
-    merged = pages_combined(join_channels(fx.digital(spark, sf_dir), fx.ocr(spark, sf_dir)))
-    return rounded(detect.detect_tables(merged, RULES))
+    return rounded(detect.detect_tables(_merged(spark, sf_dir), RULES))
+
+
+def _found_pages(pages: DataFrame) -> DataFrame:
+    return detect.detected_pages(pages, RULES).withColumn("score", F.round("score", 6))
 
 
 def detected_pages(spark, sf_dir):
-    found = detect.detected_pages(fx.pages(spark, sf_dir), RULES)
-    return found.withColumn("score", F.round("score", 6))
+    return _found_pages(fx.pages(spark, sf_dir))
+
+
+def detected_pages_channels(spark, sf_dir):
+    """The pages and details of ``detect_tables_channels``."""
+    return _found_pages(_merged(spark, sf_dir))
 
 
 def element_evidence(spark, sf_dir):
     return detect.element_evidence(fx.pages(spark, sf_dir), RULES, min_confidence=0.6)
 
 
-def detect_subset(spark, sf_dir):
+def _subset(spark, sf_dir) -> DataFrame:
     labelled = fx.table(spark, sf_dir, "labels").select("doc_id")
     wanted = fx.meta(spark, sf_dir).join(labelled, "doc_id", "left_semi")
-    pages = only_documents(fx.pages(spark, sf_dir), wanted)
-    return rounded(detect.detect_tables(pages, RULES))
+    return only_documents(fx.pages(spark, sf_dir), wanted)
+
+
+def detect_subset(spark, sf_dir):
+    return rounded(detect.detect_tables(_subset(spark, sf_dir), RULES))
+
+
+def detected_pages_subset(spark, sf_dir):
+    """The pages and details of ``detect_subset``."""
+    return _found_pages(_subset(spark, sf_dir))
 
 
 def normalize_path(spark, sf_dir):
@@ -161,6 +180,8 @@ QUERIES = {
     "detect_tables": detect_tables,
     "detected_pages": detected_pages,
     "detect_tables_channels": detect_tables_channels,
+    "detected_pages_channels": detected_pages_channels,
+    "detected_pages_subset": detected_pages_subset,
     "element_evidence": element_evidence,
     "detect_subset": detect_subset,
     "normalize_path": normalize_path,
@@ -171,6 +192,7 @@ QUERIES = {
 }
 
 _HEADER = "select table_name, doc_id, found, n_pages, confidence_score from det"
+_PAGES = "select table_name, doc_id, page, round(score, 6) as score, details from fx_verdicts where found"
 _ELEMENTS = "select doc_id, page, table_name, elem_idx, n_matches, found, error_rate, score from fx_elements"
 
 SQL = {
@@ -234,6 +256,8 @@ SQL = {
     "detected_pages": fx.sql(["fx_verdicts"], """
         select table_name, doc_id, page, round(score, 6) as score, details from fx_verdicts where found"""),
     "detect_tables_channels": detections_sql(_HEADER),
+    "detected_pages_channels": fx.sql(["fx_verdicts"], _PAGES),
+    "detected_pages_subset": fx.sql(["fx_verdicts"], f"{_PAGES} and doc_id in (select doc_id from labels)"),
     "element_evidence": fx.sql(["fx_verdicts"], """
         select e.doc_id, e.page, e.table_name, e.elem_idx, e.n_matches, e.found, e.error_rate, e.score
         from fx_elements e join fx_verdicts v

@@ -72,15 +72,31 @@ def ingest_batch(
     return ingest.ingest_summary(store.run_log())
 
 
+def _stored_pages(store: PageStore, doc_ids: DataFrame | None) -> DataFrame:
+    if doc_ids is None:
+        return store.pages()
+    return only_documents(store.pages(), store.metadata().join(doc_ids.select("doc_id"), "doc_id", "left_semi"))
+
+
 def search_store(
     store: PageStore,
     rules: Sequence[TableRule],
     min_confidence: float = 0.0,
     doc_ids: DataFrame | None = None,
 ) -> DataFrame:
-    """Detect tables in all stored documents, or in the given ones, with their file paths."""
-    pages = store.pages()
-    meta = store.metadata()
-    if doc_ids is not None:
-        pages = only_documents(pages, meta.join(doc_ids.select("doc_id"), "doc_id", "left_semi"))
-    return detect.with_file_paths(detect.detect_tables(pages, rules, min_confidence), meta)
+    """Detect tables in all stored documents, or in the given ones, with their file paths.
+
+    The pages of these detections are the rows of ``search_store_pages``.
+    """
+    pages = _stored_pages(store, doc_ids)
+    return detect.with_file_paths(detect.detect_tables(pages, rules, min_confidence), store.metadata())
+
+
+def search_store_pages(
+    store: PageStore,
+    rules: Sequence[TableRule],
+    min_confidence: float = 0.0,
+    doc_ids: DataFrame | None = None,
+) -> DataFrame:
+    """The pages of the detections in all stored documents, or in the given ones: one row per (document, table, page)."""
+    return detect.detected_pages(_stored_pages(store, doc_ids), rules, min_confidence)

@@ -9,6 +9,7 @@ from pagesieve.operators import ingest, page_view
 from pagesieve.plans import fixtures as fx
 from pagesieve.plans.ingest import ingest_batch as ingest_batch_run
 from pagesieve.plans.ingest import search_store as search_stored
+from pagesieve.plans.ingest import search_store_pages as search_stored_pages
 from pagesieve.session import work_folder
 from pagesieve.sources import definitions, manifest, store
 from pagesieve.streaming import ingest_stream
@@ -309,6 +310,12 @@ def search_store(spark, sf_dir):
     })
 
 
+def search_store_pages(spark, sf_dir):
+    """The pages and details of ``search_store``."""
+    found = search_stored_pages(_ingested(spark, sf_dir), fx.RULES)
+    return found.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "score": F.round("score", 6)})
+
+
 def pages_combined(spark, sf_dir):
     return page_view.pages_combined(
         page_view.join_channels(fx.digital(spark, sf_dir), fx.ocr(spark, sf_dir))
@@ -337,7 +344,7 @@ QUERIES = {
         load_table_defs, validate_table_defs, normalize_page_text, fold_image_text, merge_ocr_digital,
         merge_ocr_digital_rows, assemble_pages, assemble_pages_without_ocr, build_metadata,
         change_detection, resume_filter, resume_filter_by_name, append_log, ingest_summary, failed_files,
-        incremental_stream, store_reingest, ingest_batch, search_store, pages_combined, pages_combined_rows, pages_preferred, pages_preferred_digital,
+        incremental_stream, store_reingest, ingest_batch, search_store, search_store_pages, pages_combined, pages_combined_rows, pages_preferred, pages_preferred_digital,
     )
 }
 
@@ -476,6 +483,9 @@ SQL = {
                any_value(replace(m.file_path, '\\', '/')) as file_path
         from fx_verdicts v join fx_meta m on v.doc_id = m.doc_id
         where found and v.doc_id % 14 <> 7 group by v.table_name, v.doc_id"""),
+    "search_store_pages": fx.sql(["fx_verdicts"], """
+        select table_name, doc_id, page, round(score, 6) as score, details
+        from fx_verdicts where found and doc_id % 14 <> 7"""),
     "pages_combined": fx.sql(["fx_pages"], "select doc_id, page, text from fx_pages"),
     "pages_combined_rows": fx.sql(["fx_pages"], "select doc_id, page, text from fx_pages"),
     "pages_preferred": fx.sql(_CHANNELS, """

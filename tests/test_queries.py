@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables, and the shape of its plan."""
 
 import os
+from collections import Counter
 
 import pytest
 
@@ -67,3 +68,16 @@ def test_scan_gets_the_document_filter(spark):
     pages = fx.pages(spark, SF_DIR).filter("doc_id = 5")
     df = detect.element_results(pages, fx.RULES)
     assert "EqualTo(doc_id,5)" in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("counts, pages", [
+    ("detect_tables", "detected_pages"),
+    ("detect_tables_channels", "detected_pages_channels"),
+    ("detect_subset", "detected_pages_subset"),
+    ("search_store", "search_store_pages"),
+])
+def test_every_detection_gives_its_pages_and_details(spark, counts, pages):
+    rows = QUERIES[pages](spark, SF_DIR).collect()
+    assert all(r.details for r in rows) and len(rows) == len({(r.table_name, r.doc_id, r.page) for r in rows})
+    got = Counter((r.table_name, r.doc_id) for r in rows)
+    assert got and got == {(r.table_name, r.doc_id): r.n_pages for r in QUERIES[counts](spark, SF_DIR).collect()}
