@@ -7,15 +7,17 @@ keeps block spacing (paragraph-like blocks are set off by an empty line), writes
 numbers, and pads table cells to columns.
 
 Defined cases: a null page gives null, an empty one an empty text; unclosed tags, stray end tags and broken markup never fail;
-elements nested deeper than `DEPTH` become children of the last one within it, so their text is kept; a cell wider
+elements may be nested to any depth, as tree builder and renderer keep stacks of their own; beyond `INDENT` nested lists, quotes and
+cells indentation and padding grow no further, but bullets, rows and text stay; a cell wider
 than `PAD` characters widens no column. Other columns stay; an input column named as the added one is replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html import unescape
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +25,8 @@ from pyspark.sql import types as T
 
 from pagesieve.llm.tables import map_arrow
 
-DEPTH = 150
+#: So many nested lists, quotes and cells indent; without a bound the white space grows with the square of the depth.
+INDENT = 100
 PAD = 40
 #: A column is padded only within tables of at most so many columns; wider rows keep their separators.
 COLUMNS = 64
@@ -69,24 +72,46 @@ class Element:
         self.name, self.attributes, self.children = name, attributes, []
 
 
+class Stack:
+    """The open elements, and the places of each name among them, so that no search walks the stack."""
+
+    def __init__(self, root: Element) -> None:
+        self.items = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.name, []).append(len(self.items))
+        self.items.append(element)
+
+    def innermost(self, names: frozenset[str] | set[str]) -> int:
+        """The place of the innermost open element of these names, 0 where there is none."""
+        return max((found[-1] for name in names if (found := self.places.get(name))), default=0)
+
+    def cut(self, place: int) -> None:
+        """Close the element at this place and all within it."""
+        for element in self.items[place:]:
+            self.places[element.name].pop()
+        del self.items[place:]
+
+
 def build(html: str) -> Element:
     """The tree of a page."""
     root = Element("#root", {})
-    stack = [root]
+    stack = Stack(root)
     at, n = 0, len(html)
     while at < n:
         start = html.find("<", at)
         if start < 0:
             start = n
         if start > at:
-            stack[-1].children.append(unescape(html[at:start]))
+            stack.items[-1].children.append(unescape(html[at:start]))
         if start >= n:
             break
         at = _markup(html, start, stack)
     return root
 
 
-def _markup(html: str, start: int, stack: list[Element]) -> int:
+def _markup(html: str, start: int, stack: Stack) -> int:
     """Take in the markup that begins at `start`; where the rest begins."""
     if html.startswith("<!--", start):
         end = html.find("-->", start + 4)
@@ -100,7 +125,7 @@ def _markup(html: str, start: int, stack: list[Element]) -> int:
         if closing:
             end = html.find(">", start)
             return len(html) if end < 0 else end + 1
-        stack[-1].children.append("<")
+        stack.items[-1].children.append("<")
         return start + 1
     tag, at, attributes = name[0].lower(), name.end(), {}
     while (found := _ATTRIBUTE.match(html, at)) and found.end() > at:
@@ -118,12 +143,12 @@ def _markup(html: str, start: int, stack: list[Element]) -> int:
     if tag in RAW:
         stop = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(html, at)
         body = html[at : stop.start() if stop else len(html)]
-        stack[-1].children.append(unescape(body) if tag in ("textarea", "title") else body)
+        stack.items[-1].children.append(unescape(body) if tag in ("textarea", "title") else body)
         at = stop.start() if stop else len(html)
     return at
 
 
-def _open(stack: list[Element], tag: str, attributes: dict[str, str]) -> None:
+def _open(stack: Stack, tag: str, attributes: dict[str, str]) -> None:
     if tag in ENDS_P:
         _close_up_to(stack, {"p"}, WALLS)
     if tag in CLOSES:
@@ -131,25 +156,21 @@ def _open(stack: list[Element], tag: str, attributes: dict[str, str]) -> None:
         while _close_up_to(stack, names, walls):
             pass
     element = Element(tag, attributes)
-    if len(stack) > DEPTH:
-        del stack[DEPTH:]
-    stack[-1].children.append(element)
+    stack.items[-1].children.append(element)
     if tag not in VOID:
-        stack.append(element)
+        stack.push(element)
 
 
-def _close_up_to(stack: list[Element], names: set[str], walls: frozenset[str] | set[str]) -> bool:
+def _close_up_to(stack: Stack, names: set[str], walls: frozenset[str] | set[str]) -> bool:
     """Close the innermost element of these names, unless a wall is met first."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name in names:
-            del stack[k:]
-            return True
-        if stack[k].name in walls:
-            return False
-    return False
+    place = stack.innermost(names)
+    if not place or place < stack.innermost(walls):
+        return False
+    stack.cut(place)
+    return True
 
 
-def _close(stack: list[Element], tag: str) -> None:
+def _close(stack: Stack, tag: str) -> None:
     walls = frozenset({"table"}) if tag in WALLS or tag in ("tr", "tbody", "thead", "tfoot") else WALLS
     if tag == "table":
         walls = frozenset()
@@ -166,9 +187,10 @@ def hidden(element: Element) -> bool:
 
 
 class Page:
-    """Lines of text so far, the line in work, and whether an empty line is due."""
+    """Lines of text so far, the line in work, whether an empty line is due, and how many lists, quotes and cells are around."""
 
-    def __init__(self) -> None:
+    def __init__(self, around: int = 0) -> None:
+        self.around = around
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.gap = False
@@ -199,7 +221,26 @@ class Page:
         return self.lines
 
 
-def _walk(element: Element, page: Page) -> None:
+#: A step of the renderer: yields the steps it needs the results of, and returns its own.
+Step = Generator["Step", Any, Any]
+
+
+def _run(step: Step) -> Any:
+    """The result of a step, with the steps that wait for others on a stack of their own."""
+    waiting, result = [step], None
+    while waiting:
+        try:
+            step = waiting[-1].send(result)
+        except StopIteration as done:
+            waiting.pop()
+            result = done.value
+        else:
+            waiting.append(step)
+            result = None
+    return result
+
+
+def _walk(element: Element, page: Page) -> Step:
     children = element.children
     if element.name == "details" and "open" not in element.attributes:
         children = [child for child in children if isinstance(child, Element) and child.name == "summary"]
@@ -207,22 +248,23 @@ def _walk(element: Element, page: Page) -> None:
         if isinstance(child, str):
             page.text(child)
         elif not hidden(child):
-            _render(child, page)
+            yield _render(child, page)
 
 
-def _inner(element: Element) -> list[str]:
-    page = Page()
-    _walk(element, page)
+def _inner(element: Element, around: Page) -> Step:
+    """The lines of an element that is set apart within the page around it."""
+    page = Page(around.around + 1)
+    yield _walk(element, page)
     return page.done()
 
 
-def _render(element: Element, page: Page) -> None:
+def _render(element: Element, page: Page) -> Step:
     name = element.name
     if name == "br":
         page.end_line(forced=True)
         return
     if name not in BLOCK:
-        _walk(element, page)
+        yield _walk(element, page)
         return
     page.space() if name in SPACED else page.end_line()
     if name == "pre" or name == "textarea":
@@ -230,14 +272,14 @@ def _render(element: Element, page: Page) -> None:
         if any(lines):
             page.add([line.rstrip() for line in lines])
     elif name in ("ul", "ol", "menu", "dir"):
-        _list(element, page)
+        yield _list(element, page)
     elif name == "table":
-        _table(element, page)
+        yield _table(element, page)
     elif name in ("blockquote", "dd"):
-        if lines := _inner(element):
-            page.add([f"  {line}" if line else "" for line in lines])
+        if lines := (yield _inner(element, page)):
+            page.add(lines if page.around >= INDENT else [f"  {line}" if line else "" for line in lines])
     else:
-        _walk(element, page)
+        yield _walk(element, page)
     page.space() if name in SPACED else page.end_line()
 
 
@@ -255,7 +297,7 @@ def _plain(element: Element) -> str:
     return "".join(out).replace("\r\n", "\n")
 
 
-def _list(element: Element, page: Page) -> None:
+def _list(element: Element, page: Page) -> Step:
     number = element.attributes.get("start", "1")
     number = int(number) if re.fullmatch(r"-?\d{1,9}", number) else 1
     for child in element.children:
@@ -264,28 +306,28 @@ def _list(element: Element, page: Page) -> None:
         elif hidden(child):
             continue
         elif child.name != "li":
-            _render(child, page)
+            yield _render(child, page)
         else:
             page.end_line()
             bullet = f"{number}. " if element.name == "ol" else "- "
             number += 1
-            if lines := _inner(child):
-                rest = " " * len(bullet)
+            if lines := (yield _inner(child, page)):
+                rest = " " * len(bullet) if page.around < INDENT else ""
                 page.add([bullet + lines[0], *(rest + line if line else "" for line in lines[1:])])
 
 
-def _table(table: Element, page: Page) -> None:
+def _table(table: Element, page: Page) -> Step:
     rows: list[list[list[str]]] = []
-    stray = Page()  # what stands in a table outside its cells is shown before it
+    stray = Page(page.around)  # what stands in a table outside its cells is shown before it
 
-    def visit(element: Element) -> None:
+    def visit(element: Element) -> Step:
         for child in element.children:
             if isinstance(child, str):
                 stray.text(child)
             elif hidden(child):
                 continue
             elif child.name in ("thead", "tbody", "tfoot", "colgroup"):
-                visit(child)
+                yield visit(child)
             elif child.name == "tr":
                 cells: list[list[str]] = []
                 for cell in child.children:
@@ -294,17 +336,22 @@ def _table(table: Element, page: Page) -> None:
                     elif not hidden(cell) and cell.name in ("td", "th"):
                         span = cell.attributes.get("colspan", "1")
                         span = min(int(span), COLUMNS) if re.fullmatch(r"[1-9]\d{0,5}", span) else 1
-                        cells += [_inner(cell), *[[]] * (span - 1)]
+                        cells += [(yield _inner(cell, page)), *[[]] * (span - 1)]
                     elif not hidden(cell):
-                        _render(cell, stray)
+                        yield _render(cell, stray)
                 if any(cells):
                     rows.append(cells)
             else:
-                _render(child, stray)
+                yield _render(child, stray)
 
-    visit(table)
+    yield visit(table)
     if before := stray.done():
         page.add(before)
+    if page.around >= INDENT:
+        for cells in rows:
+            for height in range(max(map(len, cells))):
+                page.add([" | ".join(cell[height] for cell in cells if height < len(cell) and cell[height])])
+        return
     widths = [0] * min(COLUMNS, max(map(len, rows), default=0))
     for cells in rows:
         for k, cell in enumerate(cells[: len(widths)]):
@@ -321,7 +368,7 @@ def extract(html: str | None) -> str | None:
     if html is None:
         return None
     page = Page()
-    _walk(build(html), page)
+    _run(_walk(build(html), page))
     return "\n".join(page.done()).strip("\n")
 
 

@@ -192,3 +192,33 @@ def test_long_slices_merge_like_short_ones():
         data = np.frombuffer(piece, dtype=np.uint8)
         _, ids = MERGER.merge_all(data, np.array([0]), np.array([len(piece)]))
         assert tuple(ids.tolist()) == MERGER.merge_long(piece)
+
+
+DEEP = [
+    "<div hidden><p>no</p><ul><li>no</li></ul></div>yes",
+    "<div style='display:none'><b><i>no</i></b></div><template><p>no</p></template>yes",
+    "<details><summary>S</summary><div><p>gone</p></div></details>yes",
+    "<ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul>x",
+    "<table><tr><th>Name<th>Value<tr><td>alpha<td>1</table>x",
+    "<blockquote><p>one</p></blockquote><dl><dt>t<dd>d</dl>",
+]
+
+
+@pytest.mark.parametrize("wrapper", ["<span>", "<font>", "<div>"])
+@pytest.mark.parametrize("depth", [149, 150, 400, 5000])
+@pytest.mark.parametrize("page", DEEP)
+def test_depth_changes_nothing(page, depth, wrapper):
+    wrapped = wrapper * depth + page
+    assert html_text.extract(wrapped) == html_text.extract(page)
+    assert html_text.extract(wrapped + wrapper.replace("<", "</") * depth + "<p>after") == html_text.extract(page + "<p>after")
+
+
+def test_end_tags_far_below_close_their_own_element():
+    page = "<div hidden>" + "<span>" * 300 + "<div>no</div>" + "</span>" * 300 + "no</div>yes"
+    assert html_text.extract(page) == "yes"
+
+
+def test_deeply_nested_lists_quotes_and_cells_keep_text_in_bounded_space():
+    for piece in ("<ul><li>a", "<blockquote>a", "<table><tr><td>b<td>a<br>"):
+        text = html_text.extract(piece * 1000 + "x")
+        assert text.count("a") == 1000 and "x" in text and len(text) < 3_000_000
