@@ -8,7 +8,7 @@ hex     [0-9a-f]+, 24 characters or more
 The method adds kind `random`: runs of 16 characters or more of [A-Za-z0-9+/_=-] that overlap no pattern's span and
 whose log-likelihood under a Markov model of random strings exceeds that under one of ordinary identifiers by
 `THRESHOLD` per character. Both models are first-order over characters, trained on labelled samples: what the
-patterns matched in a hash sample of documents (values, keys, hex runs) against the other tokens of these documents.
+patterns matched in all documents (values, keys, hex runs) against the other tokens of a hash sample of documents.
 
 Everything here is SQL functions. Positions are found without a match-position function: matches are wrapped in marks that
 the text cannot hold, the text is split at the marks, and lengths add up to positions. Only texts with a match go that way.
@@ -31,6 +31,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run is taken whole, so asking for its length is dropping shorter ones
 HEX = r"[0-9a-f]{24,}"
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
+PLAIN = r"[A-Za-z0-9+/_=-]{4,}"
 KINDS = ("assign", "access", "hex", "random")
 
 #: The mark around a match, and what stands for it where a text already has it.
@@ -39,7 +40,8 @@ _MARK, _MARK_AS = "\ue000", "\ue001"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Log-likelihood ratio in nats for each character above which a run is reported.
 THRESHOLD = 0.3
-#: About so many documents train the models; they are chosen by a hash of the id.
+#: About so many documents with ordinary tokens train their model; they are chosen by a hash of the id. What the
+#: patterns match trains from all documents, however rare it is.
 SAMPLE = 20_000
 
 
@@ -85,17 +87,20 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
 
     Rows and columns are the characters of the alphabet and, last, the edge of a token.
     """
+    text = F.coalesce("text", F.lit(""))
+    rest = F.regexp_replace(text, f"{ASSIGN}|{ACCESS}|{HEX}", " ")
     total = docs.count()
+    if total > sample:
+        total = docs.filter(rest.rlike(PLAIN)).count()
     place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 11) / float(1 << 53)
-    chosen = _with_base(docs.filter(place < (min(1.0, sample / total) if total else 1.0)))
-    text = F.coalesce("text", F.lit(""))
+    chosen = place < (min(1.0, sample / total) if total else 1.0)
     hits = F.concat(
         F.transform("assign", lambda m: _value(m["value"])),
         F.transform("access", lambda m: m["value"]),
         F.transform("hex", lambda m: m["value"]),
     )
-    plain = F.regexp_extract_all(F.regexp_replace(text, f"{ASSIGN}|{ACCESS}|{HEX}", " "), F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))
-    tokens = chosen.select(
+    plain = F.when(chosen, F.regexp_extract_all(rest, F.lit(PLAIN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    tokens = _with_base(docs).select(
         F.explode(
             F.concat(
                 F.transform(F.filter(hits, lambda t: F.length(t) >= 12), lambda t: F.struct(F.lit(1).alias("label"), t.alias("token"))),
