@@ -15,7 +15,10 @@ from pagesieve.llm.shingles import mix, word_spans
 
 WORDS, GRAMS = 1 << 13, 1 << 12
 DIM, HIDDEN = 16, 8
-WINDOW, STRIDE = 32, 24
+#: Windows start at every eighth word, so any 25 words in a row lie whole in one of them.
+WINDOW, STRIDE = 32, 8
+#: So many windows of a text are laid out at a time.
+LAID_OUT = 1 << 17
 
 _FLOAT = np.float32
 
@@ -53,7 +56,7 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, first word and length of all overlapping windows that cover each text."""
+    """Owner, first word and length of the windows of each text, one at every `STRIDE` words up to its end."""
     many = np.where(counts > 0, np.maximum(0, -(-(counts - WINDOW) // STRIDE)) + 1, 0)
     owner = np.repeat(np.arange(len(counts)), many)
     turn = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
@@ -61,6 +64,11 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, first, np.minimum(WINDOW, counts[owner] - turn * STRIDE)
 
 
+def _laid_out(words: Words, first: np.ndarray) -> np.ndarray:
+    """The kinds of the words of each window; past the end of the last text, its last word."""
+    return words.kind[np.minimum(first[:, None] + np.arange(WINDOW), len(words.kind) - 1)]
+
+
 @dataclass
 class Network:
     """The weights; `names` in the order in which they are trained."""
@@ -151,7 +159,7 @@ class Network:
         """
         draw = np.random.default_rng(seed)
         owner, first, sizes = windows(words.counts)
-        places = words.kind[np.minimum(first[:, None] + np.arange(WINDOW), len(words.kind) - 1)]
+        places = _laid_out(words, first).astype(np.int32)
         target = labels[owner].astype(_FLOAT)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.weights.items()}
         step = 0
@@ -211,7 +219,7 @@ class Network:
         """The greatest logit of all windows of each text; -inf without a word."""
         owner, first, sizes = windows(words.counts)
         best = np.full(len(words.counts), -np.inf)
-        if len(owner):
-            places = words.kind[np.minimum(first[:, None] + np.arange(WINDOW), len(words.kind) - 1)]
-            np.maximum.at(best, owner, self.score_windows(words, places, sizes))
+        for i in range(0, len(owner), LAID_OUT):
+            some = slice(i, i + LAID_OUT)
+            np.maximum.at(best, owner[some], self.score_windows(words, _laid_out(words, first[some]), sizes[some]))
         return best

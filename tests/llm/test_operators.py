@@ -457,3 +457,14 @@ def test_rare_secrets_train_whatever_the_sample(spark):
     # The ordinary side is sampled from the documents that have any, however many are empty.
     blank = spark.range(1000, 3000).selectExpr("id as doc_id", "'' as text")
     assert len(set(secret_scan.train(docs.unionByName(blank), sample=300))) > 1
+
+
+def test_toxicity_trains_on_long_texts(spark):
+    calm = " ".join(["the quiet garden grows"] * 1500)
+    rows = [(i, calm if i % 2 else f"{calm} you vile hateful stupid creature {calm}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(1 - doc_id % 2 as int) as toxic")
+    assert min(len(t) for _, t in rows) > toxicity.LONGEST
+    assert toxicity.fit(docs, labels) is not None
+    cut = toxicity._shortened(docs.join(labels, "doc_id"), sample=3).collect()
+    assert all(0 < len(r.text) <= toxicity.LONGEST + toxicity.STRETCHES for r in cut)

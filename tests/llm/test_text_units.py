@@ -222,3 +222,13 @@ def test_deeply_nested_lists_quotes_and_cells_keep_text_in_bounded_space():
     for piece in ("<ul><li>a", "<blockquote>a", "<table><tr><td>b<td>a<br>"):
         text = html_text.extract(piece * 1000 + "x")
         assert text.count("a") == 1000 and "x" in text and len(text) < 3_000_000
+
+
+def test_a_passage_lies_whole_in_a_window_wherever_it_stands():
+    counts = np.array([10, 300, 321])
+    owner, first, sizes = gru.windows(counts)
+    starts = np.cumsum(counts) - counts
+    for i, n in enumerate(counts):
+        begin, end = first[owner == i] - starts[i], first[owner == i] - starts[i] + sizes[owner == i]
+        for at in range(max(1, n - 24)):
+            assert ((begin <= at) & (end >= min(n, at + 25))).any()
