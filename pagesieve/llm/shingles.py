@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text that are hashed in one go; bounds the size of the temporary arrays.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 19
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -75,8 +75,13 @@ def text_chunks(
         row = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z lower-cased, their starts and ends, and the number of words of each text."""
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, byte: np.ndarray = _BYTE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, their starts and ends, and the number of words of each text.
+
+    `byte` has a random number for each byte; by default the same one for a letter of A-Z and its lower case.
+    """
     n = len(data)
     edge = np.ones(n + 1, dtype=bool)
     edge[1:] = _SPACE[data] if n else edge[1:]  # edge[i]: the byte before i is no part of a word
@@ -91,7 +96,35 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after[ends_of_text[ends_of_text >= 0]] = True
     ends = np.flatnonzero(inner & after) + 1
     counts = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
-    return slice_hashes(_BYTE[data], starts, ends), starts, ends, counts
+    return word_hashes(data, starts, ends, byte), starts, ends, counts
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Hashes of ascending slices of `data`, taken in runs of about `CHUNK_BYTES`, however long the text or a word is."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        last = int(np.searchsorted(ends, starts[at] + CHUNK_BYTES, side="right"))
+        if last > at:
+            first = starts[at]
+            values = byte[data[first : ends[last - 1]]]
+            out[at:last] = slice_hashes(values, starts[at:last] - first, ends[at:last] - first)
+        else:
+            last = at + 1
+            out[at] = _long_hash(data[starts[at] : ends[at]], byte)
+        at = last
+    return out
+
+
+def _long_hash(word: np.ndarray, byte: np.ndarray) -> np.uint64:
+    """The hash of one slice longer than a run, piece by piece; equal to that of `slice_hashes`."""
+    up, _ = _Powers.upto(CHUNK_BYTES)
+    total, shift, step = np.zeros(1, dtype=np.uint64), 1, pow(_BASE, CHUNK_BYTES, 1 << 64)
+    for at in range(0, len(word), CHUNK_BYTES):
+        piece = byte[word[at : at + CHUNK_BYTES]]
+        total += (piece * up[: len(piece)]).sum(dtype=np.uint64, keepdims=True) * np.uint64(shift)
+        shift = shift * step & _MASK
+    return mix(total + np.uint64(len(word)))[0]
 
 
 def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
