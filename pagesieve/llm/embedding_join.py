@@ -11,7 +11,7 @@ The axes come from a sample of about `SAMPLE` vectors; any rotation keeps distan
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and rows with a
 null vec_id as well; vectors of different lengths are not compared; identical vectors are compared once and count each,
-also when they repeat a vec_id; an empty table gives an empty result. Columns other than vec_id and embedding are
+also when they repeat a vec_id; different vectors with one vec_id are vectors each, with links and a component of their own; an empty table gives an empty result. Columns other than vec_id and embedding are
 not looked at.
 """
 
@@ -52,30 +52,35 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = cut(
         keyed.filter("fine")
         .groupBy("one", "two")
-        .agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
+        .agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
         .withColumn("size", F.size("embedding"))
+        # Different vectors may have one least vec_id; the rows are written, so their numbers stay.
+        .withColumn("id", F.monotonically_increasing_id())
     )
     found = None
     # Vectors of one table mostly have one length; each length is a join of its own.
     for row in classes.select("size").distinct().collect():
-        part = _linked(classes.filter(F.col("size") == row["size"]).drop("size"), row["size"], cosine)
+        part = _linked(classes.filter(F.col("size") == row["size"]).drop("size", "least"), row["size"], cosine)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = classes.select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("root")).limit(0)
     found = cut(found)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = (
+    placed = cut(
         classes.drop("embedding", "size")
         .join(links, "id", "left")
         .join(labels, "id", "left")
         .select(
             "one",
             "two",
+            "least",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-            F.coalesce("component", "id").alias("component_id"),
+            F.coalesce("component", "id").alias("component"),
         )
     )
+    names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = placed.join(cut(names), "component").select("one", "two", "n_links", "component_id")
     own = narrow.filter("fine").join(cut(known), ["one", "two"]).select("vec_id", "n_links", "component_id")
     alone = narrow.filter("not fine").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")

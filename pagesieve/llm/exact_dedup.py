@@ -64,5 +64,36 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, all columns as they are; all rows with a doc_id that goes, go."""
-    return bloom.without(docs, "doc_id", exact_dedup(docs).filter(~F.col("kept")).select("doc_id"))
+    """One row of each group of equal texts, all columns as they are: the one with most code points, then the smallest doc_id.
+
+    Ids may repeat and may be null: rows are told apart by their text. Rows whose id is in no group of two or more pass where they are,
+    by a filter of the ids in such groups; of the others the texts are hashed again and joined with what stays. Only rows that agree in
+    text, length and id with the one that stays are grouped themselves, to keep one of them.
+    """
+    rows = fingerprints(docs)
+    words = bloom.words_for(rows.count())
+    key = F.col("text_sha256")
+    again = bloom.probe(rows, key, bloom.build(rows, key, words, least=2), "maybe", words).filter("maybe").drop("maybe")
+    again = cut(again)
+    order = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("last"), "doc_id")
+    groups = again.groupBy("text_sha256").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size"))
+    groups = cut(groups.filter("size > 1").select("text_sha256", "best"))
+    involved = cut(again.join(groups, "text_sha256").select("text_sha256", "best", order.alias("own"), "doc_id"))
+    copies = involved.filter("own = best").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("copies"))
+    groups = cut(groups.join(copies, "text_sha256"))
+    # A null id counts as involved as soon as any is.
+    ids = involved.select(F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("id")).distinct()
+    ids = cut(ids)
+    words = bloom.words_for(ids.count())
+    maybe, row = "maybe", F.struct(*docs.columns).alias("row")
+    packed = docs.select(row, "doc_id", F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("id"), "text")
+    marked = bloom.probe(packed, F.col("id"), cut(bloom.build(ids, F.col("id"), words)), maybe, words)
+    stay = marked.filter(~F.col(maybe)).select("row.*")
+    asked = marked.filter(maybe).select(
+        "row", "doc_id", text_hash(F.col("text")).alias("text_sha256"), F.coalesce(F.length("text"), F.lit(0)).alias("n")
+    )
+    judged = asked.join(groups, "text_sha256", "left").withColumn("own", order)
+    judged = judged.filter(F.col("best").isNull() | (F.col("own") == F.col("best")))
+    single = judged.filter("copies is null or copies = 1").select("row.*")
+    same = judged.filter("copies > 1").groupBy("text_sha256").agg(F.first("row").alias("row")).select("row.*")
+    return stay.unionByName(single).unionByName(same)

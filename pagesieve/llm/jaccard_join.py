@@ -18,8 +18,8 @@ Shingles are told apart by 64-bit hashes, links are verified on the whole sets o
 
 Defined cases: a null or empty text and one without words has no shingles and is linked with nothing; a text
 of fewer words than a shingle has its whole sequence as one; rows with a null doc_id are linked
-with nothing and have a null component; rows that repeat a doc_id are one document with the links of all of them; an
-empty table gives an empty result. Only doc_id and text are looked at.
+with nothing and have a null component; rows that repeat a doc_id are one document with the links of all of them, also where
+their texts differ; an empty table gives an empty result. Only doc_id and text are looked at.
 """
 
 from __future__ import annotations
@@ -94,8 +94,51 @@ def _sizes_fit(n1: Column, n2: Column, percent: int) -> Column:
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     docs = docs.select("doc_id", "text")
+    narrow = _digested(docs, width)
+    if not _repeats(narrow):
+        return _groups(docs, narrow, width, percent)
+    # Ids with several texts: the texts are grouped under names of their own, and those that share an id are linked.
+    keyed = docs.filter("doc_id is not null").select("doc_id", _text_name().alias("key"), "text")
+    found = _named_groups(keyed, width, percent).select("key", "n_shingles", "component")
+    rows = cut(keyed.select("doc_id", "key").join(cut(found.distinct()), "key"))
+    members = rows.filter("n_shingles > 0").select("doc_id", "component").distinct()
+    least = members.groupBy("component").agg(F.min("doc_id").alias("least"))
+    tops = components(members.join(cut(least), "component").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    own = rows.join(tops.select(F.col("id").alias("doc_id"), F.col("component").alias("top")), "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("top", "doc_id").alias("component_id")
+    )
+    nameless = narrow.filter("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return own.unionByName(nameless)
+
+
+def _digested(docs: DataFrame, width: int) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return cut(_sets(docs, width, f"doc_id {kind}, n long, one long, two long", "digest"))
+
+
+def _repeats(narrow: DataFrame) -> bool:
+    """Whether an id comes with two different sets."""
+    sets = narrow.filter("doc_id is not null").groupBy("doc_id").agg(
+        F.min(F.struct("one", "two", "n")).alias("a"), F.max(F.struct("one", "two", "n")).alias("b")
+    )
+    return not sets.filter("a != b").isEmpty()
+
+
+def _text_name() -> Column:
+    """A name for an id with a text: rows with both equal share it."""
+    text = F.coalesce("text", F.lit(""))
+    return F.concat_ws("#", F.col("doc_id").cast("string"), F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(1), text)))
+
+
+def _named_groups(keyed: DataFrame, width: int, percent: int) -> DataFrame:
+    """key, n_shingles and component (the least key reachable) of all rows of `keyed` (key, text)."""
+    docs = keyed.select(F.col("key").alias("doc_id"), "text")
+    return _groups(docs, _digested(docs, width), width, percent).toDF("key", "n_shingles", "component")
+
+
+def _groups(docs: DataFrame, narrow: DataFrame, width: int, percent: int) -> DataFrame:
+    """`groups` of rows whose ids have one text each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    narrow = cut(_sets(docs, width, f"doc_id {kind}, n long, one long, two long", "digest"))
     known = narrow.filter("doc_id is not null and n > 0")
     classes = cut(known.groupBy("one", "two", "n").agg(F.min("doc_id").alias("sid")))
     whole = _candidates(docs, classes, width, percent, kind)
@@ -263,6 +306,20 @@ def _across(prefixes: DataFrame, near: DataFrame, whole: DataFrame, percent: int
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` but those that another document of their group, the one with the least id, stands for."""
-    found = groups(docs, width, percent)
-    return bloom.without(docs, "doc_id", found.filter("doc_id != component_id").select("doc_id"))
+    """The rows of `docs` but those that another document of their group, the one with the least id, stands for.
+
+    Here a document is an id with its text: where ids repeat with different texts or are null, rows are told apart by both, and no text is
+    lost with another one. Rows that agree in both stay or go together.
+    """
+    narrow = _digested(docs, width)
+    if narrow.filter("doc_id is null and n > 0").isEmpty() and not _repeats(narrow):
+        found = _groups(docs.select("doc_id", "text"), narrow, width, percent)
+        return bloom.without(docs, "doc_id", found.filter("doc_id != component_id").select("doc_id"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", _text_name().alias("key"), "text")
+    found = _named_groups(packed.select("key", "text"), width, percent).filter("n_shingles > 0")
+    ids = packed.select("key", "doc_id").distinct()
+    found = cut(found.select("key", "component").distinct().join(ids, "key"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    first = found.groupBy("component").agg(F.min(order).alias("first"))
+    gone = found.join(cut(first), "component").filter(F.col("key") != F.col("first.key")).select("key")
+    return bloom.without(packed, "key", gone).select("row.*")

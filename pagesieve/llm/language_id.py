@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from pagesieve.llm import pretokens
 from pagesieve.llm.shingles import text_chunks
@@ -128,11 +129,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of rows with columns doc_id, text and lang, from about `sample` rows of each language."""
     known = labelled.filter(F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(9)), 11) / float(1 << 53)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(9)), 11) / float(1 << 53)
     wanted = F.lit(False)
     for name, n in sorted(sizes.items()):
         wanted = wanted | ((F.col("lang") == name) & (place < min(1.0, sample / n)))
-    chosen = known.filter(wanted).select("doc_id", "text", "lang")
+    chosen = known.filter(wanted).select("doc_id", "text", "lang", place.alias("place"))
+    # Rows that repeat one another are drawn together, so the number is bounded once more.
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    chosen = chosen.withColumn("turn", turn).filter(F.col("turn") <= 2 * sample).select("doc_id", "text", "lang")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,3 +186,15 @@ def predict(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
             )
 
     return map_arrow(docs, lambda batches: chain.from_iterable(map(work, batches)), T.StructType(held + added))
+
+
+def keep_known(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
+    """The rows of `docs` that are not rejected, all columns as they are, whatever their names."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, counts in ngram_counts(batch.column(column)):
+                _, _, rejected = judge(counts, model)
+                yield batch.slice(row, len(counts)).filter(pa.array(~rejected))
+
+    return map_arrow(docs, work, docs.schema)

@@ -165,10 +165,17 @@ def _rounded_up() -> Column:
     return F.coalesce(before, F.lit(False))
 
 
+ADDED = ["size", "source_size", "target", "taken", "rate", "copies"]
+
+
 def apply(docs: DataFrame, sources: DataFrame, most: int = 2, seed: int = 20) -> DataFrame:
     """The rows of `docs` with size, source_size, target, taken, rate and copies in place of columns of these names."""
-    added = ["size", "source_size", "target", "taken", "rate", "copies"]
-    held = [c for c in docs.columns if c.lower() not in added]
+    held = [c for c in docs.columns if c.lower() not in ADDED]
+    return _applied(docs, held, sources, most, seed).select("row.*", *ADDED)
+
+
+def _applied(docs: DataFrame, held: list[str], sources: DataFrame, most: int, seed: int) -> DataFrame:
+    """The columns `held` of `docs` as one struct `row`, and the added columns beside it."""
     packed = docs.select(
         F.struct(*held).alias("row"), "doc_id", source_key().alias("key"), word_count(F.col("text")).alias("size")
     )
@@ -176,7 +183,7 @@ def apply(docs: DataFrame, sources: DataFrame, most: int = 2, seed: int = 20) ->
     decided = _decisions(packed, sources.drop("source"), most, seed)
     decided = decided.withColumn("copies", (F.col("whole") + once_more.cast("long")).cast("int"))
     taken = (F.col("copies") * F.col("size")).cast("long")
-    return decided.withColumn("taken", taken).select("row.*", *added)
+    return decided.withColumn("taken", taken).select("row", *ADDED)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -186,10 +193,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 
 def take(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """The mix itself: the rows of `docs`, each as often as it is taken."""
-    mixed = apply(docs, plan(docs, weights, share, most), most)
+    """The mix itself: the rows of `docs` as they are, each as often as it is taken."""
+    mixed = _applied(docs, docs.columns, plan(docs, weights, share, most), most, seed=20)
     times = F.explode(F.sequence(F.lit(1), "copies")).alias("turn")
-    return mixed.filter("copies > 0").select("*", times).select(*docs.columns)
+    return mixed.filter("copies > 0").select("row", times).select("row.*")
 
 
 def _stops(rated: DataFrame) -> DataFrame:

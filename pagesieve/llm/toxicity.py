@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from pagesieve.llm.gru import Network, read_words, sigmoid
 from pagesieve.llm.shingles import text_chunks
@@ -40,8 +41,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
     wanted = F.lit(False)
     for label, n in sorted(sizes.items()):
         wanted = wanted | ((F.col("toxic") == label) & (place < min(1.0, sample / n)))
-    # About twice the sample of rows of two numbers, whatever the size of the table.
-    chosen = docs.join(F.broadcast(known.filter(wanted)), F.col("doc_id") == F.col("__id"))
+    # Rows that repeat an id are drawn together, so the number is bounded once more: rows of two numbers, at most twice the sample a label.
+    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(place, "__id"))
+    drawn = known.filter(wanted).withColumn("turn", turn).filter(F.col("turn") <= 2 * sample).drop("turn")
+    chosen = docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id"))
+    again = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", "text")))
+    chosen = chosen.withColumn("turn", again).filter(F.col("turn") <= 4 * sample).drop("turn")
     rows = _shortened(chosen.filter("text is not null"), sample).select("doc_id", "toxic", "text").collect()
     rows = sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows)
     target = np.array([r[1] for r in rows], dtype=np.int64)
