@@ -1,7 +1,11 @@
 """From raw documents to training tokens: language, copies, near copies, mixture, encoding.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; it is written as Parquet and read again as the docs
-of the next one. All stages but the last give the columns of `documents`.
+of the next one. All stages but the last give the columns of `documents`, extra ones included, with the values they came with.
+
+Defined cases, in any stage: rows are told apart by their id and text, so ids may repeat or be null. A null text is empty; texts without a
+letter go in the first stage. Rows with a null language train nothing and are judged by their text; a null source is a source of its own.
+Of equal texts, and of groups of similar ones, one row stays. An empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pagesieve.session import work_folder
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a learned language; those that the identification rejects go."""
     model = language_id.fit(docs.filter(fold(F.col("doc_id"), 4) != 2))
-    return language_id.predict(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    return language_id.keep_known(docs, model)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
