@@ -97,7 +97,9 @@ def _octave(
             continue
         ahead = _reach(words, b, q, low[t] + counts[t], 1, 2 * step)
         back = _reach(words, b - 1, q, low[t], -1, 2 * step)
-        sure = ahead >= q
+        # What lies whole within the tile and is too short is part of no run.
+        cut_off = (ahead == 2 * step) | (back == 2 * step)
+        sure = (ahead >= q) & (cut_off | (q + ahead + back >= np.maximum(SHORTEST, REPEATS * q)))
         b, q, t, ahead, back = (x[sure] for x in (b, q, t, ahead, back))
         yield t, q, b - back - low[t], b + q + ahead - low[t]
 
