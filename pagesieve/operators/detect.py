@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pagesieve.definitions import TableRule
 from pagesieve.functions.blocks import PAGE_BLOCK, document_blocks, page_block
 from pagesieve.functions.frames import one_row, with_once
-from pagesieve.functions.numbers import compensated_sum, exact_sum, fixed, mean
+from pagesieve.functions.numbers import compensated_sum, fixed, mean
 from pagesieve.functions.text import (
     count_literal,
     has_special_letters,
@@ -67,19 +67,19 @@ def _literal_rules(rules: Sequence[TableRule]) -> Column:
     return F.array(*[table(r) for r in rules])
 
 
-def _plain_count(phrase: Column, match_case: Column) -> Column:
+def plain_count(phrase: Column, match_case: Column) -> Column:
     return F.when(match_case, count_literal(F.col("text"), phrase)).otherwise(
         count_literal(F.col("_lowered"), F.lower(phrase))
     )
 
 
-def _special_count(phrase: Column, match_case: Column, pattern: Column) -> Column:
+def special_count(phrase: Column, match_case: Column, pattern: Column) -> Column:
     return F.when(match_case, count_literal(F.col("text"), phrase)).otherwise(
         F.regexp_count(F.col("text"), pattern)
     )
 
 
-def _special_error(phrase: Column, match_case: Column, pattern: Column) -> Column:
+def special_error(phrase: Column, match_case: Column, pattern: Column) -> Column:
     """Share of missing letters in the first match; only special letters can make it differ from 0."""
     first = F.call_function("regexp_extract", F.col("text"), pattern, F.lit(0))
     lost = 1 - F.length(F.lower(first)) / F.length(F.lower(phrase))
@@ -100,9 +100,9 @@ def with_phrase_counts(
         for t, c in phrases
     ])
     if _is_compiled(rules, compiled):
-        plain = F.array(*[_plain_count(F.lit(t), F.lit(c)) for t, c in phrases])
+        plain = F.array(*[plain_count(F.lit(t), F.lit(c)) for t, c in phrases])
     else:
-        plain = F.transform(listed, lambda e: _plain_count(e["t"], e["c"]))
+        plain = F.transform(listed, lambda e: plain_count(e["t"], e["c"]))
     special = F.lit(True) if any(is_special_phrase(t) for t, c in phrases if not c) else (
         has_special_letters(F.col("text"))
     )
@@ -112,8 +112,8 @@ def with_phrase_counts(
 
     prepared = pages.withColumns({"_lowered": F.lower("text"), "_special": special})
     counted = with_once(prepared, {
-        "_counts": F.coalesce(walk(_special_count), plain),
-        "_errors": walk(_special_error),
+        "_counts": F.coalesce(walk(special_count), plain),
+        "_errors": walk(special_error),
     })
     return counted.drop("_lowered", "_special")
 
@@ -140,7 +140,7 @@ def _measures(e: Column | Mapping[str, Column]) -> tuple[Column, Column, Column,
     return n, rate, found, F.when(n == 0, 0.0).otherwise((1 - rate) * e["weight"])
 
 
-def _decide(
+def decide(
     r: Column | Mapping[str, Column], count: Column, total: Column, weight: Column
 ) -> tuple[Column, Column]:
     """Found flag and score of a table from its found elements and their weighted sum."""
@@ -183,7 +183,7 @@ def _may_qualify(rules: Sequence[TableRule], min_confidence: float) -> Column:
         }
         count = reduce(add, [found.cast("int") for _, _, found, _ in measures])
         weight = reduce(add, [score for _, _, _, score in measures], F.lit(0.0))
-        found, score = _decide(limits, count, F.lit(len(r.phrases)), weight)
+        found, score = decide(limits, count, F.lit(len(r.phrases)), weight)
         met.append(found & (score >= min_confidence - slack))
     return reduce(or_, met)
 
@@ -217,7 +217,7 @@ def table_verdict(r: Column) -> Column:
     elements = r["elements"]
     c, total = F.size(F.filter(elements, lambda e: e["found"])), F.size(elements)
     weight = compensated_sum(F.transform(elements, lambda e: e["score"]))
-    found, score = _decide(r, c, total, weight)
+    found, score = decide(r, c, total, weight)
     return F.struct(
         *[r[f].alias(f) for f in ("table_name", "match_strategy", "min_elements", "min_percentage", "min_score")],
         c.alias("found_count"),
@@ -343,12 +343,13 @@ def verdicts_of_results(pages: DataFrame, rules: Sequence[TableRule], results: D
     summed = results.groupBy(*keys, "table_name").agg(
         F.count("*").alias("n_results"),
         F.count_if("found").cast("int").alias("found_count"),
-        exact_sum(F.col("score")).alias("weight"),
-    )
+        # as many as the table has elements, added up in their order as in a page row
+        F.array_sort(F.collect_list(F.struct("elem_idx", "score"))).alias("scores"),
+    ).withColumn("weight", compensated_sum(F.transform("scores", lambda s: s["score"])))
     every = pages.select(*keys, F.inline(tables)).join(summed, [*keys, "table_name"], "left")
     rule = {c: F.col(c) for c in ("match_strategy", "min_elements", "min_percentage", "min_score", "total_weight")}
     empty = F.col("n_results").isNull()
-    found, score = _decide(rule, F.col("found_count"), F.col("total_elements"), F.col("weight"))
+    found, score = decide(rule, F.col("found_count"), F.col("total_elements"), F.col("weight"))
     judged = every.withColumns({
         "found": F.when(empty, F.lit(False)).otherwise(found),
         "score": F.when(empty, F.lit(0.0)).otherwise(score),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.functions.blocks import only_documents
-from pagesieve.operators import detect
+from pagesieve.operators import definition_search, detect
 from pagesieve.operators.page_view import join_channels, pages_combined
 from pagesieve.plans import fixtures as fx
 from pagesieve.plans.fixtures import RULES
@@ -99,6 +99,23 @@ def detect_tables(spark, sf_dir):
     return rounded(detect.detect_tables(fx.pages(spark, sf_dir), RULES))
 
 
+def definition_counts(spark, sf_dir):
+    """Which phrases of a definition table as long as the corpus occur on which pages, and how often."""
+    hits = definition_search.element_hits(fx.pages(spark, sf_dir), fx.doc_definitions(spark, sf_dir))
+    return hits.select("doc_id", "page", "table_name", "elem_idx", "n_matches", "found")
+
+
+def definition_pages(spark, sf_dir):
+    """The pages and details of ``detect_definitions``."""
+    hits = definition_search.definition_verdicts(fx.pages(spark, sf_dir), fx.doc_definitions(spark, sf_dir))
+    return hits.select("table_name", "doc_id", "page", F.round("score", 6).alias("score"), "details")
+
+
+def detect_definitions(spark, sf_dir):
+    """Detection of a definition table as long as the corpus, in one pass over the texts."""
+    return rounded(definition_search.detect_definitions(fx.pages(spark, sf_dir), fx.doc_definitions(spark, sf_dir)))
+
+
 def _merged(spark, sf_dir) -> DataFrame:
     return pages_combined(join_channels(fx.digital(spark, sf_dir), fx.ocr(spark, sf_dir)))
 
@@ -177,6 +194,9 @@ QUERIES = {
     "empty_results_guard": empty_results_guard,
     "match_details": match_details,
     "page_verdicts": page_verdicts,
+    "definition_counts": definition_counts,
+    "definition_pages": definition_pages,
+    "detect_definitions": detect_definitions,
     "detect_tables": detect_tables,
     "detected_pages": detected_pages,
     "detect_tables_channels": detect_tables_channels,
@@ -252,6 +272,14 @@ SQL = {
     "page_verdicts": fx.sql(["fx_verdicts"], """
         select doc_id, page, table_name, round(score, 6) as score, details
         from fx_verdicts where found and score >= 0.6"""),
+    "definition_counts": fx.sql(["fx_doc_counts"], """
+        select doc_id, page, table_name, cast(elem_idx as integer) as elem_idx, n_matches, n_matches <= 3 as found
+        from fx_doc_counts"""),
+    "definition_pages": fx.sql(["fx_doc_verdicts"], """
+        select table_name, doc_id, page, round(score, 6) as score, details from fx_doc_verdicts"""),
+    "detect_definitions": fx.sql(["fx_doc_verdicts"], """
+        select table_name, doc_id, true as found, count(*) as n_pages, round(avg(score), 6) as confidence_score
+        from fx_doc_verdicts group by table_name, doc_id"""),
     "detect_tables": detections_sql(_HEADER),
     "detected_pages": fx.sql(["fx_verdicts"], """
         select table_name, doc_id, page, round(score, 6) as score, details from fx_verdicts where found"""),

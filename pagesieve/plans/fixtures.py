@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesieve.definitions import Phrase, TableRule, element_rows
+from pagesieve.definitions import STRATEGIES, Phrase, TableRule, element_rows
+from pagesieve.functions.text import strip
 from pagesieve.operators.page_view import pages_combined
 
 RULES = [
@@ -99,6 +100,26 @@ def previous_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def doc_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A definition table as long as the corpus: for each document one table of up to three phrases of its first words."""
+    words, doc = F.split("text", " "), F.col("doc_id")
+    phrases = [F.concat_ws(" ", F.slice(words, 1 + 4 * i, 3)).alias("search_text") for i in range(3)]
+    elements = [
+        F.struct(
+            p, F.lit(2).alias("max_errors"), F.lit(0.3).alias("max_error_rate"), (doc % 3 == 0).alias("match_case"),
+            F.lit(1.0 - 0.25 * i).alias("weight"), F.lit("").alias("description"),
+        )
+        for i, p in enumerate(phrases)
+    ]
+    strategy = F.element_at(F.array(*map(F.lit, STRATEGIES)), (doc % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").filter("text is not null").select(
+        F.concat(F.lit("doc_"), doc.cast("string")).alias("name"),
+        strategy.alias("match_strategy"),
+        F.lit(2).alias("min_elements"), F.lit(0.5).alias("min_percentage"), F.lit(0.5).alias("min_score"), F.lit("").alias("description"),
+        F.filter(F.array(*elements), lambda e: strip(e["search_text"]) != "").alias("text_elements"),
+    )
+
+
 # --- the same views for DuckDB -------------------------------------------------------------
 
 _SQL_VIEWS = {
@@ -142,6 +163,47 @@ _SQL_VIEWS = {
                case when n_matches > 0 then 0.0::double else 1.0::double end as error_rate,
                case when n_matches > 0 then weight else 0.0::double end as score
         from fx_counts""",
+    # Equal texts are searched once; a phrase can only be where its first characters are.
+    "fx_texts": "select distinct text from fx_pages",
+    "fx_doc_elements": """
+        select name, strategy, row_number() over (partition by name order by i) - 1 as elem_idx, i, search_text, match_case, weight,
+               count(*) over (partition by name) as t, sum(weight) over (partition by name) as total_weight
+        from (
+          select 'doc_' || doc_id as name, ['all_elements', 'min_count', 'min_percentage', 'weighted_score'][doc_id % 4 + 1] as strategy,
+                 i, array_to_string(string_split(text, ' ')[1 + 4 * i:3 + 4 * i], ' ') as search_text,
+                 doc_id % 3 = 0 as match_case, 1.0::double - 0.25::double * i as weight
+          from (select doc_id, text, unnest([0, 1, 2]) as i from documents where text is not null))
+        where trim(search_text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> ''""",
+    "fx_doc_hits": """
+        with phrases as (
+          select distinct search_text, match_case, case when match_case then search_text else lower(search_text) end as s
+          from fx_doc_elements),
+        starts as (select distinct text, lower(substring(text, p, 5)) as k from (
+          select text, unnest(range(1, length(text) - 3)) as p from fx_texts)),
+        pairs as (
+          select x.text, f.* from starts x join phrases f on x.k = lower(substring(s, 1, 5)) where length(s) >= 5
+          union all select x.text, f.* from fx_texts x join phrases f on contains(lower(x.text), lower(s)) where length(s) < 5)
+        select text, search_text, match_case,
+               cast((length(t) - length(replace(t, s, ''))) // length(s) as integer) as n_matches
+        from (select *, case when match_case then text else lower(text) end as t from pairs) where contains(t, s)""",
+    "fx_doc_counts": """
+        select p.doc_id, p.page, e.name as table_name, e.elem_idx, e.strategy, e.t, e.total_weight, e.weight, h.n_matches
+        from fx_doc_hits h join fx_pages p on p.text = h.text
+        join fx_doc_elements e on e.search_text = h.search_text and e.match_case = h.match_case""",
+    "fx_doc_verdicts": """
+        select doc_id, page, table_name, strategy, c, t, weighted,
+               case when strategy = 'weighted_score' then weighted else c / t end as score,
+               case strategy
+                 when 'all_elements' then printf('Found %d/%d elements', c, t)
+                 when 'min_count' then printf('Found %d/%d elements (min: 2)', c, t)
+                 when 'min_percentage' then printf('Found %d/%d elements (%.1f%%, min: 50.0%%)', c, t, 100.0 * c / t)
+                 else printf('Weighted score: %.3f (min: 0.500)', weighted) end as details
+        from (
+          select doc_id, page, table_name, any_value(strategy) as strategy, any_value(t) as t,
+                 count(*) filter (n_matches <= 3) as c, sum(weight) / any_value(total_weight) as weighted
+          from fx_doc_counts group by doc_id, page, table_name)
+        where case strategy when 'all_elements' then c = t when 'min_count' then c >= 2
+                            when 'min_percentage' then c / t >= 0.5 else weighted >= 0.5 end""",
     "fx_ratios": """
         select doc_id, page, table_name, any_value(strategy) as strategy,
                any_value(min_elements) as min_elements, any_value(min_percentage) as min_percentage,
@@ -188,6 +250,10 @@ _DEPENDS = {
     "fx_counts": ["fx_pages", "fx_defs"],
     "fx_elements": ["fx_counts"],
     "fx_ratios": ["fx_elements"],
+    "fx_texts": ["fx_pages"],
+    "fx_doc_hits": ["fx_texts", "fx_doc_elements"],
+    "fx_doc_counts": ["fx_doc_hits"],
+    "fx_doc_verdicts": ["fx_doc_counts"],
     "fx_verdicts": ["fx_ratios"],
 }
 

@@ -10,6 +10,13 @@ DEFINITION_FILE = """
             match_case: boolean, weight: double, description: string>>>>
 """
 
+# One row per table, as the rows of a definition file come out.
+DEFINITION_ROW = """
+    table_idx int, name string, match_strategy string, min_elements int, min_percentage double, min_score double,
+    description string, text_elements array<struct<
+        search_text: string, max_errors: int, max_error_rate: double, match_case: boolean, weight: double, description: string>>
+"""
+
 DETECTION = """
     table_name string, document_name string, file_path string, found boolean,
     pages_found array<int>, confidence_score double, match_details string
