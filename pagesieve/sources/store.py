@@ -3,7 +3,12 @@
 Every run adds one folder to the tables and never touches another one. A folder is named by who writes (``writer``),
 by the writer's own number of the batch, and by ``seq``, the order of all batches in the store. The documents of a batch are
 written after its pages, and only then does the batch count; writing the same (writer, batch) again adds a folder
-with a later ``seq`` that replaces the earlier one at that moment. Two writers never share a folder.
+with a later ``seq`` that replaces the earlier one at that moment. Two writers never share a folder, and no two batches a ``seq``: it is
+claimed by creating a marker that must not exist yet, so it is as safe as the file system's creation of new files.
+
+A document row names with ``since`` the batch at which the content it belongs to began. Of several contents the one that began last
+counts, with the rows and pages that name it; what a writer adds to a content that another one has replaced meanwhile counts no more. So
+any interleaving of writers gives the pages of one content.
 
 Both channels of a page sit in one row: the merged page view needs no join. A document with new content replaces all of its
 pages; a channel that is added to known content joins the pages that are there, null leaving a channel as it is.
@@ -13,6 +18,7 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,7 +113,7 @@ class PageStore:
         """
         if not re.fullmatch(r"[A-Za-z0-9_-]+", writer):
             raise ValueError("a writer is named by letters, digits, - and _")
-        seq = (self._read("documents", DOCUMENT_LOG).agg(F.max("seq")).first()[0] or 0) + 1
+        seq = self._claim()
         place = f"writer={writer}/batch={int(batch)}/seq={seq}"
         keys = ("writer", "batch", "seq")
         since = F.coalesce("since", F.lit(seq)).cast("bigint") if "since" in documents.columns else F.lit(seq).cast("bigint")
@@ -123,6 +129,24 @@ class PageStore:
             if rows is not None:
                 rows.write.mode("overwrite").parquet(f"{self.root}/{table}/{place}")
 
+    def _claim(self) -> int:
+        """A ``seq`` that no other batch has or will have, greater than those of all batches written so far."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims")
+        files = folder.getFileSystem(conf)
+        files.mkdirs(folder)
+        taken = [int(s.getPath().getName()) for s in files.listStatus(folder)]
+        written = self._read("documents", DOCUMENT_LOG).agg(F.max("seq")).first()[0] or 0
+        seq = max([written, *taken]) + 1
+        while True:
+            try:
+                files.create(jvm.org.apache.hadoop.fs.Path(folder, str(seq)), False).close()
+                return seq
+            except Py4JJavaError as error:
+                if "Exist" not in error.java_exception.getClass().getSimpleName():
+                    raise
+                seq += 1
+
     def _batches(self) -> DataFrame:
         """The batches that count: of each (writer, batch) the last one with documents."""
         return self._read("documents", DOCUMENT_LOG).groupBy("writer", "batch").agg(F.max("seq").alias("seq"))
@@ -148,7 +172,7 @@ class PageStore:
         return append_log(rows.limit(0), rows)
 
     def metadata(self, without: tuple[str, int] | None = None) -> DataFrame:
-        return last_rows(self.document_log(without), ["doc_id"], ["seq", "writer"])
+        return last_rows(self.document_log(without), ["doc_id"], ["since", "seq", "writer"])
 
     def channels(self) -> DataFrame:
         """Current page rows with both channels.
@@ -161,11 +185,12 @@ class PageStore:
         log = self.document_log()
         current = self.metadata().select("doc_id", "since", F.col("page_count").alias("pages_now"))
         floor = current.agg(F.min("since")).first()[0]
-        joined = log.filter(F.col("seq") >= (floor or 0)).drop("since").join(current, "doc_id")
+        rows = log.filter(F.col("seq") >= (floor or 0)).withColumnRenamed("since", "own_since")
+        joined = rows.join(current, "doc_id")
         key = ["doc_id", "writer", "batch", "seq", "block"]
-        replaced = document_blocks(joined.filter("seq < since")).select(*key)
+        replaced = document_blocks(joined.filter("own_since < since")).select(*key)
         layered = document_blocks(
-            joined.filter("seq >= since").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("page_count").alias("page_count"))
+            joined.filter("own_since = since").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("page_count").alias("page_count"))
             .filter("n > 1")
         ).select("doc_id", "block")
         pages = self._counting("pages", PAGE_LOG).filter(F.col("seq") >= (floor or 0))
@@ -195,7 +220,10 @@ class PageStore:
         self.write_batch(writer, batch, documents.drop("pages", "digital", "ocr"), pages)
 
     def compact(self, batch: int) -> None:
-        """Write all current rows as one batch; older folders are then read by no one and may be deleted."""
+        """Write all current rows as one batch; older folders are then read by no one and may be deleted.
+
+        To be run while no other writer is between its claim and its documents.
+        """
         documents = self.metadata().drop("writer", "batch", "seq", "since")
         self.write_batch("compact", batch, documents, self.channels())
 
@@ -204,7 +232,7 @@ class PageStore:
         return document_pages(self.channels(), prefer, combine)
 
     def get_metadata(self, doc_id: str) -> DataFrame:
-        return last_rows(self.document_log().filter(F.col("doc_id") == doc_id), ["doc_id"], ["seq", "writer"])
+        return last_rows(self.document_log().filter(F.col("doc_id") == doc_id), ["doc_id"], ["since", "seq", "writer"])
 
     def get_page_text(self, doc_id: str, page: int, channel: str) -> DataFrame:
         """``channel`` is ``digital`` or ``ocr``; the filter reaches the Parquet scan."""

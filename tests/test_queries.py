@@ -26,7 +26,18 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", [n for n in QUERIES if SQL[n] is None])
+def test_queries_without_sql_run_over_all_pages_and_have_no_cross_join(spark, name):
+    df = QUERIES[name](spark, SF_DIR)
+    pages = {(r.doc_id, r.page) for r in fx.pages(spark, SF_DIR).select("doc_id", "page").collect()}
+    found = {(r.doc_id, r.page) for r in df.select("doc_id", "page").collect()}
+    assert found and found <= pages and (name != "fuzzy_nearest" or found == pages)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "MapInPandas", "ArrowEvalPython"):
+        assert operator not in plan
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if SQL[n] is not None])
 def test_query_equals_sql_and_has_no_cross_join(spark, con, name):
     df = QUERIES[name](spark, SF_DIR)
     ok, note = check.compare(df, con.sql(SQL[name]))

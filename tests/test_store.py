@@ -207,3 +207,40 @@ def test_resume_and_log(spark):
     assert ingest.ingest_summary(twice).first()[:] == (3, 1, 2, 4)
     assert ingest.ingest_summary(log.limit(0)).first()[:] == (0, 0, 0, 0)
     assert [r.error for r in ingest.failed_files(twice).collect()] == ["broken", "broken"]
+
+
+def test_writers_that_read_the_same_store_never_mix_contents(spark, tmp_path, monkeypatch):
+    """Three pages and then new content of one page, claimed and written in any order."""
+    def documents(pages, digest):
+        return spark.createDataFrame(
+            [("d", "d.pdf", "/d.pdf", pages, 1, digest, 0.0, None, True, False)],
+            "doc_id string, file_name string, file_path string, page_count int, file_size bigint, file_hash string, last_modified double, "
+            "processing_date timestamp, has_digital boolean, has_ocr boolean",
+        )
+
+    def texts(mark, n):
+        return spark.createDataFrame([("d", i + 1, f"{mark}{i}", None) for i in range(n)], "doc_id string, page int, digital string, ocr string")
+
+    for late in ("three", "one"):
+        store = PageStore(spark, str(tmp_path / late))
+        first, second = store._claim(), store._claim()
+        assert first < second
+        numbers = {"three": first, "one": second}
+        order = ["one", "three"] if late == "three" else ["three", "one"]
+        for name in order:
+            monkeypatch.setattr(store, "_claim", lambda name=name: numbers[name])
+            store.write_batch(name, 1, documents(3 if name == "three" else 1, name), texts(name, 3 if name == "three" else 1))
+        # the content that was claimed last counts, in whatever order both arrive
+        assert store.metadata().first()["page_count"] == 1
+        assert [(r["page"], r["digital"]) for r in store.channels().orderBy("page").collect()] == [(1, "one0")]
+        # what is added to a content that was replaced meanwhile does not count
+        stale = documents(3, "three").withColumn("since", F.lit(first).cast("bigint"))
+        monkeypatch.setattr(store, "_claim", lambda: second + 1)
+        store.write_batch("late", 1, stale, texts("late", 3))
+        assert store.metadata().first()["file_hash"] == "one"
+        assert [(r["page"], r["digital"]) for r in store.channels().orderBy("page").collect()] == [(1, "one0")]
+
+
+def test_a_claimed_number_is_not_claimed_again(spark, tmp_path):
+    one, two = (PageStore(spark, str(tmp_path / "s")) for _ in range(2))
+    assert [one._claim(), two._claim(), one._claim(), two._claim()] == [1, 2, 3, 4]
