@@ -9,6 +9,8 @@ import pyarrow as pa
 
 # Bytes of text that are hashed in one go; bounds the size of the temporary arrays.
 CHUNK_BYTES = 1 << 19
+#: Rows of a column that are copied in one go.
+ROWS = 512
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -52,7 +54,7 @@ class _Powers:
 
 
 def text_chunks(
-    column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYTES, most_rows: int = 1 << 30
+    column: pa.Array | pa.ChunkedArray, chunk_bytes: int = CHUNK_BYTES, most_rows: int = 1 << 30, rows: int = ROWS
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of at most `most_rows` rows and about `chunk_bytes`; a longer text is a run of its own.
 
@@ -61,18 +63,18 @@ def text_chunks(
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
-    column = column.cast(pa.large_string()).fill_null("")
-    if not len(column):
-        return
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
-    row = 0
-    while row < len(column):
-        last = int(np.searchsorted(offsets, offsets[row] + chunk_bytes, side="right")) - 1
-        last = min(max(last, row + 1), row + most_rows, len(column))
-        yield row, data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
-        row = last
+    # The copies below are of some rows at a time, not of the whole batch.
+    for first in range(0, len(column), rows):
+        part = column.slice(first, rows).cast(pa.large_string()).fill_null("")
+        _, offsets, data = part.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+        row = 0
+        while row < len(part):
+            last = int(np.searchsorted(offsets, offsets[row] + chunk_bytes, side="right")) - 1
+            last = min(max(last, row + 1), row + most_rows, len(part))
+            yield first + row, data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
+            row = last
 
 
 def word_spans(

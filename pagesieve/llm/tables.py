@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -54,9 +55,23 @@ def ship(spark: SparkSession) -> None:
 def map_arrow(
     df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
 ) -> DataFrame:
-    """``mapInArrow`` with a function of this package."""
+    """``mapInArrow`` with a function of this package; workers are used again, so each task gives its memory back."""
     ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+
+    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from work(batches)
+        give_back()
+
+    return df.mapInArrow(frugal, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the machine, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def fold(doc_id: Column, folds: int) -> Column:

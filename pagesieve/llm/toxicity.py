@@ -53,9 +53,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
     if len(set(target.tolist())) < 2:
         return None
     column = pa.array([r[2] for r in rows], pa.large_string())
-    (_, data, offsets), *_ = text_chunks(column, 1 << 40)
-    words = read_words(data, offsets)
     network = Network.fresh()
+    (_, data, offsets), *_ = text_chunks(column, 1 << 40, rows=len(column))
+    words = read_words(data, offsets)
     network.fit(words, target, PASSES, BATCH, RATE)
     network.shift = _threshold(network.score_texts(words), target)
     return network
