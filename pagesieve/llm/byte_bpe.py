@@ -29,7 +29,7 @@ from pagesieve.llm.tables import map_arrow
 #: Slices kept by a task at a time; when they are more, the cache starts anew.
 CACHE_SLICES = 400_000
 #: Bytes of text in work at a time, and so the size of the arrays; a longer text is worked on alone.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 
 @functools.cache

@@ -55,17 +55,25 @@ def ship(spark: SparkSession) -> None:
 def map_arrow(
     df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
 ) -> DataFrame:
-    """``mapInArrow`` with a function of this package; workers are used again, so each task gives its memory back."""
+    """``mapInArrow`` with a function of this package; workers are used again, so memory is given back after each batch."""
     ship(df.sparkSession)
 
     def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
-        yield from work(batches)
+        yield from work(_returned(batches))
         give_back()
 
     return df.mapInArrow(frugal, schema)
 
 
+def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what the work on one left free goes back before the next is read."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory of this process to the machine, where its C library can."""
     pa.default_memory_pool().release_unused()
