@@ -17,10 +17,10 @@ MOST_WORDS = 1 << 20
 BITS = 3
 
 
-def words_for(rows: int, least: int = WORDS) -> int:
+def words_for(rows: int, least: int = WORDS, most: int = MOST_WORDS) -> int:
     """Words enough for four keys each, within the bound that keeps a filter fit for broadcast."""
     words = least
-    while words < rows // 4 and words < MOST_WORDS:
+    while words < rows // 4 and words < most:
         words *= 2
     return words
 
@@ -67,6 +67,34 @@ def probe(df: DataFrame, key: Column, filter_: DataFrame, flag: str, words: int
     return joined.withColumn(flag, hit).drop(need, at, word, bits)
 
 
+#: Words in one row of a packed filter.
+PER_ROW = 512
+
+
+def packed(filter_: DataFrame, words: int) -> DataFrame:
+    """The filter as rows of `PER_ROW` words each, eight bytes a word: a 2 ** 24 word filter is 128 MB to broadcast."""
+    none = filter_.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    whole = filter_.select("word", "bits").unionByName(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    at = F.expr(f"word div {PER_ROW}").alias("at")
+    lists = whole.groupBy(at).agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("held"))
+    return lists.select("at", F.col("held.bits").alias("bits"))
+
+
+def probe_packed(df: DataFrame, key: Column, filter_: DataFrame, flag: str, words: int) -> DataFrame:
+    """As `probe`, by a packed filter."""
+    row, bits, need, word = (free_name(df, f"__{c}") for c in ("row", "bits", "need", "word"))
+    held = F.broadcast(filter_.select(F.col("at").alias(row), F.col("bits").alias(bits)))
+    mask = None
+    for bit in _bits(key):
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+        mask = one if mask is None else mask.bitwiseOR(one)
+    marked = df.withColumns({need: mask, word: _word(key, words)})
+    joined = marked.join(held, F.expr(f"`{word}` div {PER_ROW}") == F.col(row), "left")
+    one = F.get(F.col(bits), (F.col(word) % PER_ROW).cast("int"))
+    hit = F.coalesce(one.bitwiseAND(F.col(need)) == F.col(need), F.lit(False))
+    return joined.withColumn(flag, hit).drop(need, word, row, bits)
+
+
 def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     """The rows of `df` whose `column` is not among the values in `gone`, a table of that one column.
 

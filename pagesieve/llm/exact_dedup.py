@@ -5,6 +5,10 @@ The first pass builds a filter of the bits that at least two hashes set. The sec
 it with each row: a row with a bit that no other row sets is unique and passes straight
 through; only the others are grouped by their hash. A false alarm of the filter is a group of one row.
 
+A filter holds `MOST_WORDS` words of 64 bits and so serves `FILL` rows a word at most, by which about one unique row in 120 is a false alarm.
+More rows are taken in rounds: the hashes are written once more in folders by a part of the hash, without a shuffle, and
+each round builds and probes a filter for one folder.
+
 Defined cases: a null text counts as empty, and all empty texts are equal; of equal texts the one
 with the most code points stays, among those the smallest `doc_id`; a null `doc_id` comes after all
 others; rows that repeat a `doc_id` with an equal text are copies with one `keep_id` and are marked alike. An
@@ -13,11 +17,18 @@ empty table gives an empty result. Columns other than `doc_id` and `text` are no
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesieve.llm import bloom
 from pagesieve.llm.tables import cut
+from pagesieve.session import work_folder
+
+#: Words of a filter (128 MB as it is broadcast), and rows for each of them.
+MOST_WORDS = 1 << 24
+FILL = 4
 
 SPACES = "[\\x20\\x09-\\x0D]"
 
@@ -38,13 +49,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def possible_repeats(rows: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+    """The `rows` of `fingerprints` with the boolean maybe: whether another row may have the same hash; written."""
+    key, n = F.col("text_sha256"), rows.count()
+    rounds = max(1, -(-n // (FILL * most_words)))
+    parts = [rows]
+    if rounds > 1:
+        path = work_folder(rows.sparkSession, "dedup-rounds")
+        rows.withColumn("round", F.pmod(F.xxhash64(key, F.lit(2)), F.lit(rounds))).write.partitionBy("round").parquet(path)
+        written = rows.sparkSession.read.parquet(path)
+        parts = [written.filter(F.col("round") == r).drop("round") for r in range(rounds)]
+    words = bloom.words_for(-(-n // rounds), min(bloom.WORDS, most_words), most_words)
+    # Each round is written before the next begins, so one filter is in memory at a time.
+    seen = []
+    for part in parts:
+        twice = cut(bloom.packed(bloom.build(part, key, words, least=2), words))
+        seen.append(cut(bloom.probe_packed(part, key, twice, "maybe", words)))
+    return reduce(DataFrame.unionByName, seen)
+
+
+def exact_dedup(docs: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = fingerprints(docs)
-    words = bloom.words_for(rows.count())
-    key = F.col("text_sha256")
-    twice = bloom.build(rows, key, words, least=2)
-    seen = cut(bloom.probe(rows, key, twice, "maybe", words))
+    seen = possible_repeats(fingerprints(docs), most_words)
     unique = seen.filter(~F.col("maybe")).select(
         "doc_id",
         F.col("doc_id").alias("keep_id"),
@@ -70,11 +96,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     by a filter of the ids in such groups; of the others the texts are hashed again and joined with what stays. Only rows that agree in
     text, length and id with the one that stays are grouped themselves, to keep one of them.
     """
-    rows = fingerprints(docs)
-    words = bloom.words_for(rows.count())
-    key = F.col("text_sha256")
-    again = bloom.probe(rows, key, bloom.build(rows, key, words, least=2), "maybe", words).filter("maybe").drop("maybe")
-    again = cut(again)
+    again = possible_repeats(fingerprints(docs)).filter("maybe").drop("maybe")
     order = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("last"), "doc_id")
     groups = again.groupBy("text_sha256").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size"))
     groups = cut(groups.filter("size > 1").select("text_sha256", "best"))

@@ -87,3 +87,23 @@ def test_hashes_do_not_depend_on_runs(monkeypatch):
     monkeypatch.setattr(shingles, "CHUNK_BYTES", 16)
     for one, two in zip(whole, word_spans(data, offsets, BYTE)):
         assert (one == two).all()
+
+
+def test_exact_dedup_in_rounds_shuffles_few_unique_rows_at_any_size(spark):
+    draw = random.Random(3)
+    for n in (400, 900, 1800):
+        texts = [f"text {draw.randrange(10**12)}" for _ in range(n)]
+        texts += ["hot copy"] * (n // 3) + [t + " " for t in texts[::10]] + [None, ""]
+        rows = list(enumerate(texts))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        seen = exact_dedup.possible_repeats(exact_dedup.fingerprints(df), most_words=64)  # several rounds of 256 rows at most each
+        many = spark.createDataFrame(seen.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n"), F.min("maybe").alias("all")).toPandas())
+        assert many.filter("n > 1 and not all").count() == 0
+        alone = seen.join(many.filter("n = 1"), "text_sha256")
+        assert alone.filter("maybe").count() < 0.03 * n
+        groups = {}
+        for i, text in rows:
+            groups.setdefault("".join((text or "").split()), []).append((-len(text or ""), i))
+        want = sorted((i, min(g)[1], len(g)) for g in groups.values() for _, i in g)
+        got = exact_dedup.exact_dedup(df, most_words=64).select("doc_id", "keep_id", "group_size").collect()
+        assert sorted(map(tuple, got)) == want
