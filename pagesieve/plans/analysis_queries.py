@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesieve.functions.blocks import PAGE_BLOCK
 from pagesieve.operators import analysis, detect
 from pagesieve.plans import analysis as plan
 from pagesieve.plans import fixtures as fx
@@ -36,16 +37,9 @@ def described(spark, sf_dir, found: DataFrame) -> DataFrame:
     })
 
 
-def detections(spark, sf_dir) -> DataFrame:
-    """Both searches in the exchange format, one row per detection."""
-    hits = found_pages(spark, sf_dir)
-    searches = [detect.listed(hits.filter(F.col("seq") == k)).withColumn("seq", F.lit(k)) for k in (0, 1)]
-    return described(spark, sf_dir, reduce(DataFrame.unionByName, searches))
-
-
-def exported(spark, sf_dir) -> DataFrame:
-    """The detections as exported."""
-    return io.as_exported(detections(spark, sf_dir), "seq")
+def exported(spark, sf_dir, size: int = PAGE_BLOCK) -> DataFrame:
+    """Both searches in the exchange format, in parts of at most a page block."""
+    return described(spark, sf_dir, detect.listed_parts(found_pages(spark, sf_dir), "seq", size=size))
 
 
 def flat(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -74,32 +68,40 @@ def _consolidated(spark, sf_dir) -> DataFrame:
     return analysis.consolidate(*flat(spark, sf_dir))
 
 
+PART = f"{io.DETECTION}, seq int, part int"
+
+
 def export_detections(spark, sf_dir):
     path = f"{work_folder(spark, 'detections')}/json"
-    io.export_detections(detections(spark, sf_dir), path)
-    return _flat(spark.read.schema(io.DETECTION).json(path))
+    io.export_parts(exported(spark, sf_dir), path)
+    return _flat(spark.read.schema(PART).json(path))
 
 
 def export_detection_parts(spark, sf_dir):
-    """The exchange format in parts of at most a page block, with 3 pages to a block here."""
+    """The exchange format with 3 pages to a block, so that most detections have several parts."""
     path = f"{work_folder(spark, 'detections')}/json"
-    parts = detect.listed_parts(found_pages(spark, sf_dir), "seq", size=3)
-    io.export_parts(described(spark, sf_dir, parts), path)
-    return _flat(spark.read.schema(f"{io.DETECTION}, seq int, part int").json(path))
+    io.export_parts(exported(spark, sf_dir, 3), path)
+    return _flat(spark.read.schema(PART).json(path))
 
 
 def consolidate_parts(spark, sf_dir):
     """The consolidation of parts that were written and read again."""
     path = f"{work_folder(spark, 'detections')}/json"
-    parts = detect.listed_parts(found_pages(spark, sf_dir), "seq", size=3)
-    io.export_parts(described(spark, sf_dir, parts), path)
+    io.export_parts(exported(spark, sf_dir, 3), path)
     return rounded(analysis.consolidate(*io.load_parts(spark, path)), "confidence")
 
 
 def load_detections(spark, sf_dir):
     path = f"{work_folder(spark, 'detections')}/json"
-    io.export_detections(detections(spark, sf_dir), path)
-    return _flat(io.load_detections(spark, path, min_confidence=0.8).drop("seq"))
+    io.export_parts(exported(spark, sf_dir), path)
+    return _flat(io.at_least(spark.read.schema(PART).json(path), 0.8))
+
+
+def load_detection_arrays(spark, sf_dir):
+    """Parts written as JSON arrays without line ends, and read back by splits of the files."""
+    path = f"{work_folder(spark, 'detections')}/arrays"
+    io.export_part_arrays(exported(spark, sf_dir, 3), path)
+    return _flat(io.read_array(spark, path, PART, into="place").drop("place"))
 
 
 # What is compared of each written set: two keys, a text and two numbers.
@@ -185,7 +187,7 @@ def table_file_paths(spark, sf_dir):
 
 
 def confidence_filter(spark, sf_dir):
-    return _flat(io.at_least(exported(spark, sf_dir), 0.75))
+    return _flat(io.at_least(io.as_exported(exported(spark, sf_dir), "seq", "part"), 0.75))
 
 
 QUERIES = {
@@ -194,7 +196,7 @@ QUERIES = {
         export_detections, load_detections, export_analysis, consolidate, tables_by_document,
         documents_by_table, analysis_totals, table_stats, document_stats, document_table_pages,
         confidence_bands, multiple_occurrences, table_file_paths, confidence_filter,
-        export_detection_parts, consolidate_parts,
+        export_detection_parts, consolidate_parts, load_detection_arrays,
     )
 }
 
@@ -225,12 +227,27 @@ def _sql(body: str) -> str:
     return fx.sql(["fx_verdicts", "fx_meta"], body, _EXTRA)
 
 
-_EIGHT = "table_name, document_name, file_path, found, pages_found, confidence_score, match_details"
+def _parts(size: int, minimum: float = 0.0) -> str:
+    """Detections from ``minimum`` on in parts of ``size`` page numbers."""
+    return _sql(f"""
+        select d.table_name, d.document_name, d.file_path, d.found, p.pages_found, d.confidence_score, p.match_details, d.seq,
+               cast(case when p.block = min(p.block) over (partition by d.seq, d.table_name, d.document_name)
+                    then 0 else p.block end as integer) as part
+        from det d join (
+          select s.seq, table_name, cast(doc_id as varchar) as document_name, (page - 1) // {size} as block,
+                 string_agg(cast(page as varchar), ',' order by page) as pages_found,
+                 string_agg('Page ' || page || ': ' || details, '; ' order by page) as match_details
+          from fx_verdicts v join (values (0, 0.0), (1, 0.6)) s(seq, minimum) on v.found and v.score >= s.minimum
+          group by s.seq, table_name, doc_id, (page - 1) // {size}) p
+          on d.seq = p.seq and d.table_name = p.table_name and d.document_name = p.document_name
+        where d.confidence_score >= {minimum}""")
+
+
 _CON = "select document_name, table_name, n_pages, round(confidence, 9) as confidence, file_path from con"
 
 SQL = {
-    "export_detections": _sql(f"select {_EIGHT} from det"),
-    "load_detections": _sql(f"select {_EIGHT} from det where confidence_score >= 0.8"),
+    "export_detections": _parts(PAGE_BLOCK),
+    "load_detections": _parts(PAGE_BLOCK, 0.8),
     "export_analysis": _sql("""
         select 'tables_by_document' as frame, document_name as key, table_name as second_key, file_path as text,
                round(confidence, 9) as number, n_pages::double as second_number from con
@@ -278,17 +295,8 @@ SQL = {
         from (select table_name, document_name, count(*) as n from det
               group by table_name, document_name having count(*) > 1)"""),
     "table_file_paths": _sql("select distinct table_name, file_path from con where file_path <> ''"),
-    "confidence_filter": _sql(f"select {_EIGHT}, seq from det where confidence_score >= 0.75"),
-    "export_detection_parts": _sql("""
-        select d.table_name, d.document_name, d.file_path, d.found, p.pages_found, d.confidence_score, p.match_details, d.seq,
-               cast(case when p.block = min(p.block) over (partition by d.seq, d.table_name, d.document_name)
-                    then 0 else p.block end as integer) as part
-        from det d join (
-          select s.seq, table_name, cast(doc_id as varchar) as document_name, (page - 1) // 3 as block,
-                 string_agg(cast(page as varchar), ',' order by page) as pages_found,
-                 string_agg('Page ' || page || ': ' || details, '; ' order by page) as match_details
-          from fx_verdicts v join (values (0, 0.0), (1, 0.6)) s(seq, minimum) on v.found and v.score >= s.minimum
-          group by s.seq, table_name, doc_id, (page - 1) // 3) p
-          on d.seq = p.seq and d.table_name = p.table_name and d.document_name = p.document_name"""),
+    "confidence_filter": _parts(PAGE_BLOCK, 0.75),
+    "export_detection_parts": _parts(3),
+    "load_detection_arrays": _parts(3),
     "consolidate_parts": _sql(_CON),
 }

@@ -9,7 +9,7 @@ from pagesieve.operators import inventory
 from pagesieve.plans import fixtures as fx
 from pagesieve.plans.analysis_queries import written
 from pagesieve.session import work_folder
-from pagesieve.sources.detections import write_frames
+from pagesieve.sources.detections import write_frames, write_ordered
 
 
 def _store(spark, sf_dir):
@@ -90,6 +90,14 @@ def write_reports(spark, sf_dir):
     return written(spark, paths, _REPORTS, "parquet")
 
 
+def ordered_reports(spark, sf_dir):
+    """The combined page report, written in the order of documents and pages in numbered parts of 1,000 rows."""
+    path = f"{work_folder(spark, 'reports')}/combined"
+    report = inventory.combined_page_report(*_store(spark, sf_dir))
+    write_ordered(report, path, ["doc_id", "page"], part_rows=1000)
+    return spark.read.schema("doc_id bigint, page int, total_length int, row bigint, part bigint").parquet(path)
+
+
 def run_comparison(spark, sf_dir):
     """One run per user of the event table."""
     runs = fx.table(spark, sf_dir, "events").groupBy("user_id").agg(
@@ -106,7 +114,7 @@ QUERIES = {
     for f in (
         sanitize_text, document_overview, digital_text_report, ocr_text_report, combined_page_report,
         corpus_statistics, quick_overview, quick_page_summary, quick_statistics, page_lengths_fallback,
-        write_reports, run_comparison,
+        write_reports, ordered_reports, run_comparison,
     )
 }
 
@@ -204,6 +212,9 @@ SQL = {
                unnest([docs::double, pages::double, d::double, o::double, (d + o)::double,
                        cast(printf('%.2f', pages / docs) as double)]), null
           from (select (select count(*) from fx_meta) as docs, count(*) as pages, sum(dl) as d, sum(ol) as o from spine)"""),
+    "ordered_reports": _sql("""
+        select doc_id, page, cast(dl + ol as integer) as total_length, n as row, n // 1000 as part
+        from (select *, row_number() over (order by doc_id, page) - 1 as n from spine)"""),
     "run_comparison": """
         with runs as (
           select 'user ' || user_id as implementation, round(sum(value), 3) as secs, max(value) as mem,

@@ -1,11 +1,15 @@
-"""Exported detections and analysis results as JSON lines; reports as Parquet or CSV."""
+"""Exported detections and analysis results as JSON lines; reports as Parquet or CSV, also in order and numbered."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from pagesieve.functions.frames import join_checked
 from pagesieve.schemas import DETECTION
+from pagesieve.session import work_folder
+from pagesieve.sources.json_array import read_array
 
 
 def as_exported(detections: DataFrame, *more: str) -> DataFrame:
@@ -31,6 +35,12 @@ def export_parts(parts: DataFrame, path: str) -> None:
     as_exported(parts, "seq", "part").write.mode("overwrite").json(path)
 
 
+def export_part_arrays(parts: DataFrame, path: str) -> None:
+    """The same as JSON arrays of one object, one after the other: a file of any size without line ends between its rows."""
+    row = as_exported(parts, "seq", "part")
+    row.select(F.to_json(F.array(F.struct(*row.columns)))).write.mode("overwrite").option("lineSep", " ").text(path)
+
+
 def load_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Read parts back: one row per detection without its pages, and the flat rows of all pages."""
     rows = spark.read.schema(f"{DETECTION}, seq bigint, part int").json(path)
@@ -41,17 +51,15 @@ def load_parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def load_detections(
     spark: SparkSession, path: str, min_confidence: float | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """Read exported detections back; ``multi_line`` for one JSON array per file.
+    """Read exported detections back; ``multi_line`` for JSON arrays, which many tasks read whatever their size.
 
     ``seq`` keeps the order of the rows in the files.
     """
-    rows = (
-        spark.read.schema(DETECTION).option("multiLine", multi_line).json(path)
-        .withColumns({
-            "file_path": F.coalesce("file_path", F.lit("")),
-            "seq": F.monotonically_increasing_id(),
-        })
-    )
+    if multi_line:
+        rows = read_array(spark, path, DETECTION)
+    else:
+        rows = spark.read.schema(DETECTION).json(path).withColumn("seq", F.monotonically_increasing_id())
+    rows = rows.withColumn("file_path", F.coalesce("file_path", F.lit("")))
     return rows if min_confidence is None else at_least(rows, min_confidence)
 
 
@@ -73,3 +81,37 @@ def write_frames(frames: dict[str, DataFrame], root: str, file_format: str = "pa
         writer.save(path)
         paths[name] = path
     return paths
+
+
+#: Rows of a numbered part, less than the 1,048,576 of a sheet.
+PART_ROWS = 1_000_000
+
+
+def write_ordered(frame: DataFrame, path: str, keys: list[str], part_rows: int = PART_ROWS, file_format: str = "parquet") -> None:
+    """Write ``frame`` in the order of ``keys`` with ``row`` (from 0) and ``part``, one file for each part of ``part_rows`` rows.
+
+    Rows are dealt by ranges of the keys and written; the counts of the ranges then number them, so no task holds more than a range or
+    a part. Nulls come first; rows with equal keys follow one another in any order, so keys should be unique.
+    """
+    spark = frame.sparkSession
+    ranged = work_folder(spark, "ranged")
+    place = F.monotonically_increasing_id()
+    (
+        frame.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .select("*", F.shiftright(place, 33).alias("range_no"), place.bitwiseAND((1 << 33) - 1).alias("range_row"))
+        .write.parquet(ranged)
+    )
+    rows = spark.read.parquet(ranged)
+    counts = rows.groupBy("range_no").agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = counts.select("range_no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("range_first"))
+    row = F.col("range_first") + F.col("range_row")
+    numbered = (
+        join_checked(rows, counts, "range_no")
+        .select(*frame.columns, row.alias("row"), F.call_function("div", row, F.lit(part_rows)).alias("part"))
+        .repartition("part").sortWithinPartitions("part", "row")
+    )
+    writer = numbered.write.mode("overwrite").partitionBy("part").format(file_format)
+    if file_format == "csv":
+        writer = writer.option("header", True)
+    writer.save(path)
