@@ -4,17 +4,21 @@ The tree builder closes what a start tag ends by itself (paragraphs, list items,
 inside their table cell, and takes the text of raw elements as it is. The renderer drops what a browser does not show
 (scripts, styles, heads, comments, `hidden`, `display:none`, closed details), collapses white space except in `pre`,
 keeps block spacing (paragraph-like blocks are set off by an empty line), writes list items with bullets or
-numbers, and pads table cells to columns.
+numbers, and pads table cells to columns, with the places that row and column spans take kept free.
 
 Defined cases: a null page gives null, an empty one an empty text; unclosed tags, stray end tags and broken markup never fail;
 elements may be nested to any depth, as tree builder and renderer keep stacks of their own; beyond `INDENT` nested lists, quotes and
-cells indentation and padding grow no further, but bullets, rows and text stay; a cell wider
-than `PAD` characters widens no column. Other columns stay; an input column named as the added one is replaced.
+cells indentation and padding grow no further, but bullets, rows and text stay. Cells wider than `WRAP` characters are broken between
+words, those of a table's last column excepted; a longer word stands out. Columns in which no cell begins take no space; a table that
+would take more than `PADDED` characters keeps its separators, but is not padded. Other columns stay; an input column
+named as the added one is replaced.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import textwrap
 from collections.abc import Generator, Iterator
 from html import unescape
 from typing import Any
@@ -27,11 +31,12 @@ from pagesieve.llm.tables import map_arrow
 
 #: So many nested lists, quotes and cells indent; without a bound the white space grows with the square of the depth.
 INDENT = 100
-PAD = 40
-#: A column is padded only within tables of at most so many columns; wider rows keep their separators.
-COLUMNS = 64
+WRAP = 40
+#: Without a bound, one row of many wide cells and many rows that span them take the product of both.
+PADDED = 1 << 24
 
 # Fixed values of the HTML standard.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head title script style template iframe noembed noframes datalist object audio video canvas".split())
@@ -316,8 +321,71 @@ def _list(element: Element, page: Page) -> Step:
                 page.add([bullet + lines[0], *(rest + line if line else "" for line in lines[1:])])
 
 
+def _span(cell: Element, name: str, most: int) -> int:
+    """The value of a span, 0 as given: for rows it means all rows to the end of the group."""
+    value = cell.attributes.get(name, "1")
+    return min(int(value), most) if re.fullmatch(r"\d{1,9}", value) else 1
+
+
+class Grid:
+    """The cells of a table by row and column; cells that span rows keep their columns in the rows below."""
+
+    def __init__(self) -> None:
+        self.rows: list[dict[int, list[str]]] = []
+        self.number = 0
+        self.held: list[tuple[int, int, float]] = []  # first column, end, row from which the columns are free
+
+    def end_group(self) -> None:
+        self.held = []
+
+    def add(self, cells: list[tuple[list[str], int, int]]) -> None:
+        """A row of cells: lines, columns and rows that each one spans."""
+        held = [h for h in self.held if h[2] > self.number]
+        row, column, at, more = {}, 0, 0, []
+        for lines, columns, below in cells:
+            while at < len(held) and held[at][0] <= column:
+                column = max(column, held[at][1])
+                at += 1
+            row[column] = lines
+            if below != 1:
+                more.append((column, column + columns, self.number + below if below else math.inf))
+            column += columns
+        self.held = sorted(held + more)
+        self.number += 1
+        if any(row.values()):
+            self.rows.append(row)
+
+    def lines(self) -> Iterator[str]:
+        """The rows as lines, columns in which no cell begins left out."""
+        place = {c: k for k, c in enumerate(sorted({c for row in self.rows for c in row}))}
+        rows = [{place[c]: cell for c, cell in row.items()} for row in self.rows]
+        widths = [0] * len(place)
+        for row in rows:
+            for k, cell in row.items():
+                if k < len(place) - 1:
+                    row[k] = cell = [part for line in cell for part in _wrapped(line)]
+                widths[k] = max([widths[k], *(len(line) for line in cell if len(line) <= WRAP)])
+        ends = [0]
+        for width in widths:
+            ends.append(ends[-1] + width + 3)
+        if sum(ends[max(row) + 1] * max(map(len, row.values())) for row in rows) > PADDED:
+            widths = [0] * len(widths)
+        for row in rows:
+            # without padding the columns between cells are left out too
+            columns = range(max(row) + 1) if any(widths) else sorted(row)
+            for height in range(max(map(len, row.values()))):
+                line = [cell[height] if height < len(cell := row.get(k, [])) else "" for k in columns]
+                yield " | ".join(text.ljust(widths[k]) for k, text in zip(columns, line)).rstrip()
+
+
+def _wrapped(line: str) -> list[str]:
+    if len(line) <= WRAP:
+        return [line]
+    return textwrap.wrap(line, WRAP, expand_tabs=False, replace_whitespace=False, break_long_words=False, break_on_hyphens=False)
+
+
 def _table(table: Element, page: Page) -> Step:
-    rows: list[list[list[str]]] = []
+    grid = Grid()
     stray = Page(page.around)  # what stands in a table outside its cells is shown before it
 
     def visit(element: Element) -> Step:
@@ -327,20 +395,20 @@ def _table(table: Element, page: Page) -> Step:
             elif hidden(child):
                 continue
             elif child.name in ("thead", "tbody", "tfoot", "colgroup"):
+                grid.end_group()
                 yield visit(child)
+                grid.end_group()
             elif child.name == "tr":
-                cells: list[list[str]] = []
+                cells = []
                 for cell in child.children:
                     if isinstance(cell, str):
                         stray.text(cell)
                     elif not hidden(cell) and cell.name in ("td", "th"):
-                        span = cell.attributes.get("colspan", "1")
-                        span = min(int(span), COLUMNS) if re.fullmatch(r"[1-9]\d{0,5}", span) else 1
-                        cells += [(yield _inner(cell, page)), *[[]] * (span - 1)]
+                        columns = max(1, _span(cell, "colspan", MOST_COLUMNS))
+                        cells.append(((yield _inner(cell, page)), columns, _span(cell, "rowspan", MOST_ROWS)))
                     elif not hidden(cell):
                         yield _render(cell, stray)
-                if any(cells):
-                    rows.append(cells)
+                grid.add(cells)
             else:
                 yield _render(child, stray)
 
@@ -348,19 +416,12 @@ def _table(table: Element, page: Page) -> Step:
     if before := stray.done():
         page.add(before)
     if page.around >= INDENT:
-        for cells in rows:
-            for height in range(max(map(len, cells))):
-                page.add([" | ".join(cell[height] for cell in cells if height < len(cell) and cell[height])])
+        for row in grid.rows:
+            for height in range(max(map(len, row.values()))):
+                page.add([" | ".join(cell[height] for cell in row.values() if height < len(cell) and cell[height])])
         return
-    widths = [0] * min(COLUMNS, max(map(len, rows), default=0))
-    for cells in rows:
-        for k, cell in enumerate(cells[: len(widths)]):
-            widths[k] = max([widths[k], *(len(line) for line in cell if len(line) <= PAD)])
-    for cells in rows:
-        for height in range(max(map(len, cells))):
-            line = [cell[height] if height < len(cell) else "" for cell in cells]
-            padded = [text.ljust(widths[k]) if k < len(widths) else text for k, text in enumerate(line)]
-            page.add([" | ".join(padded).rstrip()])
+    for line in grid.lines():
+        page.add([line])
 
 
 def extract(html: str | None) -> str | None:

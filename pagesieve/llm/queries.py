@@ -24,6 +24,9 @@ from pagesieve.llm import (
 from pagesieve.llm.tables import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Context limits and shares of documents asked for besides the lengths that occur.
+LIMITS = [256, 512, 1024, 2048, 4096, 8192, 16384, 32768, 131072]
+SHARES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +43,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("text")
-    return token_counts.limits(token_counts.length_histogram(docs, vocabularies.path(RANKS, spark)))
+    return token_counts.limits(token_counts.length_histogram(docs, vocabularies.path(RANKS, spark)), LIMITS, SHARES)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

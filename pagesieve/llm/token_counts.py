@@ -11,6 +11,8 @@ histogram, no quantiles and no truncated totals; columns other than the text are
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,12 +34,19 @@ def _upto(total: Column, window: Window) -> Column:
     return F.coalesce(F.sum(total).over(window), F.lit(0)).cast("long")
 
 
-def limits(histogram: DataFrame) -> DataFrame:
-    """For each length that occurs, taken as a context limit: what fits, what is longer, what remains when cut.
+def limits(histogram: DataFrame, asked: Sequence[int] = (), shares: Sequence[float] = ()) -> DataFrame:
+    """For each length that occurs, and each of the limits `asked`, as a context limit: what fits, what is longer, what remains when cut.
 
     Columns: n_tokens, n_docs, docs_upto (documents not longer), docs_over, tokens_upto, tokens_over (all
-    tokens of the longer documents), truncated_total (all tokens when each document is cut at this limit).
+    tokens of the longer documents), truncated_total (all tokens when each document is cut at this limit). A limit that
+    does not occur as a length has n_docs 0. With `shares`, quantile_of lists those of which this length is the quantile: the
+    least one that at least this share of all documents does not exceed. An empty histogram gives the limits asked for, all zero.
     """
+    if asked:
+        wanted = F.explode(F.array(*[F.lit(n).cast("long") for n in asked])).alias("n_tokens")
+        added = histogram.sparkSession.range(1).select(wanted, F.lit(0).cast("long").alias("n_docs"))
+        histogram = histogram.select(F.col("n_tokens").cast("long"), "n_docs").unionByName(added)
+        histogram = histogram.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
     tokens = F.col("n_tokens") * F.col("n_docs")
     rows = cut(histogram).withColumn("band", F.floor(F.col("n_tokens") / BAND))
     # One row for each band meets in one task; their number is the greatest length divided by the band's width.
@@ -52,7 +61,7 @@ def limits(histogram: DataFrame) -> DataFrame:
         F.sum("tokens").over(all_).alias("tokens_all"),
     )
     within = Window.partitionBy("band").orderBy("n_tokens")
-    return (
+    sums = (
         rows.select("*", _upto(F.col("n_docs"), within).alias("d"), _upto(tokens, within).alias("t"))
         .join(bands, "band")
         .select(
@@ -65,6 +74,15 @@ def limits(histogram: DataFrame) -> DataFrame:
         )
         .withColumn("truncated_total", F.col("tokens_upto") + F.col("n_tokens") * F.col("docs_over"))
     )
+    if not shares:
+        return sums
+    docs = F.col("docs_upto") + F.col("docs_over")
+
+    def here(share: float) -> Column:
+        least = F.greatest(F.lit(1), F.ceil(F.lit(float(share)) * docs))
+        return F.when((F.col("docs_upto") >= least) & (F.col("docs_upto") - F.col("n_docs") < least), F.lit(float(share)))
+
+    return sums.withColumn("quantile_of", F.array_compact(F.array(*[here(s) for s in shares])))
 
 
 def truncated_total(sums: DataFrame, limit: int) -> DataFrame:

@@ -236,6 +236,15 @@ def test_token_counts_for_every_limit(spark, docs, rows, edges, empty):
     shares = [0.01, 0.5, 0.9, 1.0]
     found = {r["share"]: r["n_tokens"] for r in token_counts.quantiles(sums, shares).collect()}
     assert found == {s: int(np.sort(lengths)[int(np.ceil(s * len(lengths))) - 1]) for s in shares}
+    asked = [0, 3, 777, 10**9]
+    more = {r["n_tokens"]: r for r in token_counts.limits(token_counts.length_histogram(docs, PATH), asked, shares).collect()}
+    assert set(more) == set(got) | set(asked)
+    for n, r in more.items():
+        assert r["n_docs"] == (lengths == n).sum() and r["docs_over"] == (lengths > n).sum()
+        assert r["truncated_total"] == np.minimum(lengths, n).sum()
+        assert r["quantile_of"] == [s for s in shares if found[s] == n]
+    none = token_counts.limits(token_counts.length_histogram(empty, PATH), asked, shares).collect()
+    assert sorted(r["n_tokens"] for r in none) == asked and all(r["truncated_total"] == 0 and r["quantile_of"] == [] for r in none)
     nothing = token_counts.limits(token_counts.length_histogram(empty, PATH))
     assert nothing.count() == 0 and token_counts.truncated_total(nothing, 5).collect()[0]["truncated_total"] == 0
     assert {r["n_tokens"] for r in token_counts.length_histogram(edges, PATH).collect()} >= {0}

@@ -133,6 +133,15 @@ PAGES = {
     "<table><caption>Cap</caption><tr><th>Name<th>Value<tr><td>alpha<td>1</table>": "Cap\nName  | Value\nalpha | 1",
     "<table><tr><td colspan=2>a<td>b</tr>stray<tr><td>1<td>22<td>3</table>": "stray\na |    | b\n1 | 22 | 3",
     "<table><tr><td><table><tr><td>in</table><td>out</table>": "in | out",
+    "<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f</table>": "a | b | c\n  | d | e\nf",
+    "<table><tr><td>a<td rowspan=2 colspan=2>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h<td>i</table>": "a | b |   | c\nd |   |   | e\nf | g | h | i",
+    "<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c</tbody><tbody><tr><td>d<td>e</table>": "a | b\n  | c\nd | e",
+    "<table><thead><tr><td rowspan=9>a<td>b</thead><tbody><tr><td>c<td>d</table>": "a | b\nc | d",
+    "<table><tr><td colspan=999>a<td>b<tr><td>c</table>": "a | b\nc",
+    "<table><tr><td rowspan=x colspan=0>a<td>b<tr><td>c<td>d</table>": "a | b\nc | d",
+    "<table><tr><td>" + "word " * 12 + "<td>right<tr><td>short<td>" + "long " * 12 + "</table>":
+        "word word word word word word word word | right\n" + "word word word word".ljust(39) + " |\n" + "short".ljust(39) + " | " + "long " * 11 + "long",
+    "<table><tr><td>" + "x" * 50 + " y<td>b<tr><td>yy<td>c</table>": "x" * 50 + " | b\ny  |\nyy | c",
     "<pre>  keep\n   this</pre>": "  keep\n   this",
     "<head><title>t</title><style>p{}</style></head><body>b<script>var t='</p>';</script>": "b",
     "a &lt;b&gt; &amp; c &copy; &#233; < d <3": "a <b> & c © é < d <3",
@@ -224,6 +233,15 @@ def test_deeply_nested_lists_quotes_and_cells_keep_text_in_bounded_space():
         assert text.count("a") == 1000 and "x" in text and len(text) < 3_000_000
 
 
+def test_tables_whose_spans_multiply_keep_text_in_bounded_space():
+    wide = "<tr>" + "".join(f"<td>{'w' * 40}" for _ in range(1001)) + "<tr><td colspan=1000>a<td>b" * 3000
+    text = html_text.extract(f"<table>{wide}</table>")
+    assert text.count("a | b") == 3000 and text.count("w") == 40_040 and len(text) < 200_000
+    held = "<tr>" + "<td rowspan=65534 colspan=1000>a" * 300 + "<tr><td>b" * 3000
+    text = html_text.extract(f"<table>{held}</table>")
+    assert text.count("a") == 300 and text.count("b") == 3000
+
+
 def test_a_passage_lies_whole_in_a_window_wherever_it_stands():
     counts = np.array([10, 300, 321])
     owner, first, sizes = gru.windows(counts)
