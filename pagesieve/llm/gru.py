@@ -3,6 +3,9 @@
 Inputs are words: a word is the sum of an embedding of its hash and the mean embedding of its character
 trigrams, so unknown words are judged by their characters. The network reads windows of words in both
 directions, pools the states by attention and gives one logit for each window.
+
+Texts are scored in all windows, one from every word on. At each step of the recurrence the inputs of neighbouring windows are
+neighbouring words, so a block of windows reads a slice of the words and nothing is laid out. Training takes windows at every `STRIDE` words.
 """
 
 from __future__ import annotations
@@ -15,10 +18,10 @@ from pagesieve.llm.shingles import mix, word_spans
 
 WORDS, GRAMS = 1 << 13, 1 << 12
 DIM, HIDDEN = 16, 8
-#: Windows start at every eighth word, so any 25 words in a row lie whole in one of them.
+#: Words of a window; in training, a window at every eighth word.
 WINDOW, STRIDE = 32, 8
-#: So many windows of a text are laid out at a time.
-LAID_OUT = 1 << 17
+#: So many windows are read at a time.
+BLOCK = 2048
 
 _FLOAT = np.float32
 
@@ -55,13 +58,13 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(kind, (kinds >> np.uint64(51)).astype(np.int64), (grams >> np.uint64(52)).astype(np.int64), first_gram, counts)
 
 
-def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, first word and length of the windows of each text, one at every `STRIDE` words up to its end."""
-    many = np.where(counts > 0, np.maximum(0, -(-(counts - WINDOW) // STRIDE)) + 1, 0)
+def windows(counts: np.ndarray, stride: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, first word and length of the windows of each text, one at every `stride` words up to its end."""
+    many = np.where(counts > 0, np.maximum(0, -(-(counts - WINDOW) // stride)) + 1, 0)
     owner = np.repeat(np.arange(len(counts)), many)
     turn = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-    first = np.repeat(np.cumsum(counts) - counts, many) + turn * STRIDE
-    return owner, first, np.minimum(WINDOW, counts[owner] - turn * STRIDE)
+    first = np.repeat(np.cumsum(counts) - counts, many) + turn * stride
+    return owner, first, np.minimum(WINDOW, counts[owner] - turn * stride)
 
 
 def _laid_out(words: Words, first: np.ndarray) -> np.ndarray:
@@ -158,7 +161,7 @@ class Network:
         its greatest logit, as most of such a text is ordinary; texts of label 0 answer for all windows.
         """
         draw = np.random.default_rng(seed)
-        owner, first, sizes = windows(words.counts)
+        owner, first, sizes = windows(words.counts, STRIDE)
         places = _laid_out(words, first).astype(np.int32)
         target = labels[owner].astype(_FLOAT)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.weights.items()}
@@ -215,11 +218,63 @@ class Network:
                 out[some] = self.logits(inputs, places[some], sizes[some])
         return out
 
+    def score_every(self, inputs: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The logits of the windows from each of the words `kind` on that has a whole window after it."""
+        w, size = self.weights, inputs.dtype
+        sides = []
+        for side, half in (("f", slice(None, HIDDEN)), ("b", slice(HIDDEN, None))):
+            # What depends on the state: the three gates, then its parts of the attention and of the logit. Sigmoids are
+            # taken as (1 + tanh(x / 2)) / 2, and the halves are multiplied in beforehand.
+            recur = np.concatenate([w[f"h{side}"].T * 0.5, w["look"][None, half], w["out"][None, half]]).astype(size)
+            read = (inputs @ w[f"x{side}"] + w[f"c{side}"]).T
+            read[: 2 * HIDDEN] *= 0.5
+            sides.append((recur, read, range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1)))
+        out = np.empty(len(kind) - WINDOW + 1, dtype=np.float64)
+        for i in range(0, len(out), BLOCK):
+            n = min(BLOCK, len(out) - i)
+            some = kind[i : i + n + WINDOW - 1]
+            look, value = np.zeros((WINDOW, n), size), np.zeros((WINDOW, n), size)
+            back = np.empty((3 * HIDDEN + 2, n), size)
+            gates, new = back[: 2 * HIDDEN], back[2 * HIDDEN : 3 * HIDDEN]
+            for recur, read, order in sides:
+                given, state, last = read[:, some], np.zeros((HIDDEN, n), size), None
+                for t in [*order, None]:
+                    np.matmul(recur, state, out=back)
+                    if last is not None:
+                        look[last] += back[-2]
+                        value[last] += back[-1]
+                    if t is None:
+                        break
+                    gates += given[: 2 * HIDDEN, t : t + n]
+                    np.tanh(gates, out=gates)
+                    gates += 1
+                    new *= gates[HIDDEN:]
+                    new += given[2 * HIDDEN :, t : t + n]
+                    np.tanh(new, out=new)
+                    state -= new
+                    state *= gates[:HIDDEN]
+                    state *= 0.5
+                    state += new
+                    last = t
+            look -= look.max(axis=0)
+            np.exp(look, out=look)
+            out[i : i + n] = (look * value).sum(axis=0) / look.sum(axis=0)
+        return out + w["bias"][0]
+
     def score_texts(self, words: Words) -> np.ndarray:
         """The greatest logit of all windows of each text; -inf without a word."""
-        owner, first, sizes = windows(words.counts)
         best = np.full(len(words.counts), -np.inf)
-        for i in range(0, len(owner), LAID_OUT):
-            some = slice(i, i + LAID_OUT)
-            np.maximum.at(best, owner[some], self.score_windows(words, _laid_out(words, first[some]), sizes[some]))
+        long = words.counts >= WINDOW
+        if long.any():
+            counts = words.counts[long]
+            ends = np.cumsum(counts)
+            logits = self.score_every(self.embed(words), words.kind[np.repeat(long, words.counts)])
+            # Windows that reach into the next text lie between the end of one text's and the start of the next one's.
+            bounds = np.stack([ends - counts, ends - WINDOW + 1], axis=1).ravel()[:-1]
+            best[long] = np.maximum.reduceat(logits, bounds)[::2]
+        short = np.flatnonzero((words.counts > 0) & ~long)
+        for i in range(0, len(short), BLOCK):
+            some = short[i : i + BLOCK]
+            first = np.cumsum(words.counts)[some] - words.counts[some]
+            best[some] = self.score_windows(words, _laid_out(words, first), words.counts[some])
         return best

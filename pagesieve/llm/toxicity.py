@@ -1,6 +1,6 @@
 """Toxicity: a recurrent network over overlapping windows of a text, trained on labelled documents.
 
-A document's score is that of its most toxic window. Windows of 32 words start at every eighth word. The network is trained on
+A document's score is that of its most toxic window. Windows of 32 words start at every word. The network is trained on
 the driver in numpy, on a bounded sample of labelled rows: about `SAMPLE` of each label, chosen by a hash of the id, with
 `LONGEST` characters a row on average. Shorter texts train whole; the longer ones share what that leaves, and one that is longer than
 its share trains with `STRETCHES` stretches spread evenly over it.

@@ -122,6 +122,20 @@ def test_windows_overlap_and_cover_every_word():
             assert len(seen) > n
 
 
+def test_every_window_is_scored():
+    network, draw = gru.Network.fresh(), np.random.default_rng(5)
+    network.weights = {k: v + np.float32(0.1) * draw.standard_normal(v.shape).astype(np.float32) for k, v in network.weights.items()}
+    many = [0, 1, 31, 32, 33, 0, 60, 32, 5000, 3, 40, 0]
+    texts = [" ".join(draw.choice(["one", "Two", "three,", "é", "five"], n)) for n in many]
+    for chosen in (texts, texts[:3], texts[3:4], texts[8:9], [""]):
+        (_, data, offsets), *_ = text_chunks(pa.array(chosen, pa.large_string()), 1 << 20)
+        words = gru.read_words(data, offsets)
+        owner, first, sizes = gru.windows(words.counts)
+        logits = network.score_windows(words, gru._laid_out(words, first), sizes)
+        expected = [max(logits[owner == i], default=-np.inf) for i in range(len(chosen))]
+        np.testing.assert_allclose(network.score_texts(words), expected, atol=1e-4)
+
+
 def test_threshold_parts_two_labels():
     logits = np.array([-3.0, -2.0, 0.5, 2.0, 3.0, -np.inf])
     assert -2.0 < _threshold(logits, np.array([0, 0, 1, 1, 1, 0])) < 0.5
