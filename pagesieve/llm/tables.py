@@ -3,20 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import pagesieve
-
-from pagesieve.session import shared_folder
+from pagesieve.session import shared_folder, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,24 +28,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of the session, which need not have it installed."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(pagesieve.__file__).parent
-    place, name = tempfile.mkstemp(suffix=".zip", prefix="pagesieve-")
-    os.close(place)
-    with zipfile.ZipFile(name, "w") as archive:
-        for file in sorted(root.rglob("*.py")):
-            archive.write(file, file.relative_to(root.parent))
-    context.addPyFile(name)
-    _shipped.add(context.applicationId)
-
-
 def map_arrow(
     df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
 ) -> DataFrame:
