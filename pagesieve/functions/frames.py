@@ -34,7 +34,7 @@ BROADCAST_ROWS = 50_000
 def join_checked(df: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """Join with a narrow ``side``: broadcast if its rows, counted first, are few, so that ``df`` stays where it is.
 
-    A longer side is joined the ordinary way.
+    Of a longer side each task holds its share by hash, so that the rows of ``df`` are dealt out but not sorted.
     """
     few = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(side) if few else side, on, how)
+    return df.join(F.broadcast(side) if few else side.hint("shuffle_hash"), on, how)

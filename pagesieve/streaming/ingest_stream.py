@@ -52,7 +52,7 @@ def store_extracts(
 
         pages = texts.select("doc_id", "page", channel("digital"), channel("ocr"))
         # a file may have been delivered twice
-        store.write_batch(writer, batch, chosen, pages.dropDuplicates(["doc_id", "page"]))
+        store.write_batch(writer, batch, chosen, pages, once=True)
     finally:
         chosen.unpersist()
 

@@ -2,8 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagesieve import Phrase, TableRule
+from pagesieve.functions import frames
 from pagesieve.operators import ingest
 from pagesieve.plans.ingest import ingest_batch, search_store
+from pagesieve.schemas import DOCUMENT_LOG
 from pagesieve.sources import manifest
 from pagesieve.sources.store import PageStore, flatten_metadata, page_texts, put_page_texts
 
@@ -244,3 +246,22 @@ def test_writers_that_read_the_same_store_never_mix_contents(spark, tmp_path, mo
 def test_a_claimed_number_is_not_claimed_again(spark, tmp_path):
     one, two = (PageStore(spark, str(tmp_path / "s")) for _ in range(2))
     assert [one._claim(), two._claim(), one._claim(), two._claim()] == [1, 2, 3, 4]
+
+
+def test_a_long_side_is_joined_without_sorting_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(frames, "BROADCAST_ROWS", 1)
+    texts = spark.createDataFrame([(i % 5, f"text {i}") for i in range(40)], "doc_id int, text string")
+    side = spark.createDataFrame([(i,) for i in range(3)], "doc_id int")
+    for how, n in (("inner", 24), ("left_semi", 24), ("left_anti", 16)):
+        df = frames.join_checked(texts, side, "doc_id", how)
+        assert df.count() == n
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_pages_given_twice_are_written_once(spark, tmp_path):
+    target = PageStore(spark, str(tmp_path))
+    rows = [("d", p, f"text {p}", None) for p in (1, 2, 3)] * 4
+    pages = spark.createDataFrame(rows, "doc_id string, page int, digital string, ocr string").repartition(4)
+    target.write_batch("w", 0, spark.createDataFrame([], DOCUMENT_LOG).drop("writer", "batch", "seq", "since"), pages, once=True)
+    assert sorted(x.page for x in spark.read.parquet(f"{tmp_path}/pages").collect()) == [1, 2, 3]
