@@ -221,14 +221,20 @@ class Network:
     def score_every(self, inputs: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """The logits of the windows from each of the words `kind` on that has a whole window after it."""
         w, size = self.weights, inputs.dtype
+        # Every gate is 1 / (1 + exp(u)): u is the gate's argument negated, and twice the new state's, as tanh(x) = 1 - 2 / (1 + exp(2 x)).
+        # So a state 1 - 2 h is kept as h, whose last row of ones adds what this leaves over.
+        scale = np.repeat([-1.0, -1.0, 2.0], HIDDEN)
         sides = []
         for side, half in (("f", slice(None, HIDDEN)), ("b", slice(HIDDEN, None))):
-            # What depends on the state: the three gates, then its parts of the attention and of the logit. Sigmoids are
-            # taken as (1 + tanh(x / 2)) / 2, and the halves are multiplied in beforehand.
-            recur = np.concatenate([w[f"h{side}"].T * 0.5, w["look"][None, half], w["out"][None, half]]).astype(size)
-            read = (inputs @ w[f"x{side}"] + w[f"c{side}"]).T
-            read[: 2 * HIDDEN] *= 0.5
-            sides.append((recur, read, range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1)))
+            # What depends on the state: the three gates, then its parts of the attention and of the logit.
+            recur = np.concatenate([w[f"h{side}"].T * scale[:, None], w["look"][None, half], w["out"][None, half]])
+            recur = np.concatenate([-2 * recur, recur.sum(axis=1, keepdims=True)], axis=1).astype(size)
+            read = ((inputs @ w[f"x{side}"] + w[f"c{side}"]).T * scale[:, None]).astype(size)
+            # the first step comes from 0 (h = 1/2), so it is that of the word
+            with np.errstate(over="ignore"):
+                new = 1 / (1 + np.exp(read[2 * HIDDEN :]))
+                begun = new + (size.type(0.5) - new) / (1 + np.exp(read[:HIDDEN]))
+            sides.append((recur, read, begun, range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1)))
         out = np.empty(len(kind) - WINDOW + 1, dtype=np.float64)
         for i in range(0, len(out), BLOCK):
             n = min(BLOCK, len(out) - i)
@@ -236,26 +242,33 @@ class Network:
             look, value = np.zeros((WINDOW, n), size), np.zeros((WINDOW, n), size)
             back = np.empty((3 * HIDDEN + 2, n), size)
             gates, new = back[: 2 * HIDDEN], back[2 * HIDDEN : 3 * HIDDEN]
-            for recur, read, order in sides:
-                given, state, last = read[:, some], np.zeros((HIDDEN, n), size), None
-                for t in [*order, None]:
-                    np.matmul(recur, state, out=back)
-                    if last is not None:
+            keep, reset = gates[:HIDDEN], gates[HIDDEN:]
+            for recur, read, begun, (last, *order) in sides:
+                given = read[:, some]
+                held = np.ones((HIDDEN + 1, n), size)
+                state = held[:HIDDEN]
+                state[:] = begun[:, some[last : last + n]]
+                # beyond the numbers' range exp is infinite, and the gate 0 as it should be
+                with np.errstate(over="ignore"):
+                    for t in order:
+                        np.matmul(recur, held, out=back)
                         look[last] += back[-2]
                         value[last] += back[-1]
-                    if t is None:
-                        break
-                    gates += given[: 2 * HIDDEN, t : t + n]
-                    np.tanh(gates, out=gates)
-                    gates += 1
-                    new *= gates[HIDDEN:]
-                    new += given[2 * HIDDEN :, t : t + n]
-                    np.tanh(new, out=new)
-                    state -= new
-                    state *= gates[:HIDDEN]
-                    state *= 0.5
-                    state += new
-                    last = t
+                        gates += given[: 2 * HIDDEN, t : t + n]
+                        np.exp(gates, out=gates)
+                        gates += 1
+                        new /= reset
+                        new += given[2 * HIDDEN :, t : t + n]
+                        np.exp(new, out=new)
+                        new += 1
+                        np.reciprocal(new, out=new)
+                        state -= new
+                        state /= keep
+                        state += new
+                        last = t
+                ends = recur[3 * HIDDEN :] @ held
+                look[last] += ends[0]
+                value[last] += ends[1]
             look -= look.max(axis=0)
             np.exp(look, out=look)
             out[i : i + n] = (look * value).sum(axis=0) / look.sum(axis=0)

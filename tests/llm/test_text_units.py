@@ -264,3 +264,18 @@ def test_a_passage_lies_whole_in_a_window_wherever_it_stands():
         begin, end = first[owner == i] - starts[i], first[owner == i] - starts[i] + sizes[owner == i]
         for at in range(max(1, n - 24)):
             assert ((begin <= at) & (end >= min(n, at + 25))).any()
+
+
+@pytest.mark.parametrize("scale", [1, 60])
+def test_scoring_needs_no_tanh_and_bears_extreme_gates(monkeypatch, scale):
+    network = gru.Network.fresh()
+    network.weights = {k: v * v.dtype.type(scale) for k, v in network.weights.items()}
+    data = np.frombuffer(" ".join(f"w{i * i % 97}" for i in range(300)).encode(), np.uint8)
+    words = gru.read_words(data, np.array([0, len(data)]))
+    _, first, sizes = gru.windows(words.counts)
+    with np.errstate(over="ignore"):
+        wanted = network.score_windows(words, gru._laid_out(words, first), sizes)
+    monkeypatch.setattr(gru.np, "tanh", None)  # several times the cost of exp
+    with np.errstate(all="raise", under="ignore", over="ignore"):
+        got = network.score_every(network.embed(words), words.kind)
+    assert np.allclose(got, wanted, rtol=1e-3, atol=1e-3 * scale)
