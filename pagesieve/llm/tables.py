@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,10 @@ from pyspark.sql import types as T
 from pagesieve.session import shared_folder, ship
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -31,8 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
 def map_arrow(
     df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
 ) -> DataFrame:
-    """``mapInArrow`` with a function of this package; workers are used again, so memory is given back after each batch."""
+    """``mapInArrow`` with a function of this package, in batches of at most about `BATCH`.
+
+    A batch is held by the JVM, outside its heap, and by the worker at once, for each task. Workers are used again, so memory is given back
+    after each batch.
+    """
     ship(df.sparkSession)
+    _bound_batches(df.sparkSession)
 
     def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
@@ -42,6 +52,16 @@ def map_arrow(
     return df.mapInArrow(frugal, schema)
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    """Let the session hand over batches of at most `BATCH` bytes (a longer row alone), fewer if it says so itself."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(name, None)
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", (given or "-1").lower()).groups()
+    size = int(number) << 10 * " kmgtp".index(unit or " ")
+    if not 0 < size <= BATCH:
+        spark.conf.set(name, f"{BATCH}b")
+
+
 def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; what the work on one left free goes back before the next is read."""
     for batch in batches:
