@@ -20,8 +20,10 @@ WORDS, GRAMS = 1 << 13, 1 << 12
 DIM, HIDDEN = 16, 8
 #: Words of a window; in training, a window at every eighth word.
 WINDOW, STRIDE = 32, 8
+#: Words of at most so many trigrams are added up together.
+FEW = 8
 #: So many windows are read at a time.
-BLOCK = 2048
+BLOCK = 1536
 
 _FLOAT = np.float32
 
@@ -30,6 +32,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _power() -> tuple[np.ufunc, float]:
+    """The cheaper of exp and exp2, and what an exponent of e is multiplied by for it: numpy has exp2 in vectors on few processors."""
+    found = np.lib.introspect.opt_func_info(func_name="^exp2$", signature="^float32$").get("exp2", {})
+    wide = any(kind["current"].startswith("AVX512") for kind in found.values())
+    return (np.exp2, float(np.log2(np.e))) if wide else (np.exp, 1.0)
+
+
 @dataclass
 class Words:
     """The words of a run of texts: the kind of each word, and each kind's bucket and trigrams."""
@@ -43,7 +52,12 @@ class Words:
 
 def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     hashes, starts, ends, counts = word_spans(data, offsets)
-    kinds, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    # The kinds ascending; any occurrence of one will do.
+    order = np.argsort(hashes)
+    kinds, kind = hashes[order], np.empty(len(hashes), np.int64)
+    fresh = np.append(True, kinds[1:] != kinds[:-1])[: len(kinds)]
+    kind[order] = np.cumsum(fresh) - 1
+    kinds, first = kinds[fresh], order[fresh]
     begin, sizes = starts[first], (ends - starts)[first]
     low = data.astype(np.uint32)
     low = np.where((low >= 65) & (low <= 90), low + 32, low)
@@ -90,9 +104,22 @@ class Network:
 
     def embed(self, words: Words) -> np.ndarray:
         """The input vector of each kind of word."""
-        sums = np.add.reduceat(self.weights["gram"][words.grams], words.first_gram, axis=0) if len(words.bucket) else np.zeros((0, DIM), _FLOAT)
-        sizes = np.diff(np.append(words.first_gram, len(words.grams)))[:, None]
-        return self.weights["word"][words.bucket] + sums / sizes.astype(_FLOAT)
+        sizes = np.diff(np.append(words.first_gram, len(words.grams)))
+        sums, gram = np.zeros((len(words.bucket), DIM), _FLOAT), self.weights["gram"]
+        # The longer words each at once; of the others all second trigrams, then all third ones of those that have them, and so on.
+        long = np.flatnonzero(sizes > FEW)
+        if len(long):
+            ends = np.cumsum(sizes[long])
+            begins = ends - sizes[long]
+            at = np.arange(ends[-1]) + np.repeat(words.first_gram[long] - begins, sizes[long])
+            sums[long] = np.add.reduceat(gram[words.grams[at]], begins, axis=0)
+        order = np.argsort(-sizes, kind="stable")[len(long) :]
+        first, rest = words.first_gram[order], np.zeros((len(order), DIM), _FLOAT)
+        for k in range(1, FEW):
+            n = np.searchsorted(-sizes[order], -k)
+            rest[:n] += gram[words.grams[first[:n] + k]]
+        sums[order] = gram[words.grams[first]] + rest
+        return self.weights["word"][words.bucket] + sums / sizes[:, None].astype(_FLOAT)
 
     def _run(self, side: str, inputs: np.ndarray, places: np.ndarray, sizes: np.ndarray, keep: list | None) -> np.ndarray:
         """States after each place, for windows of kinds `places`; `keep` collects what the gradient needs."""
@@ -207,8 +234,8 @@ class Network:
             s += 0.01 * (g[k] * g[k] - s)
             v -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
 
-    def score_windows(self, words: Words, places: np.ndarray, sizes: np.ndarray, batch: int = 4096) -> np.ndarray:
-        inputs = self.embed(words)
+    def score_windows(self, words: Words, places: np.ndarray, sizes: np.ndarray, batch: int = 4096, inputs: np.ndarray | None = None) -> np.ndarray:
+        inputs = self.embed(words) if inputs is None else inputs
         out = np.empty(len(places), dtype=np.float64)
         full = np.flatnonzero(sizes == WINDOW)
         part = np.flatnonzero(sizes < WINDOW)
@@ -221,54 +248,58 @@ class Network:
     def score_every(self, inputs: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """The logits of the windows from each of the words `kind` on that has a whole window after it."""
         w, size = self.weights, inputs.dtype
+        power, unit = _power()
         # Every gate is 1 / (1 + exp(u)): u is the gate's argument negated, and twice the new state's, as tanh(x) = 1 - 2 / (1 + exp(2 x)).
         # So a state 1 - 2 h is kept as h, whose last row of ones adds what this leaves over.
-        scale = np.repeat([-1.0, -1.0, 2.0], HIDDEN)
-        sides = []
-        for side, half in (("f", slice(None, HIDDEN)), ("b", slice(HIDDEN, None))):
+        scale = np.repeat([-unit, -unit, 2 * unit], HIDDEN)
+        recur, read = np.empty((2, HIDDEN + 1, 3 * HIDDEN + 2), size).transpose(0, 2, 1), []
+        for s, (side, half) in enumerate((("f", slice(None, HIDDEN)), ("b", slice(HIDDEN, None)))):
             # What depends on the state: the three gates, then its parts of the attention and of the logit.
-            recur = np.concatenate([w[f"h{side}"].T * scale[:, None], w["look"][None, half], w["out"][None, half]])
-            recur = np.concatenate([-2 * recur, recur.sum(axis=1, keepdims=True)], axis=1).astype(size)
-            read = ((inputs @ w[f"x{side}"] + w[f"c{side}"]).T * scale[:, None]).astype(size)
+            part = np.concatenate([w[f"h{side}"].T * scale[:, None], w["look"][None, half], w["out"][None, half]])
+            recur[s] = np.concatenate([-2 * part, part.sum(axis=1, keepdims=True)], axis=1)
+            own = inputs @ (w[f"x{side}"] * scale).astype(size) + (w[f"c{side}"] * scale).astype(size)
             # the first step comes from 0 (h = 1/2), so it is that of the word
             with np.errstate(over="ignore"):
-                new = 1 / (1 + np.exp(read[2 * HIDDEN :]))
-                begun = new + (size.type(0.5) - new) / (1 + np.exp(read[:HIDDEN]))
-            sides.append((recur, read, begun, range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1)))
+                new = 1 / (1 + power(own[:, 2 * HIDDEN :]))
+                begun = new + (size.type(0.5) - new) / (1 + power(own[:, :HIDDEN]))
+            read.append(np.concatenate([own, begun], axis=1))
+        # beyond the numbers' range a power is infinite, which the gate that is both divided and a divisor must not be
+        most = max((r[:, :HIDDEN].max(axis=0, initial=0) + np.abs(m[:HIDDEN]).sum(axis=1)).max() for r, m in zip(read, recur, strict=True))
+        free = most < 80 * unit
         out = np.empty(len(kind) - WINDOW + 1, dtype=np.float64)
-        for i in range(0, len(out), BLOCK):
-            n = min(BLOCK, len(out) - i)
-            some = kind[i : i + n + WINDOW - 1]
-            look, value = np.zeros((WINDOW, n), size), np.zeros((WINDOW, n), size)
-            back = np.empty((3 * HIDDEN + 2, n), size)
-            gates, new = back[: 2 * HIDDEN], back[2 * HIDDEN : 3 * HIDDEN]
-            keep, reset = gates[:HIDDEN], gates[HIDDEN:]
-            for recur, read, begun, (last, *order) in sides:
-                given = read[:, some]
-                held = np.ones((HIDDEN + 1, n), size)
-                state = held[:HIDDEN]
-                state[:] = begun[:, some[last : last + n]]
-                # beyond the numbers' range exp is infinite, and the gate 0 as it should be
-                with np.errstate(over="ignore"):
-                    for t in order:
-                        np.matmul(recur, held, out=back)
-                        look[last] += back[-2]
-                        value[last] += back[-1]
-                        gates += given[: 2 * HIDDEN, t : t + n]
-                        np.exp(gates, out=gates)
-                        gates += 1
-                        new /= reset
-                        new += given[2 * HIDDEN :, t : t + n]
-                        np.exp(new, out=new)
-                        new += 1
-                        np.reciprocal(new, out=new)
-                        state -= new
-                        state /= keep
-                        state += new
-                        last = t
-                ends = recur[3 * HIDDEN :] @ held
-                look[last] += ends[0]
-                value[last] += ends[1]
+        n = min(BLOCK, len(out))
+        # Both directions go together, side by side in each row: the second has its words, and so its windows, from the last to the first.
+        given, held = np.empty((3 * HIDDEN, 2, n + WINDOW - 1), size), np.ones((HIDDEN + 1, 2, n), size)
+        back, over, seen = np.empty((3 * HIDDEN + 2, 2, n), size), np.empty((HIDDEN, 2, n), size), np.empty((WINDOW, 2, 2, n), size)
+        state, gates, new, ends = held[:HIDDEN], back[: 2 * HIDDEN], back[2 * HIDDEN : 3 * HIDDEN], back[3 * HIDDEN :]
+        keep, reset = gates[:HIDDEN], gates[HIDDEN:]
+        factor, product = held.transpose(1, 0, 2), back.transpose(1, 0, 2)
+        steps = [(given[: 2 * HIDDEN, :, t : t + n], given[2 * HIDDEN :, :, t : t + n], seen[t - 1]) for t in range(1, WINDOW)]
+        for i in range(0, len(out), n):
+            i = min(i, len(out) - n)
+            for s, some in enumerate((kind[i : i + n + WINDOW - 1], kind[i : i + n + WINDOW - 1][::-1])):
+                words = read[s].take(some, axis=0).T
+                given[:, s], state[:, s] = words[: 3 * HIDDEN], words[3 * HIDDEN :, :n]
+            with np.errstate(over="ignore"):
+                for of_gates, of_new, part in steps:
+                    np.matmul(recur, factor, out=product)
+                    part[:] = ends
+                    np.add(gates, of_gates, out=gates)
+                    power(gates, out=gates)
+                    if not free:
+                        np.minimum(keep, size.type(1e30), out=keep)
+                    np.add(reset, 1, out=reset)
+                    np.divide(new, reset, out=new)
+                    np.add(new, of_new, out=new)
+                    power(new, out=new)
+                    np.add(new, 1, out=new)
+                    # h / (1 + exp(u)) + new / (1 + exp(-u)) over one divisor
+                    np.add(keep, 1, out=over)
+                    np.divide(keep, new, out=keep)
+                    np.add(state, keep, out=state)
+                    np.divide(state, over, out=state)
+            np.matmul(recur[:, 3 * HIDDEN :], factor, out=seen[-1].transpose(1, 0, 2))
+            look, value = (seen[:, r, 0] + seen[::-1, r, 1, ::-1] for r in (0, 1))
             look -= look.max(axis=0)
             np.exp(look, out=look)
             out[i : i + n] = (look * value).sum(axis=0) / look.sum(axis=0)
@@ -276,12 +307,12 @@ class Network:
 
     def score_texts(self, words: Words) -> np.ndarray:
         """The greatest logit of all windows of each text; -inf without a word."""
-        best = np.full(len(words.counts), -np.inf)
+        best, inputs = np.full(len(words.counts), -np.inf), self.embed(words)
         long = words.counts >= WINDOW
         if long.any():
             counts = words.counts[long]
             ends = np.cumsum(counts)
-            logits = self.score_every(self.embed(words), words.kind[np.repeat(long, words.counts)])
+            logits = self.score_every(inputs, words.kind[np.repeat(long, words.counts)])
             # Windows that reach into the next text lie between the end of one text's and the start of the next one's.
             bounds = np.stack([ends - counts, ends - WINDOW + 1], axis=1).ravel()[:-1]
             best[long] = np.maximum.reduceat(logits, bounds)[::2]
@@ -289,5 +320,5 @@ class Network:
         for i in range(0, len(short), BLOCK):
             some = short[i : i + BLOCK]
             first = np.cumsum(words.counts)[some] - words.counts[some]
-            best[some] = self.score_windows(words, _laid_out(words, first), words.counts[some])
+            best[some] = self.score_windows(words, _laid_out(words, first), words.counts[some], inputs=inputs)
         return best

@@ -279,3 +279,46 @@ def test_scoring_needs_no_tanh_and_bears_extreme_gates(monkeypatch, scale):
     with np.errstate(all="raise", under="ignore", over="ignore"):
         got = network.score_every(network.embed(words), words.kind)
     assert np.allclose(got, wanted, rtol=1e-3, atol=1e-3 * scale)
+
+
+def scored_case(n, scale=1):
+    network, draw = gru.Network.fresh(), np.random.default_rng(n)
+    network.weights = {k: v * v.dtype.type(scale) for k, v in network.weights.items()}
+    data = np.frombuffer(" ".join(f"w{k * k}" for k in draw.integers(0, 40, n)).encode(), np.uint8)
+    return network, gru.read_words(data, np.array([0, len(data)]))
+
+
+def test_both_directions_take_one_product_a_step_and_words_are_embedded_once(monkeypatch):
+    (_, data, offsets), *_ = text_chunks(pa.array(["a b c", "x y " * 40, "d e"], pa.large_string()), 1 << 20)
+    network, words = gru.Network.fresh(), gru.read_words(data, offsets)
+    products, embedded, product, embed = [], [], np.matmul, gru.Network.embed
+    monkeypatch.setattr(gru.np, "matmul", lambda *a, **k: products.append(1) or product(*a, **k))
+    monkeypatch.setattr(gru.Network, "embed", lambda *a: embedded.append(1) or embed(*a))
+    network.score_texts(words)
+    assert 0 < len(products) <= gru.WINDOW and len(embedded) == 1
+
+
+@pytest.mark.parametrize("power", [(np.exp, 1.0), (np.exp2, float(np.log2(np.e)))])
+@pytest.mark.parametrize("n", [32, 33, 47, 48, 200])
+def test_blocks_of_windows_give_what_single_windows_give(monkeypatch, n, power):
+    monkeypatch.setattr(gru, "BLOCK", 16)
+    monkeypatch.setattr(gru, "_power", lambda: power)
+    for scale in (1, 60):
+        network, words = scored_case(n, scale)
+        _, first, sizes = gru.windows(words.counts)
+        with np.errstate(over="ignore"):
+            wanted = network.score_windows(words, gru._laid_out(words, first), sizes)
+        got = network.score_every(network.embed(words), words.kind)
+        np.testing.assert_allclose(got, wanted, rtol=1e-3, atol=1e-4 if scale == 1 else 1e-3 * scale)
+
+
+def test_words_of_any_length_are_embedded_by_the_mean_of_their_trigrams():
+    texts = ["a", "ab abc", "x" * 8 + " " + "y" * 9, "", "Z" * 500 + " z ab AB"]
+    (_, data, offsets), *_ = text_chunks(pa.array(texts, pa.large_string()), 1 << 20)
+    network, words = gru.Network.fresh(), gru.read_words(data, offsets)
+    ends = np.append(words.first_gram, len(words.grams))
+    means = [network.weights["gram"][words.grams[a:b]].mean(axis=0) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    np.testing.assert_allclose(network.embed(words), network.weights["word"][words.bucket] + np.array(means), atol=1e-5)
+    # lower case makes no other kind, and kinds are numbered by their hashes
+    hashes = gru.word_spans(data, offsets)[0]
+    assert np.array_equal(words.kind, np.unique(hashes, return_inverse=True)[1]) and words.kind[-1] == words.kind[-2]
