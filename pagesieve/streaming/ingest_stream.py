@@ -40,10 +40,16 @@ def store_extracts(
         F.coalesce(F.max("page"), F.lit(0)).alias("page_count"),
         *[c.alias(n) for n, c in channel_flags().items()],
     )
+    versions = versions.persist()
     chosen = to_store(last_rows(versions, ["doc_id"], version[1:]), store.metadata(without=(writer, batch))).persist()
     try:
         picked = chosen.select(*version, F.col("since").isNull().alias("fresh"))
-        texts = join_checked(extracts.filter("page is not null"), picked, version)
+        texts, known = extracts.filter("page is not null"), " and ".join(f"{c} is not null" for c in version)
+        if picked.filter(f"fresh and {known}").count() == versions.filter(known).count():
+            # every version is stored as new content, as in a first run: nothing has to be looked up
+            texts = texts.filter(known).withColumn("fresh", F.lit(True))
+        else:
+            texts = join_checked(texts, picked, version)
 
         def channel(name: str) -> Column:
             # of new content what was not extracted is empty, to known content it adds nothing
@@ -55,6 +61,7 @@ def store_extracts(
         store.write_batch(writer, batch, chosen, pages, once=True)
     finally:
         chosen.unpersist()
+        versions.unpersist()
 
 
 def checkpoint_writer(spark: SparkSession, checkpoint: str) -> str:

@@ -265,3 +265,36 @@ def test_pages_given_twice_are_written_once(spark, tmp_path):
     pages = spark.createDataFrame(rows, "doc_id string, page int, digital string, ocr string").repartition(4)
     target.write_batch("w", 0, spark.createDataFrame([], DOCUMENT_LOG).drop("writer", "batch", "seq", "since"), pages, once=True)
     assert sorted(x.page for x in spark.read.parquet(f"{tmp_path}/pages").collect()) == [1, 2, 3]
+
+
+def test_texts_are_joined_once(spark, tmp_path, monkeypatch):
+    from pagesieve.sources import store as store_module
+    from pagesieve.streaming import ingest_stream
+
+    asked = []
+
+    def recorded(df, side, on, how="inner"):
+        asked.append(on)
+        return frames.join_checked(df, side, on, how)
+
+    monkeypatch.setattr(store_module, "join_checked", recorded)
+    monkeypatch.setattr(ingest_stream, "join_checked", recorded)
+    columns = "doc_id string, file_name string, file_path string, file_size bigint, file_hash string, last_modified double, page int, digital string, ocr string"
+
+    def extracts(rows):
+        return spark.createDataFrame([(d, f"{d}.pdf", f"/{d}.pdf", 1, h, 0.0, p, t, o) for d, h, p, t, o in rows], columns)
+
+    store = PageStore(spark, str(tmp_path / "store"))
+    first = [("a", "1", 1, " x ", None), ("a", "1", 2, "y", None), ("b", "1", 1, "z", None), ("c", "1", 1, "v", None), (None, "1", 1, "lost", None), ("e", None, 1, "lost", None)]
+    ingest_stream.store_extracts(store, extracts(first), "w", 0)
+    assert "file_hash" not in [k for on in asked for k in on]  # all is new: nothing to look up
+    ingest_stream.store_extracts(store, extracts([("a", "2", 1, "new", None), ("b", "1", 1, None, "B"), ("c", "1", 1, "v", None)]), "w", 1)
+    assert [on for on in asked if "file_hash" in on] == [["doc_id", "last_modified", "file_hash"]]
+    for few in (True, False):
+        if not few:
+            monkeypatch.setattr(frames, "BROADCAST_ROWS", 0)
+        asked.clear()
+        rows = sorted(map(tuple, store.channels().collect()))
+        assert rows == [("a", 1, "new", ""), ("b", 1, "z", "B"), ("c", 1, "v", "")]
+        # for the replaced, for the layered and for the other pages there was a join each
+        assert len([on for on in asked if "block" in on]) == 1
